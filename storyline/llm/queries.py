@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import bpe
+from storyline.llm import bpe, pii, secrets
+from storyline.llm import spans as S
 from storyline.llm.common import table, texts
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,5 +31,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *(S.count_of(F.col("spans"), k).alias(f"n_{k}") for k in kinds),
+        F.sha2(S.joined(base), 256).alias("base_sha256"),
+        S.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.find(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_secrets": op3_secrets}
 ORACLE: dict[str, str] = {}
