@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import bpe, pii, secrets
+from storyline.llm import bpe, decontaminate, pii, quality, secrets, shards
 from storyline.llm import spans as S
 from storyline.llm.common import table, texts
 
@@ -49,5 +49,26 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_secrets": op3_secrets}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shards.assign(table(spark, sf_dir, "documents"), 8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_shards": op7_shards,
+    "op8_quality": op8_quality,
+}
 ORACLE: dict[str, str] = {}
