@@ -96,19 +96,28 @@ class Automaton:
             return ()
         if (whole := self.ids.get(word)) is not None:
             return (whole,)
-        n, ids, step = len(word), self.ids, self.step
-        state, back = [START] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                arc = ids.get(word[begin:end])
-                if arc is not None and (begin == 0 or step(state[begin], arc)):
-                    state[end], back[end] = arc, begin
-                    break
-        out, end = [], n
-        while end:
-            out.append(state[end])
-            end = back[end]
-        return tuple(out[::-1])
+        # Longest arc first. The path to a position is the same whichever way led there, so a position without a way on is dead for good.
+        n, ids, known, most = len(word), self.ids, self.steps, self.longest
+        path, ends, dead, at, last = [], [0], set(), 0, START
+        while at < n:
+            for end in range(min(n, at + most), at, -1):
+                arc = ids.get(word[at:end])
+                if arc is None or end in dead:
+                    continue
+                if last >= 0:
+                    fits = known.get(last << 20 | arc)
+                    if not (self.step(last, arc) if fits is None else fits):
+                        continue
+                path.append(arc)
+                ends.append(end)
+                at, last = end, arc
+                break
+            else:
+                dead.add(at)
+                path.pop()
+                ends.pop()
+                at, last = ends[-1], path[-1] if path else START
+        return tuple(path)
 
 
 class Words(dict):
