@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import bpe, decontaminate, pii, quality, secrets, shards
+from storyline.llm import bpe, decontaminate, html, neighbours, pii, quality, secrets, shards
 from storyline.llm import spans as S
 from storyline.llm.common import table, texts
 
@@ -63,6 +63,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = html.extract(table(spark, sf_dir, "pages"))
+    return said.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -70,5 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
     "op8_quality": op8_quality,
+    "op9_html": op9_html,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLE: dict[str, str] = {}
