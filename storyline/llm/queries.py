@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import bpe, decontaminate, html, neighbours, pii, quality, secrets, shards
+from storyline.llm import bpe, decontaminate, html, neighbours, pii, quality, secrets, shards, similar
 from storyline.llm import spans as S
 from storyline.llm.common import table, texts
 
@@ -49,6 +49,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.classes(table(spark, sf_dir, "documents"), 4, 85).drop("text_hash")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
+    "op5_ngram_join": op5_ngram_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
     "op8_quality": op8_quality,
