@@ -103,4 +103,5 @@ def find(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """The rows of docs without those in whose document an item was found."""
-    return docs.join(find(docs, benchmark, **limits).select("doc_id").distinct(), "doc_id", "left_anti")
+    hit = find(docs, benchmark, **limits).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import bpe, decontaminate, html, neighbours, pii, quality, secrets, shards, similar
+from storyline.llm import bpe, decontaminate, html, lm, neighbours, pii, quality, secrets, shards, similar
 from storyline.llm import spans as S
 from storyline.llm.common import table, texts
 
@@ -49,6 +49,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.find(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lm.held_out(F.col("doc_id"))
+    scored = lm.score(docs, docs.filter(~out))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.classes(table(spark, sf_dir, "documents"), 4, 85).drop("text_hash")
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
+    "op4_lm": op4_lm,
     "op5_ngram_join": op5_ngram_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
