@@ -87,28 +87,22 @@ def _date_parts(year: Column, month: Column, day: Column, hour: Column, minute:
     return F.when(ok, made)
 
 
-#: By falling precision. Compact date and time, separated date and time, date alone; digits may not go on at the ends.
-_NAME_PATTERNS = (
-    r"(?<![0-9])((?:19|20|21)[0-9]{2})([01][0-9])([0-3][0-9])[_\-T ]?([0-2][0-9])([0-5][0-9])([0-5][0-9])(?![0-9])",
-    r"(?<![0-9])((?:19|20|21)[0-9]{2})[-_.]([01][0-9])[-_.]([0-3][0-9])[ _\-T]+(?:at |kl\. ?)?([0-2][0-9])[.:\-_]([0-5][0-9])[.:\-_]([0-5][0-9])(?![0-9])",
-    r"(?<![0-9])((?:19|20|21)[0-9]{2})[-_.]?([01][0-9])[-_.]?([0-3][0-9])(?![0-9])",
-)
+#: By falling precision. Compact date and time, separated date and time, date alone.
+_DATE_TIME = r"(?<![0-9])((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})[_\-T ]?([0-9]{2})([0-9]{2})([0-9]{2})"
+_SEPARATED = r"(?<![0-9])((?:19|20)[0-9]{2})-([0-9]{2})-([0-9]{2})(?:[ _\-T]| at | kl\.? )([0-9]{2})[.:\-]([0-9]{2})[.:\-]([0-9]{2})"
+_DATE = r"(?<![0-9])((?:19|20)[0-9]{2})-?([0-9]{2})-?([0-9]{2})(?![0-9])"
 
 
 def filename_time(name: Column | str) -> Column:
-    """civil time from a file name, the first valid match of the most precise pattern; noon-less dates are midnight."""
-    found = []
-    for pattern in _NAME_PATTERNS:
-        whole = F.regexp_extract_all(_c(name), F.lit(pattern), F.lit(0))
-        part = lambda m, i, p=pattern: F.regexp_extract(m, p, i)
-        clock = (lambda m, i, g=part: g(m, i)) if pattern is not _NAME_PATTERNS[2] else (lambda m, i: F.lit("0"))
-        times = F.transform(whole, _one_time(part, clock))
-        found.append(F.get(F.filter(times, lambda t: t.isNotNull()), 0))
-    return F.coalesce(*found)
+    """civil time from a file name: the first valid match of the most precise pattern; a date alone is midnight."""
 
+    def first(pattern: str, clock: bool) -> Column:
+        whole = F.regexp_extract_all(_c(name), F.lit(pattern), F.lit(0))
+        part = lambda m, i: F.regexp_extract(m, pattern, i) if i < 4 or clock else F.lit("0")
+        times = F.transform(whole, lambda m: _date_parts(*(part(m, i) for i in range(1, 7))))
+        return F.get(F.filter(times, lambda t: t.isNotNull()), 0)
 
-def _one_time(part, clock):  # noqa: ANN001, ANN202
-    return lambda m: _date_parts(part(m, 1), part(m, 2), part(m, 3), clock(m, 4), clock(m, 5), clock(m, 6))
+    return F.coalesce(first(_DATE_TIME, True), first(_SEPARATED, True), first(_DATE, False))
 
 
 def resolve_date(exif: Column, name: Column, modified: Column) -> Column:
@@ -120,7 +114,7 @@ def resolve_date(exif: Column, name: Column, modified: Column) -> Column:
 
 
 #: Canonical format of each file suffix.
-FORMATS = {"jpg": "jpeg", "jpeg": "jpeg", "heic": "heic", "heif": "heic", "png": "png", "webp": "webp"}
+FORMATS = {"jpg": "jpeg", "jpeg": "jpeg", "jpe": "jpeg", "heic": "heic", "heif": "heic", "hif": "heic", "png": "png", "webp": "webp"}
 
 
 def format_of(name: Column | str) -> Column:
@@ -197,7 +191,7 @@ def iou(a: Column, b: Column) -> Column:
 
 def grid_columns(n: Column) -> Column:
     """columns of a grid of n photos."""
-    return F.when(n <= 2, n).when(n == 3, 3).when(n == 4, 2).when(n <= 9, 3).otherwise(4).cast("int")
+    return F.when(n <= 2, 2).when(n == 3, 3).when(n == 4, 2).when(n <= 9, 3).otherwise(4).cast("int")
 
 
 def price_tier(pages: Column) -> Column:
