@@ -2,9 +2,9 @@
 
 A mask is laid over each window of words; the words at its marked places are hashed together, those between are ignored,
 so that a window still matches when a word there was replaced. Hashes of documents and of benchmark items are joined.
-Around each hit document and item are compared word by word along the same alignment: an equal word counts +1, a
-replaced one -MISS, and the best stretch decides. A hit is looked at only if the window one word before it is no hit of
-the same alignment, so that each passage is compared a few times, not once for each of its words.
+Hits are reduced to alignments, one for each item and shift. Along an alignment document and item are compared word by
+word: an equal word counts +1, a replaced one -MISS, and the best stretch decides. The hash join carries no texts; the
+documents with hits are joined with their alignments, and of them only the aligned words go on.
 
 Words are maximal runs of letters and digits in lower case. Null texts have no words. Items shorter than a window use
 the front of the masks; items under ``shortest`` words are not looked for. Repeated rows and ties give the same result
@@ -28,7 +28,7 @@ MOST_SEEDS = 2_000_000
 def words(text: Column) -> Column:
     """Hashes of the words, in order."""
     split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(split, ""), lambda w: F.xxhash64(w))
 
 
 def seed(hashes: Column, at: Column, mask: int, span: int) -> Column:
@@ -37,35 +37,18 @@ def seed(hashes: Column, at: Column, mask: int, span: int) -> Column:
     return F.xxhash64(F.lit(mask), F.lit(span), *(F.get(hashes, at + i) for i in marked))
 
 
-def _seeds(rows: DataFrame, hashes: str, spans: list[int], *keep: str) -> DataFrame:
-    """A row for each window, mask and span: pos, mask, span and hash."""
-    size = F.size(hashes)
-    out = None
-    for span in spans:
-        # The front of a mask can be the whole of another one's: for short spans one mask is enough.
-        masks = range(len(MASKS)) if span == SPAN else [0]
-        at = rows.filter(size >= span).select(*keep, F.explode(F.sequence(F.lit(0), size - span)).alias("pos"))
-        some = at.select(*keep, "pos", F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), seed(F.col(hashes), F.col("pos"), m, span).alias("hash")) for m in masks))).alias("s"))
-        some = some.select(*keep, "pos", F.col("s.mask").alias("mask"), F.lit(span).alias("span"), F.col("s.hash").alias("hash"))
-        out = some if out is None else out.unionByName(some)
-    return out
-
-
-def _before_hits(span: int) -> Column:
-    """Whether the window one word before is a hit of the same mask and alignment."""
-    same = lambda m: seed(F.col("doc"), F.col("pos") - 1, m, span) == seed(F.col("item"), F.col("item_pos") - 1, m, span)
-    hit = F.lit(False)
-    for m in range(len(MASKS)):
-        hit = F.when(F.col("mask") == m, same(m)).otherwise(hit)
-    return (F.col("pos") > 0) & (F.col("item_pos") > 0) & hit
-
-
-def _best() -> Column:
-    """Score, first and end (in words of the document) and equal words of the best stretch along the alignment of a hit."""
-    skew = F.col("pos") - F.col("item_pos")
-    first = F.greatest(skew, F.lit(0))
-    n = F.least(F.size("doc") - first, F.size("item") - (first - skew))
-    equal = F.zip_with(F.slice("doc", first + 1, n), F.slice("item", first - skew + 1, n), lambda a, b: a == b)
+def _seeds(rows: DataFrame, hashes: str, span: int, *keep: str) -> DataFrame:
+    """A row for each window and mask: pos, mask and hash."""
+    # The front of a mask can be the whole of another one's: for short spans one mask is enough.
+    masks = range(len(MASKS)) if span == SPAN else [0]
+    starts = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span))
+    at = rows.select(*keep, hashes, F.explode(starts).alias("pos"))
+    some = at.select(*keep, "pos", F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), seed(F.col(hashes), F.col("pos"), m, span).alias("hash")) for m in masks))).alias("s"))
+    return some.select(*keep, "pos", F.col("s.mask").alias("mask"), F.col("s.hash").alias("hash"))
+
+
+def _best(equal: Column) -> Column:
+    """Score, first, end and equal words of the best stretch."""
     zero = F.struct(*(F.lit(0).alias(c) for c in ("at", "run", "since", "same", "score", "first", "end", "equal")))
 
     def step(acc: Column, hit: Column) -> Column:
@@ -77,27 +60,42 @@ def _best() -> Column:
         pick = lambda new, old: F.when(better, new).otherwise(acc[old])
         return F.struct((acc["at"] + 1).alias("at"), run.alias("run"), since.alias("since"), same.alias("same"), pick(run, "score").alias("score"), pick(since, "first").alias("first"), pick(acc["at"] + 1, "end").alias("end"), pick(same, "equal").alias("equal"))
 
-    return F.aggregate(equal, zero, step, lambda acc: F.struct(acc["score"].alias("score"), (acc["first"] + first).alias("first"), (acc["end"] + first).alias("end"), acc["equal"].alias("equal")))
+    return F.aggregate(equal, zero, step, lambda acc: F.struct(acc["score"].alias("score"), acc["first"].alias("first"), acc["end"].alias("end"), acc["equal"].alias("equal")))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: float = 0.7, shortest: int = 6) -> DataFrame:
     """doc_id, item_id, first_word, end_word, equal_words and score of the best stretch, where the score reaches ``least``
     or, for short items, ``share`` of the item's words."""
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") >= shortest).dropDuplicates(["item_id", "item"])
-    held = docs.select("doc_id", words(F.col("text")).alias("doc")).filter(F.size("doc") >= shortest)
+    items = items.withColumn("item_key", F.xxhash64("item_id", "item"))
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    held = texts.select("doc_id", "text_hash", words(F.col("text")).alias("doc"))
     sizes = items.agg(F.sum(F.size("item")), F.collect_set(F.least(F.size("item"), F.lit(SPAN)))).first()
     slices = max(1, math.ceil((sizes[0] or 0) * len(MASKS) / MOST_SEEDS))
-    out = None
-    for k in range(slices):
-        some = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
-        for span in sorted(sizes[1] or [SPAN]):
-            own = some.filter(F.least(F.size("item"), F.lit(SPAN)) == span)
-            theirs = _seeds(own, "item", [span], "item_id", "item").withColumnRenamed("pos", "item_pos").drop("span")
-            hits = _seeds(held, "doc", [span], "doc_id", "doc").drop("span").join(F.broadcast(theirs), ["hash", "mask"])
-            hits = hits.filter(~_before_hits(span)).select("doc_id", "item_id", F.size("item").alias("n"), _best().alias("b"))
-            good = hits.filter(F.col("b.score") >= F.least(F.lit(least), F.ceil(F.col("n") * share)))
-            out = good if out is None else out.unionByName(good)
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("b.score", (-F.col("b.first")).alias("first"), "b.end", "b.equal")).alias("b"))
+    hits = None
+    for span in sorted(sizes[1] or [SPAN]):
+        own = items.filter(F.least(F.size("item"), F.lit(SPAN)) == span)
+        for k in range(slices):
+            some = own if slices == 1 else own.filter(F.pmod("item_key", F.lit(slices)) == k)
+            theirs = _seeds(some, "item", span, "item_key").withColumnRenamed("pos", "item_pos")
+            met = _seeds(held, "doc", span, "doc_id", "text_hash").join(F.broadcast(theirs), ["hash", "mask"])
+            met = met.select("doc_id", "text_hash", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
+            hits = met if hits is None else hits.unionByName(met)
+    # A document's hits come from one task, which leaves one row for each alignment.
+    hits = hits.distinct().join(items.select("item_key", F.size("item").alias("n")), "item_key")
+    by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_key", "shift", "n")).alias("hits"))
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    found = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", words(F.col("text")).alias("doc"), "hits")
+
+    def cut(h: Column) -> Column:
+        first = F.greatest(h["shift"], F.lit(0))
+        end = F.least(F.size("doc"), h["shift"] + h["n"])
+        return F.struct(h["item_key"].alias("item_key"), h["n"].alias("n"), first.alias("at"), (first - h["shift"]).alias("skip"), F.slice("doc", first + 1, end - first).alias("part"))
+
+    parts = found.select("doc_id", F.explode(F.transform("hits", cut)).alias("h")).select("doc_id", "h.*").join(items, "item_key")
+    equal = F.zip_with("part", F.slice("item", F.col("skip") + 1, F.size("part")), lambda a, b: a == b)
+    best = parts.select("doc_id", "item_id", "n", "at", _best(equal).alias("b")).filter(F.col("b.score") >= F.least(F.lit(least), F.ceil(F.col("n") * share)))
+    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("b.score", (-F.col("at") - F.col("b.first")).alias("first"), (F.col("at") + F.col("b.end")).alias("end"), "b.equal")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.first")).alias("first_word"), F.col("b.end").alias("end_word"), F.col("b.equal").alias("equal_words"), F.col("b.score").alias("score"))
 
 
