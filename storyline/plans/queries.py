@@ -521,10 +521,10 @@ def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("l_orderkey").agg(F.count("*").alias("pairs"), F.round(F.max(f.iou(F.col("a"), F.col("b"))), 6).cast("double").alias("most"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / (l_quantity * 10 / 25.4), 10)::DOUBLE AS ppi, l_extendedprice / (l_quantity * 10 / 25.4) < 150 AS low FROM lineitem WHERE l_quantity > 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(1e-7 + l_extendedprice / (l_quantity * 10 / 25.4), 6)::DOUBLE AS ppi, l_extendedprice / (l_quantity * 10 / 25.4) < 150 AS low FROM lineitem WHERE l_quantity > 0")
 def ppi_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     ppi = f.ppi(F.col("l_extendedprice"), F.col("l_quantity") * 10)
-    return src.table(spark, sf_dir, "lineitem").filter("l_quantity > 0").select("l_orderkey", "l_linenumber", "l_partkey", F.round(ppi, 10).cast("double").alias("ppi"), f.low_resolution(ppi).alias("low"))
+    return src.table(spark, sf_dir, "lineitem").filter("l_quantity > 0").select("l_orderkey", "l_linenumber", "l_partkey", F.round(1e-7 + ppi, 6).cast("double").alias("ppi"), f.low_resolution(ppi).alias("low"))
 
 
 @query("SELECT p_partkey, greatest(50, ceil(p_size / 50.0) * 50)::BIGINT AS tier, (300 + greatest(50, ceil(p_size / 50.0) * 50) * 4)::BIGINT AS price FROM (SELECT p_partkey, p_size * 5 AS p_size FROM part)")
