@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.functions import scalar as f
-from storyline.operators import catalog, dedup, draft, evaluate, graph, layout, learn, people, select, timeline
+from storyline.operators import catalog, dedup, draft, evaluate, graph, groups, layout, learn, people, select, timeline
 from storyline.sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -593,3 +593,133 @@ def coverage_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
     persons = e.select(F.lit("L1").alias("library_id"), F.col("user_id").alias("id")).distinct().withColumn("role", role)
     shown = e.filter("value > 97").select(F.lit("L1").alias("library_id"), F.col("user_id").alias("person_id"))
     return people.coverage_deficit(shown, persons).select("person_id", F.col("missing").cast("long").alias("missing"))
+
+
+# Hints, patches and work lists
+
+EVERYDAY = f"""WITH RECURSIVE {GAPPED}, k AS (SELECT user_id, event_id, t, event AS grp, count(*) OVER (PARTITION BY user_id, event) < 3 AS everyday FROM s)"""
+RENUMBERED = "n AS (SELECT *, min(struct_pack(t := t, k := event_id)) OVER (PARTITION BY user_id, label) AS f FROM l), r AS (SELECT user_id, event_id, everyday, dense_rank() OVER (PARTITION BY user_id ORDER BY f) - 1 AS grp FROM n)"
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    size = rows.groupBy("user_id", "event").agg((F.count("*") < 3).alias("everyday"))
+    return rows.join(size, ["user_id", "event"]).select("user_id", "event_id", "t", F.col("event").alias("grp"), "everyday")
+
+
+@query(f"""{EVERYDAY}, h AS (SELECT user_id, event_id % 17 AS set_id, grp FROM k WHERE event_id % 17 < 2 AND event_id < 1500),
+ed AS (SELECT DISTINCT a.user_id, a.grp AS a, b.grp AS b FROM h a JOIN h b ON a.user_id = b.user_id AND a.set_id = b.set_id),
+c(user_id, grp, root) AS (SELECT user_id, a, a FROM ed UNION SELECT ed.user_id, ed.b, c.root FROM c JOIN ed ON ed.user_id = c.user_id AND ed.a = c.grp),
+m AS (SELECT user_id, grp, min(root) AS root FROM c GROUP BY ALL),
+l AS (SELECT k.user_id, event_id, t, everyday AND root IS NULL AS everyday, coalesce(root, k.grp) AS label FROM k LEFT JOIN (SELECT * FROM m WHERE (user_id, root) IN (SELECT user_id, root FROM m GROUP BY ALL HAVING count(*) > 1)) m ON m.user_id = k.user_id AND m.grp = k.grp),
+{RENUMBERED} SELECT user_id, event_id, everyday, grp FROM r""")
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _grouped(spark, sf_dir)
+    sets = rows.filter("event_id % 17 < 2 and event_id < 1500").select("user_id", (F.col("event_id") % 17).alias("set_id"), "event_id")
+    return groups.merge_groups(rows, sets, ["user_id"], "t", "event_id").select("user_id", "event_id", "everyday", "grp")
+
+
+@query(f"""{EVERYDAY}, l AS (SELECT user_id, event_id, t, everyday AND event_id % 23 <> 0 AS everyday, CASE WHEN event_id % 23 = 0 THEN 's' || (event_id % 2) ELSE 'g' || grp END AS label FROM k),
+{RENUMBERED} SELECT user_id, event_id, everyday, grp FROM r""")
+def own_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _grouped(spark, sf_dir)
+    sets = rows.filter("event_id % 23 = 0").select("user_id", (F.col("event_id") % 2).alias("set_id"), "event_id")
+    return groups.own_stories(rows, sets, ["user_id"], "t", "event_id").select("user_id", "event_id", "everyday", "grp")
+
+
+@query(f"""{EVERYDAY}, p AS (SELECT user_id, event_id, event_id % 3 AS page_id, event_id AS pos, grp FROM k WHERE event_id % 31 = 0),
+h AS (SELECT user_id, page_id, arg_min(grp, pos) AS home FROM p GROUP BY ALL),
+l AS (SELECT k.user_id, k.event_id, t, everyday, coalesce(home, k.grp) AS label FROM k LEFT JOIN p ON p.event_id = k.event_id LEFT JOIN h ON h.user_id = p.user_id AND h.page_id = p.page_id),
+{RENUMBERED} SELECT user_id, event_id, grp FROM r""")
+def gathered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _grouped(spark, sf_dir)
+    locked = rows.filter("event_id % 31 = 0").select("user_id", (F.col("event_id") % 3).alias("page_id"), F.col("event_id").alias("pos"), "event_id")
+    return groups.gather_locked(rows, locked, ["user_id"], "t", "event_id").select("user_id", "event_id", "grp")
+
+
+@query(f"""{EVERYDAY}, c AS (SELECT user_id, grp, everyday, count(*) FILTER (event_id % 3 > 0) AS n, bool_or(event_id % 3 > 0 AND event_id % 40 = 0) AS child, (max(t) - min(t)) // 86400 AS days FROM k GROUP BY ALL)
+SELECT user_id, grp, NOT everyday AND days >= 1 AND n >= 5 AND NOT child AND grp % 5 <> 0 AS adult_trip FROM c""")
+def trip_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    rows = _grouped(spark, sf_dir).withColumn("nature", F.lit(False)).withColumn("persons", F.when(key % 3 > 0, F.array(key % 40)).otherwise(F.array().cast("array<bigint>")))
+    children = rows.select("user_id", F.lit(0).cast("long").alias("person")).distinct()
+    away = rows.select("user_id", "grp", (F.col("grp") % 5 != 0).alias("away")).distinct()
+    return groups.trip_guess(rows, ["user_id"], children, away)
+
+
+@query()
+def coverage_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    rows = _grouped(spark, sf_dir).withColumn("quality", key % 100 / 100.0).withColumn("usable", key % 7 > 0).withColumn("included", key % 11 == 0)
+    rows = rows.withColumn("persons", F.when(key % 4 == 0, F.array(F.struct((key % 13).alias("person"), (key % 9 / 9.0).alias("score")))))
+    wants = src.table(spark, sf_dir, "events").select("user_id").distinct().withColumn("person", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("want", F.lit(2))
+    return groups.coverage_repair(rows, wants, ["user_id"], "event_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id % 2 = 0 ELSE value > 50 END AS included,
+CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'chosen_by_you' ELSE 'excluded_by_you' END ELSE event_type END AS reason FROM events""")
+def choice_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = src.table(spark, sf_dir, "events").select("event_id", (F.col("value") > 50).alias("included"), F.col("event_type").alias("reason"))
+    patches = e.filter("event_id % 5 = 0").select("event_id", (F.col("event_id") % 2 == 0).alias("included"))
+    return groups.apply_choices(e, patches, [], "event_id")
+
+
+@query("""WITH p AS (SELECT user_id, list(event_id ORDER BY event_id) AS x FROM events WHERE event_id < 2000 GROUP BY user_id), q AS (SELECT user_id, x[len(x)] AS m, x[1] AS b, list_filter(x, lambda i : i <> x[len(x)]) AS rest FROM p WHERE len(x) > 1)
+SELECT user_id, array_to_string(list_concat([m], rest), ',') AS photos FROM q""")
+def moved_photo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = src.table(spark, sf_dir, "events").filter("event_id < 2000").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("x")).filter(F.size("x") > 1)
+    moved = groups.move_photo(F.col("x"), F.element_at("x", -1), F.get("x", 0))
+    return pages.select("user_id", F.array_join(moved, ",").alias("photos"))
+
+
+@query("""WITH c AS (SELECT user_id, count(*) FILTER (value > 99) AS great, count(*) FILTER (value < 1) AS poor FROM events GROUP BY user_id)
+SELECT user_id, concat_ws(';', CASE WHEN great > 0 THEN 'great: ' || great END, CASE WHEN poor > 0 THEN 'poor: ' || poor END) AS notices FROM c""")
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = src.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 99).alias("great"), F.count_if(F.col("value") < 1).alias("poor"))
+    return groups.notices(c, ["great", "poor"]).select("user_id", F.array_join("notices", ";").alias("notices"))
+
+
+@query(f"{EVERYDAY} SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS included, count(DISTINCT grp) FILTER (event_id % 3 = 0) AS events, count(*) FILTER (event_id % 3 = 0 AND everyday) AS warnings FROM k GROUP BY user_id")
+def album_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _grouped(spark, sf_dir).withColumn("included", F.col("event_id") % 3 == 0).withColumn("warning", F.col("everyday"))
+    return groups.counters(rows, ["user_id"])
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1")
+def photos_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.months(src.table(spark, sf_dir, "events"), F.col("ts"))
+
+
+@query("""WITH t AS (SELECT user_id, event_type, max(event_id) AS id FROM events WHERE event_id % 2 = 0 GROUP BY ALL), c AS (SELECT user_id, event_type, max(event_id) AS id FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+SELECT user_id, event_type, coalesce(c.id, t.id) AS id FROM t FULL JOIN c USING (user_id, event_type)""")
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = lambda cond: src.table(spark, sf_dir, "events").filter(cond).groupBy("user_id", "event_type").agg(F.max("event_id").alias("id"))
+    return catalog.upsert(last("event_id % 2 = 0"), last("event_id % 3 = 0"), ["user_id", "event_type"])
+
+
+@query("SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10")
+def undo_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = src.table(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.col("user_id").alias("library_id"), F.lit(2020).alias("album_year"), F.col("event_id").alias("id"), "event_type")
+    return catalog.undo_steps(log, 10).select(F.col("library_id").alias("user_id"), "event_type", F.col("id").alias("event_id"))
+
+
+PHOTOS = """WITH p AS (SELECT event_id, (event_id * 7 % 101) / 100.0::DOUBLE AS sharp, (event_id * 11 % 97) / 96.0::DOUBLE AS expo, (event_id * 13 % 89) / 88.0::DOUBLE AS color, (event_id * 19 % 79) / 78.0::DOUBLE AS motion, (event_id * 23 % 73) / 72.0::DOUBLE AS noise,
+CASE WHEN event_id % 41 = 0 THEN 'png' ELSE 'jpeg' END AS format, event_id % 3 <> 0 AS camera FROM events)"""
+
+
+@query(f"""{PHOTOS} SELECT event_id, CASE WHEN format = 'png' AND NOT camera THEN 'screenshot' WHEN expo < 0.1 THEN 'dark_or_blown' WHEN sharp < 0.15 THEN 'blurry' END AS noise,
+CASE WHEN motion >= 0.5 THEN 'motion_blur' WHEN p.noise >= 0.85 THEN 'grainy' END AS flaw FROM p""")
+def photo_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = src.photos(spark, sf_dir)
+    none = spark.range(0)
+    faces = none.select(*(F.lit(None).cast(t).alias(c) for c, t in (("library_id", "string"), ("content_hash", "long"), ("id", "long"), ("h", "double"), ("sharpness", "double"), ("person_id", "long"), ("grp", "long"), ("ignored", "boolean"))))
+    decisions = none.select(*(F.lit(None).cast(t).alias(c) for c, t in (("library_id", "string"), ("content_hash", "long"), ("decision", "string"))))
+    prefs = photos.select("library_id").distinct().select("library_id", *(F.lit(s).alias(n) for n, (s, _, _) in learn.WEIGHTS.items()))
+    return draft.annotate(photos, faces, decisions, prefs).select(F.col("content_hash").alias("event_id"), "noise", "flaw")
+
+
+@query(f"""{PHOTOS} SELECT event_id, round((sharp * 0.5 + expo * 0.3 + color * 0.2) * 100, 6)::DOUBLE AS score, round(0.40 * sharp + 0.25 * expo + 0.15 * (1 - motion) + 0.10 * (1 - noise) + 0.10, 9)::DOUBLE AS tech FROM p""")
+def photo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, c = src.photos(spark, sf_dir), F.col
+    tech = f.technical_quality(c("q_sharp"), c("q_exposure"), c("q_motion"), c("q_noise"), F.lit(0.0))
+    return p.select(c("content_hash").alias("event_id"), F.round(f.prototype_score(c("q_sharp"), c("q_exposure"), c("q_color")), 6).alias("score"), F.round(tech, 9).alias("tech"))

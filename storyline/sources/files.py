@@ -58,7 +58,8 @@ def scanned(listing: DataFrame, root: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder, metadata only: the content column is never read."""
+    """Files below a folder, metadata only: the content column is never read. Spark's readers pass over names that start with a
+    dot, so cloud stubs need a listing of another kind, which goes to scanned()."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     return scanned(listing, root)
 

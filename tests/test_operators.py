@@ -138,7 +138,7 @@ def test_evaluation(spark):
     assert (same.precision, same.recall, same.f1) == (1.0, 1.0, 1.0)
     near = spark.createDataFrame([(9, 15, 2**50 - 1), (8, 90_000, 1), (7, 50_000, 2**30 - 1)], schema)
     got = evaluate.selection_metrics(gold, near).first()
-    assert abs(got.precision - 2 / 3) < 1e-9 and abs(got.recall - 1 / 3) < 1e-9
+    assert abs(got.precision - 2 / 3) < 1e-9 and abs(got.recall - 2 / 3) < 1e-9
 
 
 def make(spark, rows):
@@ -175,11 +175,13 @@ def test_names_of_files(spark):
 
 
 def test_scan(spark, tmp_path):
-    for name in ("a/x.jpg", "a/.y.jpg.icloud", "b/z.txt", "c.png"):
+    for name in ("a/x.jpg", "b/z.txt", "c.png"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"1234")
     got = {r.rel_path: (r.size, r.status) for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"a/x.jpg": (4, "local"), "a/y.jpg": (0, "cloud_only"), "c.png": (4, "local")}
+    assert got == {"a/x.jpg": (4, "local"), "c.png": (4, "local")}
+    listed = spark.createDataFrame([("file:/r/a/.y.jpg.icloud", 9, datetime(2020, 1, 1)), ("file:/r/.z/y.jpg", 9, datetime(2020, 1, 1))], "path string, length long, modificationTime timestamp")
+    assert [(r.rel_path, r.size, r.status) for r in files.scanned(listed, "/r").collect()] == [("a/y.jpg", 0, "cloud_only")]
 
 
 def test_nearest_covers_both_sides(spark):
