@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from storyline.llm.common import in_arrow
+
 #: Fixed value: the pre-split pattern that byte-level vocabularies of this kind are defined with.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of the tables that a worker fills as it goes; a full table is emptied, which only costs time.
@@ -209,7 +211,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
             flat = pa.array(np.concatenate(each) if each else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.ListArray.from_arrays(pa.array(ends), flat)], [*kept, out])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def decode(coded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -229,4 +231,4 @@ def decode(coded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decod
             said = c.decode(known, np.concatenate([[0], np.cumsum(count)]))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(said, pa.string())], [*kept, out])
 
-    return coded.mapInArrow(run, schema)
+    return in_arrow(coded, run, schema)

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from storyline.llm.common import in_arrow
+
 BLOCKS = frozenset(
     "html head body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset figure figcaption blockquote pre address details summary dialog menu hgroup search select option button iframe object noscript template legend".split()
 )
@@ -384,4 +386,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 said = extract_texts([x or "" for x in b.column("html").to_pylist()], held.value)
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(said, pa.string())], ["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    return in_arrow(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import materialize
+from storyline.llm.common import in_arrow, materialize
 
 MOST_ROWS, FOURIER, RIDGE, SEED = 200_000, 384, 1e-3, 20240607
 SIGNS = b"!#$%&*|.,;:?-\"'()<>{}[]=/\\_@+"
@@ -80,7 +80,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             for part, x in _table(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "stats"])
 
-    return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, stats array<double>")
+    return in_arrow(docs.select("doc_id", "y", "text"), run, "doc_id long, y double, stats array<double>")
 
 
 def held_out(doc_id: Column, of: int = 3) -> Column:
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | No
                 n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
         yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "q": [q.tolist()]})
 
-    parts = rows.select("stats").mapInArrow(moments, "n long, s array<double>, q array<double>").collect()
+    parts = in_arrow(rows.select("stats"), moments, "n long, s array<double>, q array<double>").collect()
     if not (n := sum(p["n"] for p in parts)):
         return None
     mean = np.sum([p["s"] for p in parts], 0) / n
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | No
                 v += z.T @ np.array(b.column("y").to_pylist())
         yield pa.RecordBatch.from_pydict({"a": [a.tobytes()], "v": [v.tobytes()]})
 
-    parts = rows.filter("not aside").select("stats", "y").mapInArrow(normal, "a binary, v binary").collect()
+    parts = in_arrow(rows.filter("not aside").select("stats", "y"), normal, "a binary, v binary").collect()
     a = np.sum([np.frombuffer(p["a"]).reshape(width, width) for p in parts], 0)
     v = np.sum([np.frombuffer(p["v"]) for p in parts], 0)
     m = max(a[0, 0], 1.0)
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model | No
             if b.num_rows:
                 yield pa.RecordBatch.from_pydict({"s": _features(np.array(b.column("stats").to_pylist()), model) @ model.ridge, "y": b.column("y")})
 
-    aside = rows.filter("aside").select("stats", "y").mapInArrow(raw, "s double, y double").collect()  # a quarter of ``most``
+    aside = in_arrow(rows.filter("aside").select("stats", "y"), raw, "s double, y double").collect()  # a quarter of ``most``
     if not aside:
         return model._replace(at=np.array([0.0, 1.0]), says=np.array([0.0, 1.0]))
     at, says = _isotonic(np.array([r["s"] for r in aside]), np.array([r["y"] for r in aside]))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
             for part, x in _table(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(_score(x, held.value))], [*kept, out])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.DoubleType())]))
+    return in_arrow(docs, run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.DoubleType())]))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
