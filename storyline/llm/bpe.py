@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from storyline.llm.common import in_arrow
+from storyline.llm.common import in_arrow, worker_table
 
 #: Fixed value: the pre-split pattern that byte-level vocabularies of this kind are defined with.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of the tables that a worker fills as it goes; a full table is emptied, which only costs time.
-MOST_WORDS, MOST_STEPS, LONG_WORD = 400_000, 2_000_000, 64
+MOST_WORDS, MOST_STEPS, LONG_WORD = 200_000, 1_000_000, 64
 ROWS_AT_ONCE = 512
 START = -1
 
@@ -170,15 +170,9 @@ class Coder:
         return [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-_coders: dict[int, Coder] = {}
-
-
 def coder(spec: str) -> Coder:
     """The compiled tables, once in each worker process."""
-    if (key := hash(spec)) not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(spec)
-    return _coders[key]
+    return worker_table(__name__, hash(spec), lambda: Coder(spec))
 
 
 def read_spec(path: str) -> str:

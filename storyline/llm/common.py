@@ -46,10 +46,29 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.exec
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow() over bounded batches."""
+    """df.mapInArrow() over bounded batches. A task first drops the tables that another operator's tasks left in its worker."""
     for name, most in BATCH.items():
         df.sparkSession.conf.set(name, most)
-    return df.mapInArrow(run, schema)
+    owner = run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(of != owner for of, _ in _tables):
+            _tables.clear()
+            pa.default_memory_pool().release_unused()
+        yield from run(batches)
+
+    return df.mapInArrow(task, schema)
+
+
+_tables: dict[tuple[str, object], object] = {}
+
+
+def worker_table(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps between the tasks of one operator, the module ``owner``; one table at a time."""
+    if (owner, key) not in _tables:
+        _tables.clear()
+        _tables[owner, key] = make()
+    return _tables[owner, key]
 
 
 def ascii_lower(c: Column) -> Column:
