@@ -160,14 +160,21 @@ def levels(count: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log(np.maximum(count, 1)) / math.log(BASE) + 1e-9), LEVELS).astype(np.int64)
 
 
-def build_section(h: np.ndarray, count: np.ndarray, most_bits: int) -> np.ndarray:
-    """The section's bits, packed. Where they would pass most_bits, the least frequent entries stay out."""
+def build_section(h: np.ndarray, count: np.ndarray, most_bits: int, whole: bool = False) -> np.ndarray:
+    """The section's bits, packed. Where they would pass most_bits, the least frequent entries stay out; if ``whole``, all
+    stay, the least frequent with one level, and the bits are shared by more entries."""
     level = levels(count)
     order = np.argsort(-count, kind="stable")
     h, level = h[order], level[order]
-    fits = int(np.searchsorted(np.cumsum(level) * BITS, most_bits, side="right"))
-    h, level = h[:fits], level[:fits]
+    if whole:
+        more = max(most_bits - len(h) * BITS, most_bits // 4)
+        level[int(np.searchsorted(np.cumsum(level - 1) * BITS, more, side="right")) :] = 1
+    else:
+        fits = int(np.searchsorted(np.cumsum(level) * BITS, most_bits, side="right"))
+        h, level = h[:fits], level[:fits]
     size = max(64, -(-int(level.sum()) * BITS // 8) * 8)
+    if whole:
+        size = max(64, min(size, most_bits // 8 * 8))
     bits = np.zeros(size, np.bool_)
     for j in range(1, LEVELS + 1):
         some = h[level >= j]

@@ -11,7 +11,8 @@ How rare a shingle is comes from a log-frequency filter: tasks send the fingerpr
 the shuffle, to sections; each section keeps those that two documents share, with quantised counts, in a Bloom filter.
 The filter only orders the sets, so its errors cost time, never a link. A shingle that it doesn't hold is in no other
 document; a document whose prefix is made of such shingles has no partner and is not looked at again. Its size follows
-the number of shared shingles up to MOST_BITS, beyond which the most frequent ones are kept and order less well.
+the number of shared shingles up to MOST_BITS; beyond that all shared shingles are still held, in fewer bits each, so
+that more shingles seem shared than are, and the least frequent ones are ordered less well.
 
 Only classes are asked for, so no star is turned into all its pairs: a chunk of nodes gives the links that join its
 classes, at most one for each node. Stars of one chunk, nearly all, are done then. In larger ones the nodes outside the
@@ -128,7 +129,7 @@ def _frequency(docs: DataFrame, size: int, bits: int) -> lm.Filter:
         once, more = read("once"), read("more")
         print_, back = np.unique(np.concatenate([once, more]), return_inverse=True)
         n = np.bincount(back, np.concatenate([np.ones(len(once)), read("counts")]))
-        data = lm.build_section(print_[n > 1].astype(np.uint64), n[n > 1] - 1, MOST_BITS >> bits)
+        data = lm.build_section(print_[n > 1].astype(np.uint64), n[n > 1] - 1, MOST_BITS >> bits, whole=True)
         return pa.table({"section": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
     sent = in_arrow(docs.select("text"), send, "section int, once binary, more binary, counts binary")

@@ -164,6 +164,20 @@ def test_join_equals_brute_force(spark, tmp_path):
     assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c in want})
 
 
+def test_join_loses_no_link_where_the_filter_is_full(spark, monkeypatch):
+    r = random.Random(8)
+    texts = []
+    for i in range(150):
+        one = [f"u{i}x{k}" for k in range(r.randint(20, 60))]
+        texts += [" ".join(one), " ".join([*one[:-1], "other"])]
+    texts += [f"alone{i} " * 3 + " ".join(f"a{i}x{k}" for k in range(30)) for i in range(50)]
+    want = brute.classes(list(enumerate(texts)), 4, 85)
+    for bits in (1 << 10, 1 << 15):
+        monkeypatch.setattr(similar, "MOST_BITS", bits)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in similar.classes(documents(spark, texts), 4, 85).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_join_of_nothing_and_of_repeated_rows(spark):
     assert similar.classes(documents(spark, [])).count() == 0
     twice = documents(spark, ["one two three four five six seven"]).unionByName(documents(spark, ["one two three four five six seven"]))
