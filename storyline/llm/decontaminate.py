@@ -63,9 +63,8 @@ def _best(equal: Column) -> Column:
     return F.aggregate(equal, zero, step, lambda acc: F.struct(acc["score"].alias("score"), acc["first"].alias("first"), acc["end"].alias("end"), acc["equal"].alias("equal")))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: float = 0.7, shortest: int = 6) -> DataFrame:
-    """doc_id, item_id, first_word, end_word, equal_words and score of the best stretch, where the score reaches ``least``
-    or, for short items, ``share`` of the item's words."""
+def _stretches(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: float = 0.7, shortest: int = 6) -> DataFrame:
+    """doc_id, text_hash, item_id, at (the first aligned word) and b (the best stretch) of each alignment that find() counts."""
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") >= shortest).dropDuplicates(["item_id", "item"])
     items = items.withColumn("item_key", F.xxhash64("item_id", "item"))
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
@@ -85,21 +84,29 @@ def find(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: float =
     hits = hits.distinct().join(items.select("item_key", F.size("item").alias("n")), "item_key")
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_key", "shift", "n")).alias("hits"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    found = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", words(F.col("text")).alias("doc"), "hits")
+    found = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", words(F.col("text")).alias("doc"), "hits")
 
     def cut(h: Column) -> Column:
         first = F.greatest(h["shift"], F.lit(0))
         end = F.least(F.size("doc"), h["shift"] + h["n"])
         return F.struct(h["item_key"].alias("item_key"), h["n"].alias("n"), first.alias("at"), (first - h["shift"]).alias("skip"), F.slice("doc", first + 1, end - first).alias("part"))
 
-    parts = found.select("doc_id", F.explode(F.transform("hits", cut)).alias("h")).select("doc_id", "h.*").join(items, "item_key")
+    parts = found.select("doc_id", "text_hash", F.explode(F.transform("hits", cut)).alias("h")).select("doc_id", "text_hash", "h.*").join(items, "item_key")
     equal = F.zip_with("part", F.slice("item", F.col("skip") + 1, F.size("part")), lambda a, b: a == b)
-    best = parts.select("doc_id", "item_id", "n", "at", _best(equal).alias("b")).filter(F.col("b.score") >= F.least(F.lit(least), F.ceil(F.col("n") * share)))
+    best = parts.select("doc_id", "text_hash", "item_id", "n", "at", _best(equal).alias("b"))
+    return best.filter(F.col("b.score") >= F.least(F.lit(least), F.ceil(F.col("n") * share)))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
+    """doc_id, item_id, first_word, end_word, equal_words and score of the best stretch, where the score reaches ``least``
+    or, for short items, ``share`` of the item's words."""
+    best = _stretches(docs, benchmark, **limits)
     best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("b.score", (-F.col("at") - F.col("b.first")).alias("first"), (F.col("at") + F.col("b.end")).alias("end"), "b.equal")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.first")).alias("first_word"), F.col("b.end").alias("end_word"), F.col("b.equal").alias("equal_words"), F.col("b.score").alias("score"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
-    """The rows of docs without those in whose document an item was found."""
-    hit = find(docs, benchmark, **limits).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of docs without those in whose text an item was found, whatever their ids."""
+    hit = _stretches(docs, benchmark, **limits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & same, "left_anti")

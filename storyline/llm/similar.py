@@ -21,7 +21,7 @@ no link is lost, and copies by the thousand give no more rows than there are cop
 
 Null texts and texts without words have the empty set, which is linked with nothing. Texts with fewer words than a
 shingle are one shingle of their own. Repeated rows each get their row. A class is named by its smallest doc_id; null
-ids name none. Columns other than doc_id and text are left out by classes() and kept by one_of_each().
+ids name none, but their rows are linked and chosen like all others: what is one class goes by nodes, not by names. Columns other than doc_id and text are left out by classes() and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -170,9 +170,14 @@ def _base(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return materialize(in_arrow(rows, run, "doc_id long, text_hash long, n int, node binary, grp long, first int, prefix array<long>"), "join-base")
 
 
+def _row(text_hash: Column) -> Column:
+    """Stands for the rows of one doc_id, which may be null, and one text. Rows that share it in error cost time only."""
+    return F.xxhash64("doc_id", text_hash)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node and set for the wanted nodes. wanted: doc_id and node."""
-    held = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    """node and set for the wanted nodes. wanted: row and node."""
+    held = docs.select(_row(F.xxhash64("text")).alias("row"), "text").join(wanted.select("row").distinct(), "row", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -288,14 +293,14 @@ def _link_classes(base: DataFrame, docs: DataFrame, size: int, percent: int) ->
     buckets = tokens.groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("grp").alias("h"), "grp")).alias("p"))
     buckets = buckets.filter((F.col("lo.grp") != F.col("hi.grp")) & ((F.col("c") > 2) | _close(F.col("lo"), F.col("hi"), percent)))
     stars = tokens.join(buckets.select("key", F.col("p.grp").alias("star")), "key").select("star", "grp").distinct()
-    members = filled.groupBy("grp", "node", "n").agg(F.min("doc_id").alias("doc_id"))
+    members = filled.groupBy("grp", "node", "n").agg(F.min(_row(F.col("text_hash"))).alias("row"))
     many = members.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp", F.col("grp").alias("star"))
-    rows = members.join(stars.unionByName(many.select("star", "grp")).distinct(), "grp").select("star", "node", "n", "doc_id")
-    rows = materialize(rows.groupBy("star", "node", "n").agg(F.min("doc_id").alias("doc_id")), "join-stars")
+    rows = members.join(stars.unionByName(many.select("star", "grp")).distinct(), "grp").select("star", "node", "n", "row")
+    rows = materialize(rows.groupBy("star", "node", "n").agg(F.min("row").alias("row")), "join-stars")
     total = rows.agg(F.sum("n")).first()[0]
     if not total:
         return None
-    sets = _sets(docs, rows.select("doc_id", "node"), size)
+    sets = _sets(docs, rows.select("row", "node"), size)
     sizes = rows.groupBy("star").agg(F.count("*").alias("m"))
     chunked = rows.join(sizes, "star").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK)).cast("int"))
     links = materialize(_links_within(chunked.join(sets, "node"), percent, max(1, total // BIN_SHINGLES)), "join-links")
@@ -310,26 +315,34 @@ def _link_classes(base: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return roots
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id of each row of docs. Two documents link when their sets' Jaccard
-    similarity is at least percent / 100."""
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and root, the node that stands for the class (null for empty sets)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = _base(docs, size, percent)
     roots = _link_classes(base, docs, size, percent)
-    named = base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("name"))
+    named = base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("name")).withColumn("root", F.col("node"))
     if roots is not None:
-        held = _rooted(named, roots)
-        named = held.join(held.groupBy("root").agg(F.min("name").alias("least")), "root").select("node", F.col("least").alias("name"))
+        held = _rooted(named.drop("root"), roots)
+        named = held.join(held.groupBy("root").agg(F.min("name").alias("least")), "root").select("node", F.col("least").alias("name"), "root")
     rows = base.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    full = rows.filter("n > 0").join(named, "node").select("doc_id", "text_hash", "n", "name")
-    empty = rows.filter("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("name"))
-    return full.unionByName(empty).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("name").alias("component_id"))
+    full = rows.filter("n > 0").join(named, "node").select("doc_id", "text_hash", "n", "name", "root")
+    empty = rows.filter("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("name"), F.lit(None).cast("binary").alias("root"))
+    return full.unionByName(empty).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("name").alias("component_id"), "root")
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of each row of docs. Two documents link when their sets' Jaccard
+    similarity is at least percent / 100."""
+    return _classes(docs, size, percent).drop("root")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class of linked documents, that of the smallest doc_id; all columns stay."""
-    found = materialize(classes(docs, size, percent), "join-classes")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.*")
+    """One row of each class of linked documents, that of the smallest doc_id, a null one last; all columns stay. Of rows
+    with empty sets one of each doc_id and text stays."""
+    found = materialize(_classes(docs, size, percent), "join-classes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.filter("root is not null").groupBy("root").agg(F.min(row).alias("f")).select("f.doc_id", "f.text_hash")
+    first = first.unionByName(found.filter("root is null").select("doc_id", "text_hash").distinct())
     first = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_hash"] == first["_th"]), "left_semi")

@@ -204,6 +204,18 @@ def test_decontamination_tolerates_replaced_words(spark):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), bench).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_clean_row(spark):
+    say = lambda c, last="end": " ".join(f"{c}{k}" for k in range(40)) + f" {last}"
+    rows = [(None, say("a")), (None, say("a", "other")), (None, say("b")), (None, say("c")), (7, say("d")), (7, say("e")), (8, say("e", "other")), (7, ""), (7, "  "), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((x.doc_id, x.text) for x in similar.one_of_each(docs, 4, 80).collect())
+    assert sum(kept[r] for r in rows[:2]) == 1
+    assert kept - Counter(rows[:2]) == Counter([*rows[2:6], *rows[7:]])
+    bench = spark.createDataFrame([(1, say("b")), (2, say("d"))], "item_id long, text string")
+    left = Counter((x.doc_id, x.text) for x in decontaminate.clean(docs, bench).collect())
+    assert left == Counter(rows) - Counter([rows[2], rows[4]])
+
+
 def test_decontamination_finds_each_whole_item(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
