@@ -1,17 +1,17 @@
-"""What the operators of this subpackage share: reading tables and cutting lineage in the shared folder."""
+"""What the operators of this subpackage share: reading tables, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_dir: list[str] = []
+from storyline.shared import literal_rows, materialize, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,25 +23,8 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, as in local tests, a folder of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="storyline-"))
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: later steps survive lost executors without redoing it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Bounds of an Arrow batch, so that what a task holds at once rests on neither the number of rows nor their length.
+#: Bounds of an Arrow batch, so that what a task holds at once rests on neither the number of rows nor their length. Spark
+#: has them for a whole session only: in_arrow() lowers them there where they are higher (the README says so too).
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
@@ -60,6 +43,22 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(task, schema)
 
 
+#: Rows and bytes of text that a task works on at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice holds few rows and few bytes in the column; one longer text is a slice of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            stop = min(max(stop, at + 1), at + SLICE_ROWS)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 _tables: dict[tuple[str, object], object] = {}
 
 
@@ -74,10 +73,3 @@ def worker_table(owner: str, key: object, make: Callable[[], object]) -> object:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small bounded table from the driver as a JVM-side literal."""
-    import json
-
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

@@ -23,11 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import in_arrow, materialize
+from storyline.llm.common import in_arrow, in_slices, materialize
 
 MOST_ROWS, FOURIER, RIDGE, SEED = 200_000, 384, 1e-3, 20240607
 SIGNS = b"!#$%&*|.,;:?-\"'()<>{}[]=/\\_@+"
-ROWS_AT_ONCE = 512
 STATISTICS = 24 + len(SIGNS)
 
 
@@ -67,8 +66,7 @@ def statistics(text: str) -> list[float]:
 
 
 def _table(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-        part = batch.slice(k, ROWS_AT_ONCE)
+    for part in in_slices([batch], text):
         yield part, np.array([statistics(x or "") for x in part.column(text).to_pylist()], np.float64).reshape(-1, STATISTICS)
 
 

@@ -35,15 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import lm
-from storyline.llm.common import in_arrow, materialize, worker_table
+from storyline.llm.common import in_arrow, in_slices, materialize, worker_table
 from storyline.operators.graph import components
 
-ROWS_AT_ONCE = 1024
 #: Shingles that a task holds before it sends them on, the fingerprints that meet in a section, and the filter's bits (128 MB).
-MOST_HELD, SECTION_ROWS, MOST_BITS = 1_500_000, 500_000, 1 << 30
-MOST_WORDS = 300_000
-#: Nodes of a star that are verified together, and shingles of a call.
-CHUNK, BIN_SHINGLES = 1024, 1_000_000
+MOST_HELD, SECTION_ROWS, MOST_BITS = 1_000_000, 500_000, 1 << 30
+MOST_WORDS, PROBED_AT_ONCE = 100_000, 1 << 16
+#: Nodes of a star that are verified together and their shingles, and shingles of a call.
+CHUNK, CHUNK_SHINGLES, BIN_SHINGLES = 1024, 400_000, 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _SIGN = np.uint64(1 << 63)
 
@@ -81,12 +80,6 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, ROWS_AT_ONCE):
-            yield b.slice(k, ROWS_AT_ONCE)
-
-
 def _key(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Section and 32-bit fingerprint of shingles."""
     return h >> np.uint64(64 - bits), (h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
@@ -94,8 +87,11 @@ def _key(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(f: lm.Filter, h: np.ndarray, bits: int) -> np.ndarray:
     """In about how many other documents each shingle is; 0 in none."""
-    section, print_ = _key(h, bits)
-    return f.count(print_, section << np.uint64(40))
+    out = np.empty(len(h))
+    for k in range(0, len(h), PROBED_AT_ONCE):
+        section, print_ = _key(h[k : k + PROBED_AT_ONCE], bits)
+        out[k : k + PROBED_AT_ONCE] = f.count(print_, section << np.uint64(40))
+    return out
 
 
 def _frequency(docs: DataFrame, size: int, bits: int) -> lm.Filter:
@@ -117,7 +113,7 @@ def _frequency(docs: DataFrame, size: int, bits: int) -> lm.Filter:
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["section", "once", "more", "counts"])
 
-        for b in _slices(batches):
+        for b in in_slices(batches):
             held += [s for t in set(b.column("text").to_pylist()) if len(s := shingles(t, size))]
             if sum(map(len, held)) >= MOST_HELD:
                 yield out()
@@ -145,7 +141,7 @@ def _base(docs: DataFrame, size: int, percent: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(_frequency(docs, size, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in in_slices(batches):
             sets = [shingles(t, size) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0] + [len(s) for s in sets])
             often = _counts(held.value, np.concatenate(sets), bits)
@@ -180,7 +176,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     held = docs.select(_row(F.xxhash64("text")).alias("row"), "text").join(wanted.select("row").distinct(), "row", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in in_slices(batches):
             each = [shingles(t, size) for t in b.column("text").to_pylist()]
             nodes = [np.array([_mix(s ^ _ODD[0]).sum(), _mix(s ^ _ODD[1]).sum()], np.uint64).tobytes() for s in each]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([_signed(s) for s in each], pa.list_(pa.int64()))], ["node", "set"])
@@ -256,14 +252,14 @@ def _links_within(rows: DataFrame, percent: int, bins: int) -> DataFrame:
 
 
 def _links_across(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of the nodes outside a star's largest class with nodes of other classes. rows: star, chunk, node, set, root, m."""
-    sizes = rows.groupBy("star", "root").agg(F.count("*").alias("c"))
+    """Links of the nodes outside a star's largest class with nodes of other classes. rows: star, chunk, chunks, node, n, set, root."""
+    sizes = rows.groupBy("star", "root").agg(F.sum("n").alias("c"))
     main = sizes.groupBy("star").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("all"))
     main = main.select("star", F.col("main.root").alias("main"), (F.col("all") - F.col("main.c")).alias("rest")).filter("rest > 0")
     held = rows.join(main, "star")
-    parts = F.ceil(F.col("rest") / CHUNK).cast("int")
+    parts = F.ceil(F.col("rest") / CHUNK_SHINGLES).cast("int")
     last = lambda n: F.sequence(F.lit(0), n - 1)
-    asked = held.filter("root <> main").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), parts).cast("int")).withColumn("chunk", F.explode(last(F.ceil(F.col("m") / CHUNK).cast("int"))))
+    asked = held.filter("root <> main").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), parts).cast("int")).withColumn("chunk", F.explode(last(F.col("chunks").cast("int"))))
     there = held.withColumn("part", F.explode(last(parts)))
     cols = ["star", "chunk", "part", "node", "root", "set"]
     both = asked.select(*cols, F.lit(True).alias("asked")).unionByName(there.select(*cols, F.lit(False).alias("asked")))
@@ -301,13 +297,13 @@ def _link_classes(base: DataFrame, docs: DataFrame, size: int, percent: int) ->
     if not total:
         return None
     sets = _sets(docs, rows.select("row", "node"), size)
-    sizes = rows.groupBy("star").agg(F.count("*").alias("m"))
-    chunked = rows.join(sizes, "star").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK)).cast("int"))
+    sizes = rows.groupBy("star").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    chunked = rows.join(sizes, "star").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     links = materialize(_links_within(chunked.join(sets, "node"), percent, max(1, total // BIN_SHINGLES)), "join-links")
-    if links.isEmpty() and sizes.filter(F.col("m") > CHUNK).isEmpty():
+    if links.isEmpty() and sizes.filter("chunks > 1").isEmpty():
         return None
     roots = components(links)
-    large = chunked.filter(F.col("m") > CHUNK)
+    large = chunked.filter("chunks > 1")
     if not large.isEmpty():
         more = materialize(_links_across(_rooted(large, roots).join(sets, "node"), percent), "join-links")
         if not more.isEmpty():
