@@ -40,7 +40,7 @@ from storyline.operators.graph import components
 
 #: Shingles that a task holds before it sends them on, the fingerprints that meet in a section, and the filter's bits (128 MB).
 MOST_HELD, SECTION_ROWS, MOST_BITS = 1_000_000, 500_000, 1 << 30
-MOST_WORDS, PROBED_AT_ONCE = 100_000, 1 << 16
+MOST_WORDS = 100_000
 #: Nodes of a star that are verified together and their shingles, and shingles of a call.
 CHUNK, CHUNK_SHINGLES, BIN_SHINGLES = 1024, 400_000, 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -80,71 +80,42 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _key(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Section and 32-bit fingerprint of shingles."""
-    return h >> np.uint64(64 - bits), (h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
-
-
-def _counts(f: lm.Filter, h: np.ndarray, bits: int) -> np.ndarray:
-    """In about how many other documents each shingle is; 0 in none."""
-    out = np.empty(len(h))
-    for k in range(0, len(h), PROBED_AT_ONCE):
-        section, print_ = _key(h[k : k + PROBED_AT_ONCE], bits)
-        out[k : k + PROBED_AT_ONCE] = f.count(print_, section << np.uint64(40))
-    return out
-
-
 def _frequency(docs: DataFrame, size: int, bits: int) -> lm.Filter:
     """The filter of shared shingles, in 2 ** bits sections."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            section, print_ = _key(h, bits)
-            ends = np.searchsorted(section, np.arange((1 << bits) + 1, dtype=np.uint64))
-            print_, many = print_.astype(np.uint32), n > 1
-            rows = []
-            for k in np.flatnonzero(np.diff(ends)):
-                p, m, c = (x[ends[k] : ends[k + 1]] for x in (print_, many, n))
-                rows.append((k, p[~m].tobytes(), p[m].tobytes(), c[m].astype(np.uint32).tobytes()))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["section", "once", "more", "counts"])
-
         for b in in_slices(batches):
             held += [s for t in set(b.column("text").to_pylist()) if len(s := shingles(t, size))]
             if sum(map(len, held)) >= MOST_HELD:
-                yield out()
+                yield lm.packed(held, bits)
+                held.clear()
         if held:
-            yield out()
+            yield lm.packed(held, bits)
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
-        read = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), np.uint32)
-        once, more = read("once"), read("more")
-        print_, back = np.unique(np.concatenate([once, more]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([np.ones(len(once)), read("counts")]))
-        data = lm.build_section(print_[n > 1].astype(np.uint64), n[n > 1] - 1, MOST_BITS >> bits, whole=True)
+        print_, n = lm.unpacked(t)
+        data = lm.build_section(print_[n > 1].astype(np.uint64), lm.levels(n[n > 1] - 1), MOST_BITS >> bits)
         return pa.table({"section": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
     sent = in_arrow(docs.select("text"), send, "section int, once binary, more binary, counts binary")
-    got = {r["section"]: r["data"] for r in sent.groupBy("section").applyInArrow(build, "section int, data binary").collect()}  # MOST_BITS in all
-    return lm.assembled(got, 1 << bits)
+    built = materialize(sent.groupBy("section").applyInArrow(build, "section int, data binary"), "join-filter")
+    return lm.assembled({r["section"]: r["data"] for r in built.toLocalIterator()}, 1 << bits)  # MOST_BITS in all
 
 
 def _base(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n (set size), node, grp, first and prefix of each row. node: 16 bytes that stand for the set. prefix:
     the shared shingles of the prefix, the first of them at place ``first``."""
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(8, (length // 5 // SECTION_ROWS).bit_length()))
+    bits = min(24, max(6, (length // 5 // SECTION_ROWS).bit_length()))
     held = docs.sparkSession.sparkContext.broadcast(_frequency(docs, size, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             sets = [shingles(t, size) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0] + [len(s) for s in sets])
-            often = _counts(held.value, np.concatenate(sets), bits)
+            section, print_ = lm.key(np.concatenate(sets), bits)
+            often = held.value.level(print_, section)
             nodes, groups, firsts, prefixes = [], [], [], []
             for s, at in zip(sets, ends[:-1], strict=True):
                 n, seen = len(s), often[at : at + len(s)]
@@ -299,7 +270,8 @@ def _link_classes(base: DataFrame, docs: DataFrame, size: int, percent: int) ->
     sets = _sets(docs, rows.select("row", "node"), size)
     sizes = rows.groupBy("star").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
     chunked = rows.join(sizes, "star").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    links = materialize(_links_within(chunked.join(sets, "node"), percent, max(1, total // BIN_SHINGLES)), "join-links")
+    bins = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BIN_SHINGLES)
+    links = materialize(_links_within(chunked.join(sets, "node"), percent, bins), "join-links")
     if links.isEmpty() and sizes.filter("chunks > 1").isEmpty():
         return None
     roots = components(links)

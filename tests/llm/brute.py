@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 
 digits = lambda x: re.sub("[^0-9]", "", x)
@@ -66,3 +67,29 @@ def classes(rows: list[tuple[int, str | None]], k: int, percent: int) -> list[tu
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), d), d)
     return [(len(s), least[root(i)]) for i, s in enumerate(sets)]
+
+
+def lm_scores(texts: list[str | None], train: list[int], mass: float, base: float) -> list[float]:
+    """log10 of each text's probability, from counts that are quantised as levels to the given base."""
+    words = [[*(t or "").encode().lower().split(), None] for t in texts]
+    one, two = collections.Counter(), collections.Counter()
+    for i in train:
+        one.update(words[i])
+        two.update(zip([None, *words[i]], words[i], strict=False))
+
+    def said(c: int) -> float:
+        if c <= 1:
+            return c
+        j = 1
+        while base**j <= c:
+            j += 1
+        return (base ** (j - 1) + base**j) / 2
+
+    unit, out = sum(one.values()) + 0.5 * (len(one) + 1), []
+    for w in words:
+        total = 0.0
+        for v, x in zip([None, *w], w, strict=False):
+            c = said(one[v])
+            total += math.log10((min(said(two[v, x]), c) + mass * (said(one[x]) + 0.5) / unit) / (c + mass))
+        out.append(total)
+    return out

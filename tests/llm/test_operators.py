@@ -125,14 +125,31 @@ def test_lm_base_score_is_exact_and_held_out_text_is_better_known(spark, tmp_pat
 
 def test_bloom_filter_never_counts_too_little():
     r = np.random.default_rng(1)
-    h = np.unique(r.integers(0, 2**63, 5000).astype(np.uint64))
-    c = r.geometric(0.2, len(h))
-    data = lm.build_section(h, c, 1 << 30)
+    h = np.unique(r.integers(0, 2**32, 5000).astype(np.uint64))
+    level = lm.levels(r.geometric(0.2, len(h)))
+    data = lm.build_section(h, level)
     f = lm.Filter(data, np.zeros(1, np.int64), np.array([len(data) * 8]))
-    found = lm.levels(np.maximum(f.count(h, h), 1))
-    assert (found >= lm.levels(c)).all() and (found == lm.levels(c)).mean() > 0.9
-    none = f.count(r.integers(0, 2**63, 5000).astype(np.uint64), h[:5000])
+    found = f.level(h, np.zeros(len(h), np.uint64))
+    assert (found >= level).all() and (found == level).mean() > 0.9
+    none = f.level(r.integers(0, 2**32, 5000).astype(np.uint64), np.zeros(5000, np.uint64))
     assert (none > 0).mean() < 0.05
+    assert lm.levels(np.array([10.0**13])) < lm.LEVELS
+
+
+@pytest.mark.parametrize("most_bits", [1 << 30, 6000, 10])
+def test_lm_score_equals_plain_quantised_counts(spark, monkeypatch, most_bits):
+    """Whatever of the n-grams is broadcast: with no bits at all, each is joined and exact; wrong bits blur others a little."""
+    monkeypatch.setattr(lm, "MOST_BITS", most_bits)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [None, "", "zzz yyy", "the " * 400] + [" ".join(r.choices(words, [1 / (k + 1) for k in range(60)], k=r.randint(1, 60))) for _ in range(80)]
+    docs = documents(spark, texts).repartition(3)
+    train = [i for i in range(len(texts)) if i % 4 != 2]
+    got = {x.doc_id: x.score for x in lm.score(docs, docs.filter("doc_id % 4 <> 2")).collect()}
+    want = brute.lm_scores(texts, train, lm.MASS, lm.BASE)
+    off = [abs(got[i] - x) for i, x in enumerate(want)]
+    assert max(off) < (1e-9 if most_bits == 10 else 2.0)
+    assert sum(x < 1e-9 for x in off) >= 0.3 * len(off)
 
 
 def test_lm_without_training_texts(spark):
