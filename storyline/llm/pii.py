@@ -1,21 +1,25 @@
 """Personal data: base patterns, and terms that reveal the protected values by what the corpus tells of both.
 
-The protected entities are the values that the base patterns find. Information theory tells how much a term near an
-entity gives away: with counts over all documents, the pointwise mutual information of term and entity, as a share of
-the entity's own information, is the disclosure. A share of 1 says that the term occurs only where the entity stands
-near it, so that leaving the term in would leave the entity readable. Terms over ``generalise`` become a general word,
-terms over ``remove`` go. A pair counts only if it was seen in at least ``least_texts`` different texts: copies of one
-text are no evidence.
-
-Nulls count as empty texts. Rows with the same doc_id and text get the same spans. Rows of an empty table give no rows.
-Ties need no rule, for each term is judged on its own counts. Input columns other than doc_id and text are left out.
+The protected entities are the values that the base patterns find. Information theory tells how much a term gives away
+of an entity that stands in the same document: with counts over all documents, the pointwise mutual information of
+term and entity, as a share of the entity's own information, is the disclosure. A share of 1 says that the term occurs
+only where the entity does, so that leaving the term in would leave the entity readable. Terms over ``generalise`` become
+a general word that tells the term's form, terms over ``remove`` go, wherever they stand in a document with the entity.
+A pair counts only if it was seen in at least ``least_texts`` different texts: in a single text each word that stands
+nowhere else would tell all of each entity there. Copies of one text are no evidence, so counting goes by text.
+
+No pair is formed of a term that could not disclose anything: as a pair is no more frequent than its term, a term in
+n documents tells an entity in m of N no more than log(N / n) / log(N / m), which leaves rare terms only.
+
+Nulls count as empty texts. Rows with the same text get the same spans. Rows of an empty table give no rows. Ties need
+no rule, for each term is judged on its own counts. Input columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +29,10 @@ from storyline.llm.common import materialize, texts
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Letters each side of an entity in which terms count as near it, and the shortest term.
-NEAR, SHORTEST = 80, 3
-#: Bits of the term map: 128 KiB, whatever the data. What passes it in error is dropped by an exact join.
+WORD = r"(?<![\p{L}\p{N}])\p{L}++(?![\p{L}\p{N}])"
+#: Bits of the map of wanted values: 128 KiB, whatever the data. What passes it in error is dropped by an exact join.
 MAP_BITS = 1 << 20
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "gone": "", "code": "[CODE]", "name": "[NAME]", "term": "[TERM]"}
 
 # The patterns below find what the plain patterns find, but in linear time and without recursion: a match can start only
 # where the run of its first class starts or where the last match ended, and the quantifiers need no way back.
@@ -68,88 +71,98 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     return found.select(*kept, F.array_sort(F.concat(*each)).alias(out))
 
 
-def _sides(text: Column, spans: Column) -> Column:
-    """For each span the entity and the text on both sides, with the offset and whether it was cut there."""
-    size = F.char_length(text)
-
-    def side(frm: Column, to: Column) -> Column:
-        return F.struct(frm.alias("at"), F.substring(text, frm + 1, to - frm).alias("text"), (frm > 0).alias("cut_left"), (to < size).alias("cut_right"))
+def _entities(spans: Column) -> Column:
+    """What the spans protect: each value once, in plain form."""
 
     def one(s: Column) -> Column:
         plain = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
-        before = side(F.greatest(s["start"] - NEAR, F.lit(0)), s["start"])
-        after = side(s["end"], F.least(s["end"] + NEAR, size))
-        return F.struct(F.concat_ws(":", s["kind"], plain).alias("entity"), F.array(before, after).alias("sides"))
-
-    return F.transform(spans, one)
-
+        return F.concat_ws(":", s["kind"], plain)
 
-def _terms_near(held: DataFrame) -> DataFrame:
-    """doc_id, text_hash, entity and each term near it with its place. Words that a cut may have shortened and words inside
-    a base span are left out."""
-    word = rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{SHORTEST},}}+(?![\p{{L}}\p{{N}}])"
-    sides = held.select("doc_id", "text_hash", "entity", "spans", F.explode("sides").alias("side"))
-    found = sides.select("*", *S.found("_word", F.col("side.text"), word))
-    words = found.select("doc_id", "text_hash", "entity", "spans", "side", F.explode(S.placed("_word", TERM, len(KINDS))).alias("w"))
-    whole = (~F.col("side.cut_left") | (F.col("w.start") > 0)) & (~F.col("side.cut_right") | (F.col("w.end") < F.char_length("side.text")))
-    words = words.filter(whole).withColumn("start", F.col("w.start") + F.col("side.at")).withColumn("end", F.col("w.end") + F.col("side.at"))
-    free = words.filter(~F.exists("spans", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
-    return free.select("doc_id", "text_hash", "entity", F.lower("w.value").alias("term"), "start", "end")
+    return F.array_distinct(F.transform(spans, one))
 
 
-def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """In how many documents each wanted term occurs, from all documents. A bit map of fixed size keeps most other words out of the exact join."""
+def _among(value: Column, wanted: DataFrame) -> Column:
+    """Whether a value may be one of wanted, a table of one column: true for each that is, and by chance for some others. A bit map
+    of fixed size; it keeps most other rows out of the exact joins that follow."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    bits = wanted.select(place("term").alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    bits = wanted.select(place(F.col(wanted.columns[0])).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     cells = dict(bits.collect())  # MAP_BITS / 64 rows at most
     bit_map = F.from_json(F.lit(json.dumps([cells.get(i, 0) for i in range(MAP_BITS // 64)])), "array<bigint>")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).withColumn("_at", place("term"))
-    passed = words.filter(F.getbit(F.get(bit_map, F.shiftright("_at", 6).cast("int")), F.expr("cast(_at & 63 as int)")) == 1)
-    return passed.groupBy("term").agg(F.count("*").alias("n_term"))  # a semi join here would be moved below the counts
-
-
-def find(docs: DataFrame, least_texts: int = 2, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
-    """doc_id, text_hash and spans (base and term; a term's value says 'general' or 'gone') for each row of docs."""
-    docs = texts(docs)
-    keyed = base_spans(docs.withColumn("text_hash", F.xxhash64("text")))
-    sides = F.when(F.size("spans") > 0, _sides(F.col("text"), F.col("spans")))
-    seen = materialize(keyed.select("doc_id", "text_hash", "spans", sides.alias("near")), "pii-base")
-    total = seen.agg(F.count("*")).first()[0]
-    held = seen.filter(F.col("near").isNotNull()).select("doc_id", "text_hash", "spans", F.inline("near"))
-    of_entity = held.groupBy("entity", "doc_id", "text_hash").count().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = _terms_near(held)
-    pairs = (
-        near.groupBy("entity", "term", "text_hash", "doc_id").count()
-        .groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-        .filter(F.col("texts") >= least_texts)
-    )
-    pairs = materialize(pairs.join(of_entity, "entity"), "pii-pairs")
-    of_term = _term_counts(docs, pairs.select("term").distinct())
-    own = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    told = pairs.join(of_term, "term").withColumn("disclosure", F.when(own > 0, mutual / own).otherwise(0.0)).filter(F.col("disclosure") >= generalise)
-    told = told.select("entity", "term", F.when(F.col("disclosure") >= remove, "gone").otherwise("general").alias("how"))
-    marked = near.join(told, ["entity", "term"]).select("doc_id", "text_hash", S.span(F.col("start"), len(KINDS), F.col("end"), TERM, F.col("how")).alias("s"))
-    more = marked.groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("more"))
-    more = more.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    back = seen.drop("near").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return back.select("doc_id", "text_hash", F.array_sort(F.concat("spans", F.coalesce(_once(F.col("more")), S.none()))).alias("spans"))
-
-
-def _once(terms: Column) -> Column:
-    """One span for each place: a term near two entities goes if either says so."""
-    gone = F.filter(terms, lambda s: s["value"] == "gone")
-    kept = F.filter(terms, lambda s: (s["value"] == "general") & ~F.exists(gone, lambda g: g["start"] == s["start"]))
-    return F.concat(gone, kept)
+    return F.getbit(F.get(bit_map, F.shiftright(place(value), 6).cast("int")), place(value).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _told(docs: DataFrame, seen: DataFrame, least_texts: int, generalise: float, remove: float) -> DataFrame | None:
+    """text_hash, and the terms of the text that tell one of its entities: gone and general. docs: text_hash and text; seen: text_hash
+    and spans of all rows."""
+    total = max(seen.count(), 1)
+    holds = seen.filter(F.size("spans") > 0).select("text_hash", _entities(F.col("spans")).alias("entities"))
+    of_text = holds.groupBy("text_hash", "entities").agg(F.count("*").alias("copies")).select("text_hash", "copies", F.explode("entities").alias("entity"))
+    entities = of_text.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
+    entities = materialize(entities.filter((F.col("texts") >= least_texts) & (F.col("n_entity") < total)).drop("texts"), "pii-entities")
+    most = entities.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return None
+    of_text = materialize(of_text.join(entities, "entity"), "pii-texts")
+    texts_ = of_text.select("text_hash").distinct()
+    blank = S.replaced(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
+    near = base_spans(docs.filter(_among(F.col("text_hash"), texts_))).select("text_hash", F.explode(_words(blank)).alias("term")).distinct()
+    near = near.join(texts_, "text_hash", "left_semi")
+    # In least_texts of these texts at least, and in so few documents that the term could tell the most frequent entity.
+    shared = materialize(near.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= least_texts).select("term"), "pii-shared")
+    rare = math.exp(math.log(total) - generalise * (math.log(total) - math.log(most))) * (1 + 1e-9)
+    each = docs.select(F.explode(_words(F.col("text"))).alias("term"))
+    n_term = each.filter(_among(F.col("term"), shared)).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") <= rare)
+    n_term = materialize(n_term.join(shared, "term", "left_semi"), "pii-terms")
+    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
+    could = F.log2(F.lit(float(total)) / F.greatest("n_term", "n_entity")) >= own * generalise - 1e-9
+    both = materialize(near.join(n_term, "term").join(of_text, "text_hash").filter(could), "pii-pairs")
+    pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts)
+    disclosure = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / own
+    told = pairs.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise - 1e-9).select("entity", "term", (F.col("disclosure") >= remove - 1e-9).alias("gone"))
+    marked = both.join(told, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("gone").alias("gone"))
+    of = lambda gone: F.collect_list(F.when(F.col("gone") == gone, F.col("term")))
+    return materialize(marked.groupBy("text_hash").agg(of(True).alias("gone"), of(False).alias("general")), "pii-told")
+
+
+def _term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """text_hash and more: the spans of telling terms outside the base spans. Their value says how they are replaced."""
+    some = docs.filter(_among(F.col("text_hash"), told.select("text_hash"))).join(told, "text_hash")
+    found = base_spans(some).select("text_hash", "spans", "gone", "general", *S.found("_word", F.col("text"), WORD))
+    flag = lambda names: F.map_from_arrays(names, F.transform(names, lambda _: F.lit(True)))
+    found = found.select("text_hash", "spans", flag(F.col("gone")).alias("gone"), flag(F.col("general")).alias("general"), S.placed("_word", TERM, len(KINDS)).alias("words"))
+    form = lambda v: F.when(v.rlike(r"^\p{Lu}\p{Lu}"), "code").when(v.rlike(r"^\p{Lu}"), "name").otherwise("term")
+
+    def how(s: Column) -> Column:
+        word = F.lower(s["value"])
+        return F.when(F.element_at("gone", word).isNotNull(), "gone").when(F.element_at("general", word).isNotNull(), form(s["value"]))
+
+    said = F.filter(F.transform("words", lambda s: S.span(s["start"], s["ord"], s["end"], s["kind"], how(s))), lambda s: s["value"].isNotNull())
+    free = F.filter(said, lambda s: ~F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return found.select("text_hash", free.alias("more")).dropDuplicates(["text_hash"])
+
+
+def find(docs: DataFrame, least_texts: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
+    """doc_id, text_hash and spans (base and term; a term's value says what takes its place) for each row of docs."""
+    docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    seen = materialize(base_spans(docs).select("doc_id", "text_hash", "spans"), "pii-base")
+    told = _told(docs.select("text_hash", "text"), seen.select("text_hash", "spans"), least_texts, generalise, remove)
+    if told is None or told.isEmpty():
+        return seen
+    more = _term_spans(docs.select("text_hash", "text"), told)
+    back = seen.join(more, "text_hash", "left")
+    return back.select("doc_id", "text_hash", F.array_sort(F.concat("spans", F.coalesce("more", S.none()))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with base values and telling terms replaced in text; all other columns and all rows stay. A null text stays null."""
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    got = find(docs, **limits).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    got = got.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.transform("spans", lambda s: S.span(s["start"], s["ord"], s["end"], F.when(s["value"] == "gone", "gone").otherwise(s["kind"]), s["value"])).alias("_spans"))
-    both = keyed.join(got, keyed["doc_id"].eqNullSafe(got["_id"]) & (keyed["_hash"] == got["_h"]), "left")
-    label = reduce(lambda m, kv: [*m, F.lit(kv[0]), F.lit(kv[1])], LABELS.items(), [])
-    clean = F.when(F.col("_spans").isNotNull(), S.replaced(F.col("text"), F.col("_spans"), F.create_map(*label))).otherwise(F.col("text"))
+    got = find(docs, **limits).filter(F.size("spans") > 0).select(F.col("text_hash").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_h"])
+    both = keyed.join(got, keyed["_hash"] == got["_h"], "left")
+    labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    label = lambda s: F.element_at(labels, F.when(s["kind"] == TERM, s["value"]).otherwise(s["kind"]))
+    clean = F.when(F.col("_spans").isNotNull(), S.replaced(F.col("text"), F.col("_spans"), label)).otherwise(F.col("text"))
     return both.withColumn("text", clean).select(*docs.columns)

@@ -36,6 +36,7 @@ class CharClass(NamedTuple):
 # letters, digits and signs about 4.1; words of the same length stay under 3.7 and have no digits.
 CLASSES = (
     CharClass("0123456789abcdef", r"(?<![0-9A-Za-z])[0-9a-f]{20,}+(?![0-9A-Za-z])", 20, 3.0),
+    CharClass("0123456789ABCDEF", r"(?<![0-9A-Za-z])[0-9A-F]{20,}+(?![0-9A-Za-z])", 20, 3.0),
     CharClass("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-", r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{20,}+", 20, 3.75),
 )
 #: Harmless forms: UUIDs, dates and times, words joined by signs, decimal numbers, and texts that say they are examples.
@@ -50,21 +51,33 @@ PATTERNS = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{16,}+", "hex": r"(?<![0-
 _SECRET = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 
 
+#: Bits of a packed count, which holds widths up to 31, and counts in a 64-bit integer.
+COUNT_BITS, PACKED = 5, 12
+
+
 def _stretch(run: Column, kind: CharClass) -> Column:
     """Struct of the first and the end offset of the flagged stretch in a run, null where no window reaches the threshold."""
-    w, size = kind.width, len(kind.letters)
+    w, cells = kind.width, -(-len(kind.letters) // PACKED)
     part = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
     codes = F.transform(F.split(run, ""), lambda ch: F.instr(F.lit(kind.letters), ch) - 1)
-    leaving = F.concat(F.array_repeat(F.lit(-1), w), codes)
-    moves = F.zip_with(codes, F.slice(leaving, 1, F.size(codes)), lambda came, went: F.struct(came.alias("came"), went.alias("went")))
-    zero = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("end"))
-
-    def slide(acc: Column, move: Column) -> Column:
-        came, went = move["came"], move["went"]
-        old_went = F.get(acc["n"], went)
-        old_came = F.get(acc["n"], came) - (came == went).cast("int")
-        counts = F.transform(acc["n"], lambda c, i: c - (i == went).cast("int") + (i == came).cast("int"))
-        s = acc["s"] + F.when(went >= 0, part(old_went - 1) - part(old_went)).otherwise(F.lit(0.0)) + part(old_came + 1) - part(old_came)
+    shift = lambda code: F.pmod(code, F.lit(PACKED)) * COUNT_BITS
+
+    def move(came: Column, went: Column) -> Column:
+        place = lambda c, n: (F.floor(c / PACKED).cast("int").alias(f"{n}_cell"), shift(c).alias(f"{n}_shift"))
+        return F.struct(came.alias("came"), went.alias("went"), *place(came, "came"), *place(went, "went"))
+
+    moves = S.let(codes, lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(F.lit(-1), w), c), 1, F.size(c)), move))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), cells).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("end"))
+    unit = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), by)
+    held = lambda acc, cell, by: F.call_function("shiftright", F.get(acc["n"], cell), by).bitwiseAND(F.lit(31)).cast("int")
+
+    def slide(acc: Column, m: Column) -> Column:
+        old_went = held(acc, m["went_cell"], m["went_shift"])
+        old_came = held(acc, m["came_cell"], m["came_shift"]) - (m["came"] == m["went"]).cast("int")
+        less = lambda i: F.when((i == m["went_cell"]) & (m["went"] >= 0), unit(m["went_shift"])).otherwise(F.lit(0).cast("long"))
+        more = lambda i: F.when(i == m["came_cell"], unit(m["came_shift"])).otherwise(F.lit(0).cast("long"))
+        counts = F.transform(acc["n"], lambda c, i: c - less(i) + more(i))
+        s = acc["s"] + F.when(m["went"] >= 0, part(old_went - 1) - part(old_went)).otherwise(F.lit(0.0)) + part(old_came + 1) - part(old_came)
         at = acc["at"] + 1
         hit = (at >= w) & (F.lit(math.log2(w)) - s / w >= kind.bits - 1e-9)
         first = F.when(hit & (acc["first"] < 0), at - w).otherwise(acc["first"])
@@ -92,13 +105,6 @@ def _random_spans(name: str, kind: CharClass) -> Column:
     return F.transform(cut, one)
 
 
-def _merged(spans: Column) -> Column:
-    """Entropy spans without those inside another one."""
-    within = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & ((b["start"] < a["start"]) | (a["end"] < b["end"]))
-    once = F.array_distinct(spans)
-    return F.filter(once, lambda a: ~F.exists(once, lambda b: within(a, b)))
-
-
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans (base kinds and entropy) for each row of docs."""
     t = F.col("text")
@@ -109,14 +115,13 @@ def find(docs: DataFrame) -> DataFrame:
     base[0] = F.filter(base[0], lambda s: F.length(F.regexp_extract(s["value"], _SECRET, 1)) >= 6)
     random = [_random_spans(f"_c{i}", c) for i, c in enumerate(CLASSES)]
     both = found.select("doc_id", F.concat(*base).alias("base"), F.concat(*random).alias("random"))
-    return both.select("doc_id", F.array_sort(F.concat("base", F.when(F.size("random") > 0, _merged(F.col("random"))).otherwise(S.none()))).alias("spans"))
+    return both.select("doc_id", F.array_sort(F.concat("base", F.when(F.size("random") > 0, S.outermost(F.col("random"))).otherwise(S.none()))).alias("spans"))
 
 
 def redact(docs: DataFrame, label: str = "[SECRET]") -> DataFrame:
     """The texts with each span replaced, as doc_id and text, one row for each row of docs."""
     keyed = texts(docs).withColumn("_hash", F.xxhash64("text"))
-    labels = F.create_map(*(F.lit(x) for k in (*KINDS, ENTROPY) for x in (k, label)))
     got = find(keyed.select(F.struct("doc_id", "_hash").alias("doc_id"), "text")).dropDuplicates(["doc_id"])
     got = got.filter(F.size("spans") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._hash").alias("_h"), "spans")
     both = keyed.join(got, keyed["doc_id"].eqNullSafe(got["_id"]) & (keyed["_hash"] == got["_h"]), "left")
-    return both.select("doc_id", F.when(F.col("spans").isNotNull(), S.replaced(F.col("text"), F.col("spans"), labels)).otherwise(F.col("text")).alias("text"))
+    return both.select("doc_id", F.when(F.col("spans").isNotNull(), S.replaced(F.col("text"), F.col("spans"), lambda s: F.lit(label))).otherwise(F.col("text")).alias("text"))

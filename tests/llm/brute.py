@@ -93,3 +93,36 @@ def lm_scores(texts: list[str | None], train: list[int], mass: float, base: floa
             total += math.log10((min(said(two[v, x]), c) + mass * (said(one[x]) + 0.5) / unit) / (c + mass))
         out.append(total)
     return out
+
+
+def pii_terms(texts: list[str | None], least: int, generalise: float, remove: float) -> list[list[tuple[int, int, str]]]:
+    """Start, end and form of each telling term of each text."""
+    seen = []
+    for t in texts:
+        t = t or ""
+        base = spans(t, PII)
+        words = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?<![^\W_])[^\W\d_]+(?![^\W_])", t) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        plain = {"email": str.lower, "ip": str, "card": digits, "phone": digits}
+        seen.append(({(k, plain[k](t[a:b])) for k, a, b in base}, words))
+    n = len(texts)
+    n_entity = collections.Counter(e for es, _ in seen for e in es)
+    n_term = collections.Counter(w for _, ws in seen for w in {x.lower() for x, _, _ in ws})
+    both, where = collections.Counter(), collections.defaultdict(set)
+    for t, (es, ws) in zip(texts, seen, strict=True):
+        for pair in {(e, w.lower()) for e in es for w, _, _ in ws}:
+            both[pair] += 1
+            where[pair].add(t)
+    told = {}
+    for (e, w), c in both.items():
+        own = math.log2(n / n_entity[e])
+        if len(where[e, w]) >= least and own > 0 and (d := math.log2(n * c / (n_term[w] * n_entity[e])) / own) >= generalise - 1e-9:
+            told[e, w] = d >= remove - 1e-9
+    out = []
+    for es, ws in seen:
+        rows = []
+        for w, a, b in ws:
+            how = [told[e, w.lower()] for e in es if (e, w.lower()) in told]
+            form = "code" if w[:2].isupper() and len(w) > 1 else "name" if w[0].isupper() else "term"
+            rows += [(a, b, "gone" if any(how) else form)] if how else []
+        out.append(sorted(rows))
+    return out
