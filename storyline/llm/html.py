@@ -17,7 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +43,7 @@ AGAINST = frozenset(
     "nav navbar navigation menu menus footer foot header masthead topbar sidebar side aside rail ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations trending popular more comment comments commentlist discussion disqus reply replies respond reader form login search breadcrumb breadcrumbs pager pagination widget toolbar skip hidden copyright legal tags meta".split()
 )
 IN_FAVOUR = frozenset("article articles content contents main post entry story body text prose maintext copy".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-label|hidden|data-kept)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 TAGS = ("p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "figure", "blockquote", "pre", "body", "dialog")
@@ -59,14 +59,79 @@ class Page(NamedTuple):
     controls: list[int]
 
 
+#: What a paragraph's end does not reach beyond.
+KEEPS_P = ("button", "table", "td", "th", "object")
+
+
+class _Open:
+    """The open elements, with the places of each name, so that no lookup walks the stack."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = ["html"]
+        self.nodes: list[int] = [0]  # the block node that each stands in
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.blocks: list[int] = [0]
+
+    def push(self, name: str, node: int) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        if name in BLOCKS:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.nodes.pop()
+        self.at[name].pop()
+        if name in BLOCKS:
+            self.blocks.pop()
+        return name
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost element of these names, 0 if none is open."""
+        return max((places[-1] for n in names if (places := self.at.get(n))), default=0)
+
+
+def pieces(source: str) -> Iterator[tuple[str | None, re.Match | None]]:
+    """The texts between tags and the tags, in order; comments and declarations are left out. After a tag the reader may send
+    the place where reading goes on."""
+    at, begun, size = 0, 0, len(source)
+    last_close = source.rfind(">")
+    while (at := source.find("<", at)) >= 0 and at < last_close:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            m = None
+        elif source[at + 1] in "!?":
+            end, m = source.find(">", at + 2) + 1, None
+            if not end:
+                break
+        elif (m := TAG.match(source, at)) is not None:
+            end = m.end()
+        else:
+            at += 1
+            continue
+        if begun < at:
+            yield source[begun:at], None
+        at = begun = end
+        if m is not None and (on := (yield None, m)) is not None:
+            at = begun = on
+            yield None, None
+    if 0 <= at < size and source.startswith("<!--", at):
+        if begun < at:
+            yield source[begun:at], None
+    elif begun < size:
+        yield source[begun:], None
+
+
 def parse(source: str) -> Page:
     page = Page(["html"], [-1], [""], [], [0], [0])
-    open_: list[tuple[str, int]] = [("html", 0)]  # element and the block node it stands in
-    fresh, link, at, size = True, 0, 0, len(source)
+    open_ = _Open()
+    fresh, link = True, 0
 
     def text(piece: str) -> None:
         nonlocal fresh
-        node = open_[-1][1]
+        node = open_.nodes[-1]
         if fresh or not page.runs or page.runs[-1][0] != node:
             if not piece.strip():
                 return
@@ -78,71 +143,58 @@ def parse(source: str) -> Page:
 
     def close(k: int) -> None:
         nonlocal fresh, link
-        for name, _ in open_[k:]:
+        while len(open_.names) > k:
+            name = open_.pop()
             link -= name == "a" and link > 0
             fresh = fresh or name in BLOCKS
-        del open_[k:]
 
-    while at < size:
-        m = TOKEN.search(source, at)
+    reader = pieces(source)
+    for piece, m in reader:
+        if piece is not None:
+            text(piece)
+            continue
         if m is None:
-            text(source[at:])
-            break
-        if m.start() > at:
-            text(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == name:
-                    close(k)
-                    break
-                if name not in BLOCKS and open_[k][0] in BLOCKS and name != "a":
-                    break  # formatting does not end a block
+            k = open_.last([name])
+            # Formatting does not end a block.
+            if k and (name in BLOCKS or name == "a" or k > open_.blocks[-1]):
+                close(k)
             continue
+        node = open_.nodes[-1]
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            at = end.end() if end else size
-            page.controls[open_[-1][1]] += name == "textarea"
+            end = re.compile(rf"</{name}\s*>", re.I).search(source, m.end())
+            page.controls[node] += name == "textarea"
+            reader.send(end.end() if end else len(source))
             continue
+        page.controls[node] += name in CONTROLS
         if name in VOID:
             if name == "br":
                 text(" ")
             elif name == "hr":
                 fresh = True
-            page.controls[open_[-1][1]] += name in CONTROLS
             continue
-        page.controls[open_[-1][1]] += name in CONTROLS
-        if name in ("html", "body") and any(x == name for x, _ in open_):
+        if name in ("html", "body") and open_.at.get(name):
             continue
-        if name in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == "p":
-                    close(k)
-                    break
-                if open_[k][0] in ("button", "table", "td", "th", "object"):
-                    break
+        if name in CLOSES_P and (k := open_.last(["p"])) > open_.last(KEEPS_P):
+            close(k)
         if name in ENDS:
             ended, stop = ENDS[name]
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] in stop:
+            while (k := open_.last(ended)) > open_.last(stop):
+                close(k)
+                if name != "tr":
                     break
-                if open_[k][0] in ended:
-                    close(k)
-                    if name != "tr":
-                        break
         if name in BLOCKS:
             page.tag.append(name)
-            page.parent.append(open_[-1][1])
+            page.parent.append(open_.nodes[-1])
             page.attrs.append(m[3])
             page.links.append(0)
             page.controls.append(0)
-            open_.append((name, len(page.tag) - 1))
+            open_.push(name, len(page.tag) - 1)
             fresh = True
         elif not m[3].endswith("/"):
-            open_.append((name, open_[-1][1]))
+            open_.push(name, open_.nodes[-1])
             link += name == "a"
     return page
 
@@ -167,7 +219,9 @@ def _hits(attrs: str) -> tuple[int, int, int]:
     return found
 
 
-FEATURES = 20 + len(TAGS) + len(ABOVE)
+#: Elements that name the article themselves, the first two of ABOVE.
+SAYS_ARTICLE = ABOVE[:2]
+FEATURES = 23 + len(TAGS) + len(ABOVE)
 
 
 def features(page: Page) -> list[list[float]]:
@@ -179,10 +233,11 @@ def features(page: Page) -> list[list[float]]:
         runs[node] += 1
         stops[node] += sum(p.count(".") + p.count(",") for p in pieces)
     text, link, tags, control, paras, stop = own[:], page.links[:], [1] * n, page.controls[:], [0] * n, stops[:]
+    holds = [int(t in SAYS_ARTICLE) for t in page.tag]
     kids: list[list[int]] = [[] for _ in range(n)]
     for k in range(n - 1, 0, -1):
         up = page.parent[k]
-        for x in (text, link, tags, control, stop):
+        for x in (text, link, tags, control, stop, holds):
             x[up] += x[k]
         paras[up] += paras[k] + (page.tag[k] == "p")
         kids[up].append(k)
@@ -208,6 +263,7 @@ def features(page: Page) -> list[list[float]]:
             min(a, 3), min(f, 3), h, min(against_above[k], 3), min(favour_above[k], 3), min(depth[k], 12), min(brothers, 40), place[k] / max(brothers, 1),
             np.log1p(t), np.log1p(own[k]), min(link[k] / max(t, 1), 1.0), np.log1p(t / tags[k]), t / total, t / max(text[up], 1) if up >= 0 else 1.0,
             min(control[k], 5), np.log1p(paras[k]), min(stop[k] / max(t, 1), 0.2), before[k] / total, min(runs[k], 10), float(page.tag[k][0] == "h" and page.tag[k][1:].isdigit()),
+            min(holds[0], 2), float(holds[k] > 0), float(holds[0] > 0 and not holds[k] and not above[k] & 3),
         ]
         row += [float(page.tag[k] == x) for x in TAGS]
         row += [float(above[k] >> i & 1) for i in range(len(ABOVE))]
@@ -298,7 +354,7 @@ def main_text(page: Page, kept: list[bool]) -> str:
     return "\n\n".join(out)
 
 
-def training_pages(count: int = 360, seed: int = 11) -> Iterator[str]:
+def training_pages(count: int = 480, seed: int = 11) -> Iterator[str]:
     """Pages from templates. data-kept marks what belongs to the article; it is no feature."""
     r = random.Random(seed)
     words = ["".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(400)]
@@ -328,8 +384,8 @@ def training_pages(count: int = 360, seed: int = 11) -> Iterator[str]:
 
     def article() -> str:
         parts = []
-        for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25])):
-            size = r.choice([(1, 3), (4, 12), (15, 60), (40, 160)])
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14, 25])):
+            size = r.choice([(1, 2), (1, 4), (4, 12), (15, 60), (40, 160)])
             said = r.choice([line(*size), f'{line(*size)} <a href="/x">{name(1, 4)}</a> {line(2, 9)}', f"<b>{line(*size)}<br>", f"<b>{name(1, 3)}</b> {line(*size)}"])
             parts.append(f"<p{kept}>{said}" + r.choice(["</p>", "</p>", ""]))
             if r.random() < 0.12:
@@ -344,7 +400,7 @@ def training_pages(count: int = 360, seed: int = 11) -> Iterator[str]:
 
     for _ in range(count):
         top, end = r.sample(small(), r.randint(0, 3)), r.sample(small(), r.randint(0, 2))
-        foot = r.choice([f"<footer>&copy; {name(1, 3)} &middot; {line(2, 12)}</footer>", f"<div{attr('footer', 'site-footer', 'copyright')}><p>{line(2, 12)}</p></div>", f"<footer><p>{line(3, 20)}</p>{menu(4)}</footer>", ""])
+        foot = r.choice([f"<footer>&copy; {name(1, 3)} &middot; {line(2, 24)}</footer>", f"<div{attr('footer', 'site-footer', 'copyright')}><p>{line(2, 12)}</p></div>", f"<footer><p>{line(3, 20)}</p>{menu(4)}</footer>", ""])
         inner = "".join([*top, article(), *end, r.choice(["", "", comments()]), foot])
         wrap = r.choice(["{}", "{}", f"<div{attr('wrapper', 'page', 'container', 'layout')}{kept}>{{}}</div>", f"<main{kept}>{{}}</main>"])
         yield f"<!DOCTYPE html><html><head><title>{name(2, 5)}</title></head><body{kept}>{wrap.format(inner)}</body></html>"

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -352,6 +353,33 @@ def test_extraction_on_pages_it_was_not_trained_on():
     assert right >= 0.85 * total
 
 
+def test_extraction_equals_the_article_element_on_whole_pages(spark):
+    """The element is read off the markup here; the operator has to find it."""
+    import re
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    got = {x.page_id: x.text for x in q.op9_html(spark, DATA).collect()}
+    assert len(got) == len(pages)
+    right = 0
+    for p in pages:
+        inner = re.search(r"(?s)<article.*?</article>", p.html)
+        page = html.parse(inner[0])
+        right += got[p.page_id] == html.main_text(page, [True] * len(page.tag))
+    assert right >= 0.99 * len(pages)
+
+
+def test_deep_odd_and_long_pages_take_linear_time(spark):
+    n = 20_000
+    odd = ["<div>" * n + "x", "<b></i>" * n, "<!" * 4 * n, "<p>" * n, "<ul><li>" * n, "<a \"'" * n, "<td>" * n, "<!-- " * n, "</div>" * n, "<script>" * n, "<" * n, "&" * n]
+    good = "<article>" + "<p>Some words of the story are told here.</p>" * n + "</article>"
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate([*odd, good])] * 2, "page_id long, url string, html string")
+    began = time.time()
+    got = html.extract(df).collect()
+    assert time.time() - began < 120
+    assert len(got) == 2 * (len(odd) + 1)
+    assert {len(x.text) for x in got if x.page_id == len(odd)} == {38 * n + 2 * (n - 1)}
+
+
 def test_nothing_stays_below_what_was_dropped():
     r = np.random.default_rng(2)
     page = html.parse("".join(html.training_pages(3)))
