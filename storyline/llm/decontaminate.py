@@ -7,20 +7,22 @@ word: an equal word counts +1, a replaced one -MISS, and the best stretch decide
 documents with hits are joined with their alignments, and of them only the aligned words go on.
 
 Words are maximal runs of letters and digits in lower case. Null texts have no words. Items shorter than a window use
-the front of the masks; items under ``shortest`` words are not looked for. Repeated rows and ties give the same result
-row once: one row for each document id and item. Columns other than doc_id, item_id and text are not looked at.
+the front of a mask. Items under ``whole`` words must stand in a document word for word, and those of one or two words must be
+all that the document says. Repeated rows and ties give the same result row once: one row for each document id and item, of
+equal stretches the first. Empty tables give no rows. Columns other than doc_id, item_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marked places of each mask: 8 of 12 words.
 MASKS = ("111101001101", "110010111011", "101110110101")
-SPAN, MISS = 12, 3
+SPAN, MISS, ALONE = 12, 3, 2
 #: Benchmark windows broadcast at once, about 100 MB; a larger benchmark is joined in so many slices by item.
 MOST_SEEDS = 2_000_000
 
@@ -37,14 +39,16 @@ def seed(hashes: Column, at: Column, mask: int, span: int) -> Column:
     return F.xxhash64(F.lit(mask), F.lit(span), *(F.get(hashes, at + i) for i in marked))
 
 
-def _seeds(rows: DataFrame, hashes: str, span: int, *keep: str) -> DataFrame:
-    """A row for each window and mask: pos, mask and hash."""
+def _seeds(rows: DataFrame, hashes: str, spans: list[int], *keep: str) -> DataFrame:
+    """A row for each window and mask: pos and hash, which also tells span and mask."""
     # The front of a mask can be the whole of another one's: for short spans one mask is enough.
-    masks = range(len(MASKS)) if span == SPAN else [0]
-    starts = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span))
+    kinds = [(span, m) for span in spans for m in (range(len(MASKS)) if span == SPAN else [0])]
+    size = F.size(hashes)
+    starts = F.when(size >= min(spans), F.sequence(F.lit(0), size - min(spans)))
     at = rows.select(*keep, hashes, F.explode(starts).alias("pos"))
-    some = at.select(*keep, "pos", F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), seed(F.col(hashes), F.col("pos"), m, span).alias("hash")) for m in masks))).alias("s"))
-    return some.select(*keep, "pos", F.col("s.mask").alias("mask"), F.col("s.hash").alias("hash"))
+    room = lambda span: (F.col("pos") + span <= size) & ((size == span) if span <= ALONE else F.lit(True))
+    each = F.array(*(F.when(room(span), seed(F.col(hashes), F.col("pos"), m, span)) for span, m in kinds))
+    return at.select(*keep, "pos", F.explode(F.array_compact(each)).alias("hash"))
 
 
 def _best(equal: Column) -> Column:
@@ -63,23 +67,24 @@ def _best(equal: Column) -> Column:
     return F.aggregate(equal, zero, step, lambda acc: F.struct(acc["score"].alias("score"), acc["first"].alias("first"), acc["end"].alias("end"), acc["equal"].alias("equal")))
 
 
-def _stretches(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: float = 0.7, shortest: int = 6) -> DataFrame:
+def _stretches(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: float = 0.7, whole: int = 6) -> DataFrame:
     """doc_id, text_hash, item_id, at (the first aligned word) and b (the best stretch) of each alignment that find() counts."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") >= shortest).dropDuplicates(["item_id", "item"])
+    items = benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") > 0).dropDuplicates(["item_id", "item"])
     items = items.withColumn("item_key", F.xxhash64("item_id", "item"))
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     held = texts.select("doc_id", "text_hash", words(F.col("text")).alias("doc"))
     sizes = items.agg(F.sum(F.size("item")), F.collect_set(F.least(F.size("item"), F.lit(SPAN)))).first()
     slices = max(1, math.ceil((sizes[0] or 0) * len(MASKS) / MOST_SEEDS))
+    spans = sorted(sizes[1] or [SPAN])
     hits = None
-    for span in sorted(sizes[1] or [SPAN]):
-        own = items.filter(F.least(F.size("item"), F.lit(SPAN)) == span)
-        for k in range(slices):
-            some = own if slices == 1 else own.filter(F.pmod("item_key", F.lit(slices)) == k)
-            theirs = _seeds(some, "item", span, "item_key").withColumnRenamed("pos", "item_pos")
-            met = _seeds(held, "doc", span, "doc_id", "text_hash").join(F.broadcast(theirs), ["hash", "mask"])
-            met = met.select("doc_id", "text_hash", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
-            hits = met if hits is None else hits.unionByName(met)
+    for k in range(slices):
+        some = items if slices == 1 else items.filter(F.pmod("item_key", F.lit(slices)) == k)
+        # An item has seeds of its own span only: the whole item if it is short, else a window.
+        theirs = [_seeds(some.filter(F.least(F.size("item"), F.lit(SPAN)) == span), "item", [span], "item_key") for span in spans]
+        theirs = reduce(DataFrame.unionByName, theirs).withColumnRenamed("pos", "item_pos")
+        met = _seeds(held, "doc", spans, "doc_id", "text_hash").join(F.broadcast(theirs), "hash")
+        met = met.select("doc_id", "text_hash", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        hits = met if hits is None else hits.unionByName(met)
     # A document's hits come from one task, which leaves one row for each alignment.
     hits = hits.distinct().join(items.select("item_key", F.size("item").alias("n")), "item_key")
     by_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_key", "shift", "n")).alias("hits"))
@@ -94,7 +99,8 @@ def _stretches(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: fl
     parts = found.select("doc_id", "text_hash", F.explode(F.transform("hits", cut)).alias("h")).select("doc_id", "text_hash", "h.*").join(items, "item_key")
     equal = F.zip_with("part", F.slice("item", F.col("skip") + 1, F.size("part")), lambda a, b: a == b)
     best = parts.select("doc_id", "text_hash", "item_id", "n", "at", _best(equal).alias("b"))
-    return best.filter(F.col("b.score") >= F.least(F.lit(least), F.ceil(F.col("n") * share)))
+    enough = F.when(F.col("n") < whole, F.col("n")).otherwise(F.least(F.lit(least), F.ceil(F.col("n") * share)))
+    return best.filter(F.col("b.score") >= enough)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:

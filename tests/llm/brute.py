@@ -126,3 +126,20 @@ def pii_terms(texts: list[str | None], least: int, generalise: float, remove: fl
             rows += [(a, b, "gone" if any(how) else form)] if how else []
         out.append(sorted(rows))
     return out
+
+
+def contaminated(text: str | None, item: str | None, least: int, share: float, whole: int, miss: int) -> bool:
+    """Whether some alignment of item and text has a stretch of enough equal words, replaced ones counting against it."""
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    d, b = split(text), split(item)
+    if not b or not d:
+        return False
+    if len(b) <= 2:
+        return d == b
+    best = 0
+    for shift in range(-len(b) + 1, len(d)):
+        run = 0
+        for k in range(max(0, -shift), min(len(b), len(d) - shift)):
+            run = max(run, 0) + (1 if d[shift + k] == b[k] else -miss)
+            best = max(best, run)
+    return best >= (len(b) if len(b) < whole else min(least, math.ceil(len(b) * share)))

@@ -262,6 +262,32 @@ def test_decontamination_tolerates_replaced_words(spark):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_equals_plain_alignment(spark):
+    """Up to the seeds: what they find is right, and they miss little of what plain alignment of all shifts finds."""
+    r = random.Random(14)
+    words = [f"q{i}" for i in range(400)]
+    said = lambda n: r.choices(words, k=n)
+    items = [said(n) for n in (1, 2, 3, 4, 5, 6, 9, 13, 20, 40, 40, 80)] + [["yes"], ["q1"] * 20]
+    texts = [None, "", "yes", "yes, no", "Q1 " * 50]
+    for item in items:
+        for changes in (0, 1, 2, 5, 9):
+            part = list(item)
+            for k in r.sample(range(len(part)), min(changes, len(part))):
+                part[k] = r.choice(words)
+            cut = part[: r.randint(1, len(part))] if r.random() < 0.3 else part
+            texts.append(" ".join(said(r.choice([0, 0, 30])) + cut + said(r.choice([0, 0, 30]))))
+    bench = spark.createDataFrame([(i, " ".join(x), "x", 1) for i, x in enumerate(items)] + [(0, " ".join(items[0]), "y", 2), (99, None, "z", 3)], "item_id long, text string, doc_id string, n int")
+    docs = documents(spark, texts)
+    docs = docs.unionByName(docs.limit(7)).withColumn("item_id", F.lit("clash")).withColumn("n", F.lit("clash"))
+    rows = decontaminate.find(docs, bench).collect()
+    got = {(x.doc_id, x.item_id) for x in rows}
+    want = {(i, j) for i, t in enumerate(texts) for j, b in enumerate(items) if brute.contaminated(t, " ".join(b), 12, 0.7, 6, decontaminate.MISS)}
+    assert len(rows) == len(got) and got <= want and len(got) >= 0.97 * len(want)
+    assert {x for x in want if len(items[x[1]]) < 6} <= got
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == set(range(len(texts))) - {i for i, _ in got}
+
+
 def test_null_and_repeated_ids_lose_no_clean_row(spark):
     say = lambda c, last="end": " ".join(f"{c}{k}" for k in range(40)) + f" {last}"
     rows = [(None, say("a")), (None, say("a", "other")), (None, say("b")), (None, say("c")), (7, say("d")), (7, say("e")), (8, say("e", "other")), (7, ""), (7, "  "), (None, None)]
