@@ -185,3 +185,73 @@ def undo_steps(log: DataFrame, most: int = 100) -> DataFrame:
 def prefix_names(documents: DataFrame, prefix: str) -> DataFrame:
     """Names that start with a prefix, letters in either case."""
     return documents.filter(F.lower("name").startswith(prefix.lower())).select("name").orderBy("name")
+
+
+def list_sources(sources: DataFrame) -> DataFrame:
+    """Sources by id."""
+    return sources.orderBy("library_id", "id")
+
+
+def files_of_sources(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """Files with the kind and the root of their source."""
+    held = sources.select("library_id", F.col("id").alias("source_id"), "kind", F.col("path").alias("root"))
+    return files.join(held, ["library_id", "source_id"])
+
+
+def cloud_files(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """Files that are not on this machine, with their full path."""
+    from storyline.sources.files import full_path
+
+    held = files_of_sources(files.filter(F.col("status") == "cloud_only"), sources)
+    return held.select("library_id", "id", full_path(F.col("root"), F.col("rel_path")).alias("path"), "size")
+
+
+def faces_in_year(faces: DataFrame, photos: DataFrame, year: int) -> DataFrame:
+    """Faces of the year's photos; the year filter reaches the scan of the photos."""
+    first, after = (F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (year, year + 1))
+    held = photos.filter((F.col("taken_at") >= first) & (F.col("taken_at") < after)).select("library_id", "content_hash", "taken_at")
+    return faces.join(held, ["library_id", "content_hash"])
+
+
+def with_names(faces: DataFrame, persons: DataFrame) -> DataFrame:
+    """Faces with the name of their person, null for unknown ones."""
+    return faces.join(persons.select("library_id", F.col("id").alias("person_id"), "name"), ["library_id", "person_id"], "left")
+
+
+def enriched(draft: DataFrame, summary: DataFrame, looks: DataFrame) -> DataFrame:
+    """Draft photos with size and thumbnail, and with the user's rotation and zoom, where there are none the usual ones."""
+    key = ["library_id", "content_hash"]
+    both = draft.join(summary.select(*key, "width", "height", "has_thumbnail"), key, "left").join(looks.select(*key, "rotation", "zoom"), key, "left")
+    return both.withColumn("rotation", F.coalesce("rotation", F.lit(0))).withColumn("zoom", F.coalesce("zoom", F.lit(100)))
+
+
+def ingest_report(reconciled: DataFrame, read: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """Added, changed and removed files, files read, photos that are new by content, and files that could not be read.
+    read: by, content_hash (null if unreadable); known: by, content_hash of the photos before."""
+    states = reconciled.groupBy(*by).agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("added", "changed", "removed")))
+    new = read.filter("content_hash is not null").select(*by, "content_hash").distinct().join(known, [*by, "content_hash"], "left_anti")
+    seen = read.groupBy(*by).agg(F.count("content_hash").alias("read"), F.count_if(F.col("content_hash").isNull()).alias("unreadable"))
+    out = states.join(seen, by, "full").join(new.groupBy(*by).agg(F.count("*").alias("new_photos")), by, "left")
+    return out.fillna(0, ["added", "changed", "removed", "read", "unreadable", "new_photos"])
+
+
+def split_group(faces: DataFrame, group: int, split: DataFrame, ignored: int = 999_999, unnamed: int = 1_000_000) -> DataFrame:
+    """M7: the marked faces of a group become a new group; the others of the group are locked to it. split: library_id, id."""
+    new = F.greatest(F.lit(unnamed), F.coalesce(F.max(F.when(F.col("grp") != ignored, F.col("grp"))) + 1, F.lit(0)))
+    nexts = faces.groupBy("library_id").agg(new.alias("_next"))
+    # A library has one number: the table is small, and the join by library is left to the planner.
+    both = faces.join(nexts, "library_id").join(split.select("library_id", "id", F.lit(True).alias("_split")), ["library_id", "id"], "left")
+    here = F.col("grp") == group
+    gone = here & F.coalesce("_split", F.lit(False))
+    both = both.withColumn("confirmed", F.col("confirmed") | gone | (here & ~F.col("ignored"))).withColumn("ignored", F.col("ignored") & ~gone)
+    both = both.withColumn("person_id", F.when(~gone, F.col("person_id")))
+    return both.withColumn("grp", F.when(gone, F.col("_next")).otherwise(F.col("grp"))).select(*faces.columns)
+
+
+def move_face(faces: DataFrame, moves: DataFrame, ignored: int = 999_999) -> DataFrame:
+    """M7: single faces go to a person, or are left out where the person is null. moves: library_id, id, to_person."""
+    both = faces.join(moves.select("library_id", "id", "to_person", F.lit(True).alias("_moved")), ["library_id", "id"], "left")
+    hit = F.coalesce("_moved", F.lit(False))
+    out = both.withColumn("person_id", F.when(hit, F.col("to_person")).otherwise(F.col("person_id"))).withColumn("confirmed", F.col("confirmed") | hit)
+    out = out.withColumn("ignored", F.when(hit, F.col("to_person").isNull()).otherwise(F.col("ignored")))
+    return out.withColumn("grp", F.when(hit, F.coalesce("to_person", F.lit(ignored))).otherwise(F.col("grp"))).select(*faces.columns)

@@ -1,7 +1,7 @@
-"""The album draft: photos annotated and grouped with Columns, a greedy pick for each library and year, reasons as Columns.
+"""The album draft: photos annotated and grouped with Columns, a greedy pick for each library, reasons as Columns.
 
-The pick looks at what was chosen before, in this event and in the album, so it is a fold; one library's year is the
-unit, some thousand rows. All else is relational.
+The pick looks at what was chosen before, in this event and in the album, so it is a fold; the photos given are those of
+one year of each library (canonical_year()), so a fold has some thousand rows. All else is relational.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from storyline.functions.scalar import aesthetic, hamming, mood_cap, natural_pag
 from storyline.operators import timeline
 
 BY = ["library_id"]
-SIMILAR_SECONDS, SAME_THING = 600, 20
+SIMILAR_SECONDS, SAME_THING, CHILD_BALANCE = 600, 20, 0.3
 
 
 def faces_in_photos(faces: DataFrame) -> DataFrame:
@@ -90,37 +90,44 @@ def budget(items: DataFrame, wanted: int | None = None) -> DataFrame:
 
 
 def _pick(held: pd.DataFrame) -> pd.DataFrame:
-    """K6, K7: the greedy pick of one library's year, event after event."""
+    """K6, K7, K8: the greedy pick of one library's year, event after event."""
     held = held.sort_values(["t", "content_hash"], kind="stable").reset_index(drop=True)
-    t, q, phash, burst = held["t"].to_numpy(), held["quality"].to_numpy(), held["phash"], held["burst"].to_numpy()
-    mood, decision, noise = held["mood"].to_numpy(), held["decision"], held["noise"]
+    plain = lambda c: [None if x is None or x != x else x for x in held[c].tolist()]
+    t, q, phash, burst, mood, decision, noise = (plain(c) for c in ("t", "quality", "phash", "burst", "mood", "decision", "noise"))
+    child = [() if x is None else tuple(x) for x in held["children"]]
     imp, limit = float(held["quality_importance"].iloc[0]), float(held["similar_hamming"].iloc[0])
     included, jumped, first = [False] * len(held), [False] * len(held), [False] * len(held)
-    apart = lambda a, b: ((int(phash[a]) ^ int(phash[b])) & (2**64 - 1)).bit_count() if pd.notna(phash[a]) and pd.notna(phash[b]) else 65
+    apart = lambda a, b: ((int(phash[a]) ^ int(phash[b])) & (2**64 - 1)).bit_count() if phash[a] is not None and phash[b] is not None else 65
     album_moods: list[int] = []
     for _, rows in held.groupby("grp", sort=True):
         members = list(rows.index)
-        chosen = [i for i in members if pd.notna(decision[i]) and decision[i] != "ikke_med"]
-        open_ = [i for i in members if pd.isna(decision[i]) and pd.isna(noise[i])]
+        chosen = [i for i in members if decision[i] is not None and decision[i] != "ikke_med"]
+        open_ = [i for i in members if decision[i] is None and noise[i] is None]
         want, most = int(rows["quota"].iloc[0]), int(rows["mood_max"].iloc[0])
         if not chosen and not open_:
-            want, open_ = 1, [i for i in members if pd.isna(decision[i]) and noise[i] != "screenshot"]
+            want, open_ = 1, [i for i in members if decision[i] is None and noise[i] != "screenshot"]
         step = max(max(t[members[-1]] - t[members[0]], 1) / (want + 1), 60.0)
         moods, started = sum(bool(mood[i]) for i in chosen), False
         blocks = lambda i, j: burst[i] == burst[j] or (abs(t[i] - t[j]) <= SIMILAR_SECONDS and apart(i, j) <= limit)
         same = lambda i, j: mood[i] and mood[j] and apart(i, j) <= SAME_THING
         open_ = [i for i in open_ if not any(blocks(i, j) for j in chosen) and not any(same(i, j) for j in [*chosen, *album_moods])]
         near = {i: min((abs(t[i] - t[j]) for j in chosen), default=None) for i in open_}
+        shown: dict[int, int] = {}
+        for i in chosen:
+            for c in child[i]:
+                shown[c] = shown.get(c, 0) + 1
         while len(chosen) < want:
             able = [i for i in open_ if not mood[i] or moods < most]
             if not able:
                 break
-            value = lambda i: imp * q[i] + (1 - imp) * (1.0 if near[i] is None else min(near[i] / step, 1.0))  # noqa: B023, E731
+            value = lambda i: imp * q[i] + (1 - imp) * (1.0 if near[i] is None else min(near[i] / step, 1.0)) + max((CHILD_BALANCE / (1 + shown.get(c, 0)) for c in child[i]), default=0.0)  # noqa: B023, E731
             best = max(able, key=lambda i: (value(i), -i))
             jumped[best] = q[best] + 1e-6 < max(q[i] for i in able)
             first[best], started = not started, True
             moods += bool(mood[best])
             chosen.append(best)
+            for c in child[best]:
+                shown[c] = shown.get(c, 0) + 1
             open_ = [i for i in open_ if i != best and not blocks(i, best) and not same(i, best)]
             near = {i: abs(t[i] - t[best]) if near[i] is None else min(near[i], abs(t[i] - t[best])) for i in open_}
         album_moods += [i for i in chosen if mood[i]]
@@ -130,9 +137,11 @@ def _pick(held: pd.DataFrame) -> pd.DataFrame:
 
 
 def pick(items: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Included, first of its event, and chosen over a better one for its time."""
+    """Included, first of its event, and chosen over a better one for its time."""
+    if "children" not in items.columns:
+        items = items.withColumn("children", F.array().cast("array<bigint>"))
     held = items.join(budgets.select(*BY, "grp", "quota", "mood_max"), [*BY, "grp"])
-    cols = ["library_id", "content_hash", "t", "quality", "phash", "burst", "mood", "decision", "noise", "grp", "quota", "mood_max", "quality_importance", "similar_hamming"]
+    cols = ["library_id", "content_hash", "t", "quality", "phash", "burst", "mood", "decision", "noise", "grp", "quota", "mood_max", "quality_importance", "similar_hamming", "children"]
     hash_type = items.schema["content_hash"].dataType.simpleString()
     return held.select(*cols).groupBy(*BY).applyInPandas(_pick, f"library_id string, content_hash {hash_type}, included boolean, first boolean, jumped boolean")
 
@@ -174,9 +183,32 @@ def with_reasons(items: DataFrame, picked: DataFrame) -> DataFrame:
     return held.select(*BY, "grp", "content_hash", "t", "quality", "mood", "exceptional", "people", "decision", "included", F.when(F.col("included"), reason_in).otherwise(reason_out).alias("reason"), F.when(~F.col("included"), other).alias("related"))
 
 
-def make_draft(photos: DataFrame, faces: DataFrame, decisions: DataFrame, prefs: DataFrame, wanted: int | None = None) -> DataFrame:
-    """A reason for every dated photo of every library."""
+def usable(items: DataFrame) -> DataFrame:
+    """Photos without a fault that keeps them out, and not excluded by the user."""
+    return items.filter(F.col("noise").isNull() & (F.coalesce("decision", F.lit("")) != "ikke_med"))
+
+
+def outer_reasons(draft: DataFrame, locked: DataFrame, covering: DataFrame) -> DataFrame:
+    """photos of locked pages and those added for coverage are in and say so, whatever else was said of them. locked,
+    covering: library_id, content_hash. A photo for which there was no room tells how many its event has."""
+    key = [*BY, "content_hash"]
+    mark = lambda df, c: df.select(*key).distinct().withColumn(c, F.lit(True))
+    held = draft.join(mark(locked, "_locked"), key, "left").join(mark(covering, "_covering"), key, "left")
+    outer = F.coalesce("_locked", "_covering")
+    held = held.withColumn("included", F.coalesce(outer, "included")).withColumn("related", F.when(outer.isNull(), F.col("related")))
+    held = held.withColumn("reason", F.when(F.col("_locked"), "page_you_are_pleased_with").when(F.col("_covering"), "all_are_shown").otherwise(F.col("reason")))
+    of_event = F.count_if("included").over(Window.partitionBy(*BY, "grp"))
+    return held.withColumn("event_included", of_event).drop("_locked", "_covering")
+
+
+def make_draft(photos: DataFrame, faces: DataFrame, decisions: DataFrame, prefs: DataFrame, wanted: int | None = None, children: DataFrame | None = None) -> DataFrame:
+    """A reason for every dated photo of every library. children: library_id and person of those whose shares are balanced."""
     from storyline.shared import materialize
 
-    items = materialize(group(annotate(photos, faces, decisions, prefs)), "draft-items")
+    held = annotate(photos, faces, decisions, prefs)
+    if children is not None:
+        own = children.groupBy(*BY).agg(F.collect_set("person").alias("_own"))
+        none = F.array().cast("array<bigint>")
+        held = held.join(own, BY, "left").withColumn("children", F.coalesce(F.array_intersect("persons", "_own"), none)).drop("_own")
+    items = materialize(group(held), "draft-items")
     return with_reasons(items, pick(items, budget(items, wanted)))

@@ -88,3 +88,29 @@ def report_row(metrics: DataFrame, name: str) -> DataFrame:
     """A Markdown table row of the metrics."""
     cells = [F.format_string("%.2f", c) for c in metrics.columns]
     return metrics.select(F.concat(F.lit(f"| {name} | "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("row"))
+
+
+def decorations(uses: DataFrame, by: list[str], most: int = 3) -> DataFrame:
+    """Images used on more than three different pages are decoration, not photos. uses: image, page."""
+    return uses.groupBy(*by, "image").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") > most)
+
+
+def gold_listing(gold: DataFrame) -> DataFrame:
+    """Name, year, images and match rate of each stored set."""
+    n = F.count("*")
+    return gold.groupBy("library_id", "name", "year").agg(n.alias("images"), (F.count_if(F.col("status") == "sure") / n).alias("match_rate"))
+
+
+GOLD_JSON = "array<struct<content_hash:string,page:int,idx:int,distance:int,status:string>>"
+
+
+def gold_to_json(gold: DataFrame) -> DataFrame:
+    """One JSON text for each set, its images in album order."""
+    row = F.struct("page", "idx", F.struct(F.lower(F.hex("content_hash")).alias("content_hash"), "page", "idx", "distance", "status").alias("x"))
+    return gold.groupBy("library_id", "name", "year").agg(F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"])).alias("json"))
+
+
+def gold_from_json(stored: DataFrame) -> DataFrame:
+    """The rows of stored sets."""
+    rows = stored.select("library_id", "name", "year", F.inline(F.from_json("json", GOLD_JSON)))
+    return rows.withColumn("content_hash", F.unhex("content_hash"))

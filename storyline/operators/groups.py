@@ -142,3 +142,23 @@ def album_text(albums: DataFrame, persons: DataFrame, by: list[str]) -> DataFram
     family = persons.filter(F.col("role").isin("barn", "kjernefamilie")).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]).alias("family"))
     both = albums.join(family, by, "left")
     return both.withColumn("title", F.coalesce("title", F.col("year").cast("string"))).withColumn("names", F.coalesce("names", name_line(F.col("family")), F.lit(""))).drop("family")
+
+
+def distinct_persons(rows: DataFrame, by: list[str], unnamed: int = 1_000_000) -> DataFrame:
+    """U4: the named persons of each group of rows, sorted, each once. rows: persons (array)."""
+    named = rows.select(*by, F.explode("persons").alias("p")).filter(F.col("p") < unnamed).groupBy(*by).agg(F.sort_array(F.collect_set("p")).alias("persons"))
+    return rows.select(*by).distinct().join(named, by, "left").withColumn("persons", F.coalesce("persons", F.array().cast("array<bigint>")))
+
+
+def hints_of_choices(choices: DataFrame) -> DataFrame:
+    """Hints from stored choices: photo names that are no hash are dropped, and locked pages that have none left.
+    choices: library_id, kind, page and photos (array of hex names)."""
+    valid = F.filter("photos", lambda h: h.rlike("^[0-9a-fA-F]{64}$"))
+    held = choices.withColumn("photos", F.transform(valid, F.lower))
+    return held.filter((F.col("kind") != "locked") | (F.size("photos") > 0))
+
+
+def frame_candidates(rows: DataFrame, by: list[str], page: Column, key: str) -> DataFrame:
+    """Photos to choose from for a frame: the page's own first, then the story's, those not included last. rows: page, included."""
+    order = [F.desc(F.col("page").eqNullSafe(page)), F.desc("included"), key]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -138,3 +138,30 @@ def fold_choices(changes: DataFrame, by: list[str]) -> DataFrame:
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.select(*by).schema)
     return changes.groupBy(*by).applyInPandas(fold, f"{schema}, kind string, value long, place long, photo long")
+
+
+def assemble_pages(locked: DataFrame, made: DataFrame, by: list[str]) -> DataFrame:
+    """L3: the pages of an event in order: locked ones and new ones by their first photo, locked before new where both begin alike;
+    photos that a locked page has leave the new ones. locked, made: page, pos, photo."""
+    free = made.join(locked.select(*by, "photo"), [*by, "photo"], "left_anti")
+    both = locked.select(*by, F.lit(0).alias("kind"), "page", "pos", "photo").unionByName(free.select(*by, F.lit(1).alias("kind"), "page", "pos", "photo"))
+    first = both.groupBy(*by, "kind", "page").agg(F.min("photo").alias("_first"))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("_first", "kind", "page"))
+    pages = first.withColumn("number", number).drop("_first")
+    return both.join(pages, [*by, "kind", "page"]).select(*by, "number", (F.col("kind") == 0).alias("locked"), "pos", "photo")
+
+
+def portrait_page(chosen: DataFrame, portraits: DataFrame, by: list[str], most: int = 9, least: int = 3) -> DataFrame:
+    """L2: the page of faces that an adult trip of two pages or more begins with: the persons' portraits if there are two, else
+    the most skin among photos with people if there are three. chosen: photo, skin, people; portraits: photo."""
+    faces = portraits.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).filter("_n >= 2").select(*by, "photo")
+    skin = Window.partitionBy(*by).orderBy(F.desc("skin"), "photo")
+    close = chosen.filter("people").join(faces.select(*by).distinct(), by, "left_anti").withColumn("_p", F.row_number().over(skin)).filter(F.col("_p") <= most)
+    close = close.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).filter(F.col("_n") >= least).select(*by, "photo")
+    return faces.unionByName(close).withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("photo")) - 1)
+
+
+def page_policy(size: Column, decision: Column, mood: Column, exceptional: Column, people: Column) -> Column:
+    """L2: whether a photo must have, may have or never has a page of its own: the user's size, then the decision, then what it shows."""
+    out = F.when(size >= 3, "must").when(size.isNotNull(), "never").when(decision == "opp", "must").when(decision == "demp", "never")
+    return out.when(mood & exceptional, "free").when(people == False, "never").otherwise("free")  # noqa: E712

@@ -141,3 +141,30 @@ def portraits(rows: DataFrame, by: list[str], most: int = 9) -> DataFrame:
         return F.when((F.size(acc) < most) & free.isNotNull(), more).otherwise(acc)
 
     return people.select(*by, F.inline(F.aggregate("all", zero, take)))
+
+
+SMALL_FACE, MANY_FACES, ONE_PASS = 0.06, 8, 640 * 1.2
+
+
+def wants_tiles(photos: DataFrame, detections: DataFrame, key: list[str]) -> DataFrame:
+    """Photos to be searched in tiles: larger than one pass sees, with many faces or a small one. photos: width, height; detections: h in pixels."""
+    held = photos.select(*key, "width", "height").join(detections.select(*key, "h"), key, "left")
+    seen = held.groupBy(*key, "width", "height").agg(F.count("h").alias("faces"), F.coalesce(F.bool_or(F.col("h") < F.col("height") * SMALL_FACE), F.lit(False)).alias("has_small"))
+    return seen.withColumn("wants_tiles", (F.greatest("width", "height") > ONE_PASS) & ((F.col("faces") >= MANY_FACES) | F.col("has_small")))
+
+
+def put_faces(faces: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """M5: the faces of photos seen anew replace the old ones; what the user decided of an old box goes to the new box in its
+    place (J14). faces: by, id, box, grp, person_id, confirmed, ignored; new: by, id and box."""
+    decided = faces.filter("confirmed or ignored")
+    pairs = carry_over(decided, new, by).join(decided.select(*by, F.col("id").alias("old_id"), "grp", "person_id", "confirmed", "ignored"), [*by, "old_id"])
+    marks = pairs.select(*by, F.col("new_id").alias("id"), "grp", "person_id", "confirmed", "ignored")
+    fresh = new.join(marks, [*by, "id"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False))).withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+    kept = faces.join(new.select(*by).distinct(), by, "left_anti")
+    return kept.unionByName(fresh.select(*faces.columns))
+
+
+def person_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Photos of each person in a pool, and the person's place, most photos first. rows: persons (array)."""
+    n = rows.select(*by, F.explode("persons").alias("person")).groupBy(*by, "person").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "person")))

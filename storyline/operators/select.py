@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,15 +60,19 @@ def baseline(rows: DataFrame, by: list[str], t: str, month: str, score: str, key
 
     def spaced(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values([score, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        want, taken = int(held["quota"].iloc[0]), []
-        ranked = held.index[held[best]]
-        for i in ranked:
-            if len(taken) < want and all(abs(held.at[j, t] - held.at[i, t]) > SPACING for j in taken):
-                taken.append(i)
+        want, at = int(held["quota"].iloc[0]), held[t].tolist()
+        ranked, taken, times = np.flatnonzero(held[best].to_numpy(bool)).tolist(), [], []
         for i in ranked:
-            if len(taken) < want and i not in taken:
+            # The taken times are sorted: only the two around the new one can be too near.
+            k = bisect.bisect(times, at[i])
+            if len(taken) < want and all(abs(x - at[i]) > SPACING for x in times[max(k - 1, 0) : k + 1]):
                 taken.append(i)
-        return held.assign(taken=held.index.isin(taken))
+                times.insert(k, at[i])
+        left = set(taken)
+        taken += [i for i in ranked if i not in left][: max(want - len(taken), 0)]
+        marked = np.zeros(len(held), bool)
+        marked[taken] = True
+        return held.assign(taken=marked)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.select(*cols).schema)
     marked = held.select(*cols).groupBy(*by, month).applyInPandas(spaced, f"{schema}, taken boolean")

@@ -397,27 +397,27 @@ def event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.round(c, 6).cast("double").alias(c) for c in out.columns))
 
 
-@query(f"""WITH {SIMHASH}, s AS (SELECT doc_id, source, simhash FROM documents JOIN sh USING (doc_id) WHERE doc_id % 2 = 0),
+@query(f"""WITH {SIMHASH}, s AS (SELECT doc_id, source, simhash FROM documents JOIN sh USING (doc_id)),
 m AS (SELECT a.source, a.doc_id, max(greatest(0.0, 1 - bit_count(xor(a.simhash, b.simhash)) / 60.0)) AS m FROM s a JOIN s b ON a.source = b.source AND a.doc_id <> b.doc_id GROUP BY ALL)
 SELECT source, round(avg(m), 6)::DOUBLE AS redundancy FROM m GROUP BY source""")
 def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.table(spark, sf_dir, "documents").select("doc_id", "source").filter("doc_id % 2 = 0").join(src.simhashes(spark, sf_dir), "doc_id")
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", "source").join(src.simhashes(spark, sf_dir), "doc_id")
     out = evaluate.redundancy(docs.select("source", F.col("doc_id").alias("id"), F.col("simhash").alias("h")), ["source"], 60)
     return out.select("source", F.round("redundancy", 6).cast("double").alias("redundancy"))
 
 
-MATCHED = f"""WITH {SIMHASH}, k AS (SELECT doc_id, (n_chars // 400)::INT AS shape, simhash FROM documents JOIN sh USING (doc_id)),
-d AS (SELECT a.doc_id AS id, b.doc_id AS lib_id, bit_count(xor(a.simhash, b.simhash))::INT AS d FROM k a JOIN k b ON a.shape = b.shape WHERE a.doc_id < 100 AND b.doc_id >= 100),
+MATCHED = f"""WITH {SIMHASH}, k AS (SELECT doc_id, (n_chars // 400)::INT AS shape, lang = 'en' AS album, simhash FROM documents JOIN sh USING (doc_id)),
+d AS (SELECT a.doc_id AS id, b.doc_id AS lib_id, bit_count(xor(a.simhash, b.simhash))::INT AS d FROM k a JOIN k b ON a.shape = b.shape WHERE a.album AND NOT b.album),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, lib_id) AS n FROM d),
 xx AS (SELECT id, max(lib_id) FILTER (n = 1) AS best, max(d) FILTER (n = 1) AS distance, max(lib_id) FILTER (n = 2) AS runner_up, max(d) FILTER (n = 2) AS runner_up_distance FROM n WHERE n <= 2 GROUP BY id),
-y AS (SELECT k.doc_id AS id, best, distance, runner_up, runner_up_distance, CASE WHEN distance <= 8 THEN 'sure' WHEN distance <= 14 THEN 'unsure' ELSE 'unmatched' END AS status FROM k LEFT JOIN xx ON k.doc_id = xx.id WHERE k.doc_id < 100)"""
+y AS (SELECT k.doc_id AS id, best, distance, runner_up, runner_up_distance, CASE WHEN distance <= 8 THEN 'sure' WHEN distance <= 14 THEN 'unsure' ELSE 'unmatched' END AS status FROM k LEFT JOIN xx ON k.doc_id = xx.id WHERE k.album)"""
 
 
 @query(f"{MATCHED} SELECT * FROM y")
 def album_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("n_chars") / 400).cast("int").alias("shape")).join(src.simhashes(spark, sf_dir), "doc_id")
-    held = docs.select(F.col("doc_id").alias("id"), "shape", F.col("simhash").alias("h"))
-    return evaluate.album_match(held.filter("id < 100"), held.filter("id >= 100"))
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("n_chars") / 400).cast("int").alias("shape"), (F.col("lang") == "en").alias("album")).join(src.simhashes(spark, sf_dir), "doc_id")
+    held = docs.select(F.col("doc_id").alias("id"), "shape", "album", F.col("simhash").alias("h"))
+    return evaluate.album_match(held.filter("album"), held.filter("not album"))
 
 
 @query(f"{MATCHED} SELECT count(*) AS images, round(count(*) FILTER (status = 'sure') / count(*), 6)::DOUBLE AS match_rate FROM y")
@@ -507,14 +507,14 @@ def filename_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", f.local_seconds("at").alias("t"), f.format_of("name").alias("format"))
 
 
-BOXES = "b AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 / 100.0 AS x, l_suppkey % 40 / 100.0 AS y, l_quantity / 100 AS w, (l_linenumber + 1) / 10.0 AS h FROM lineitem WHERE l_orderkey < 2000)"
+BOXES = "b AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 / 100.0 AS x, l_suppkey % 40 / 100.0 AS y, l_quantity / 100 AS w, (l_linenumber + 1) / 10.0 AS h FROM lineitem)"
 
 
 @query(f"""WITH {BOXES}, p AS (SELECT a.l_orderkey, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS "by", b.w AS bw, b.h AS bh FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber),
 i AS (SELECT *, greatest(least(ax + aw, bx + bw) - greatest(ax, bx), 0) * greatest(least(ay + ah, "by" + bh) - greatest(ay, "by"), 0) AS i FROM p)
 SELECT l_orderkey, count(*) AS pairs, round(max(i / (aw * ah + bw * bh - i)), 6)::DOUBLE AS most FROM i GROUP BY l_orderkey""")
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = src.table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000")
+    rows = src.table(spark, sf_dir, "lineitem")
     box = F.struct((F.col("l_partkey") % 50 / 100.0).alias("x"), (F.col("l_suppkey") % 40 / 100.0).alias("y"), (F.col("l_quantity") / 100).alias("w"), ((F.col("l_linenumber") + 1) / 10.0).alias("h"))
     a = rows.select("l_orderkey", F.col("l_linenumber").alias("n1"), box.alias("a"))
     both = a.join(rows.select("l_orderkey", F.col("l_linenumber").alias("n2"), box.alias("b")), "l_orderkey").filter("n1 < n2")
@@ -607,7 +607,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(size, ["user_id", "event"]).select("user_id", "event_id", "t", F.col("event").alias("grp"), "everyday")
 
 
-@query(f"""{EVERYDAY}, h AS (SELECT user_id, event_id % 17 AS set_id, grp FROM k WHERE event_id % 17 < 2 AND event_id < 1500),
+@query(f"""{EVERYDAY}, h AS (SELECT user_id, event_id % 17 AS set_id, grp FROM k WHERE event_id % 17 < 2),
 ed AS (SELECT DISTINCT a.user_id, a.grp AS a, b.grp AS b FROM h a JOIN h b ON a.user_id = b.user_id AND a.set_id = b.set_id),
 c(user_id, grp, root) AS (SELECT user_id, a, a FROM ed UNION SELECT ed.user_id, ed.b, c.root FROM c JOIN ed ON ed.user_id = c.user_id AND ed.a = c.grp),
 m AS (SELECT user_id, grp, min(root) AS root FROM c GROUP BY ALL),
@@ -615,7 +615,7 @@ l AS (SELECT k.user_id, event_id, t, everyday AND root IS NULL AS everyday, coal
 {RENUMBERED} SELECT user_id, event_id, everyday, grp FROM r""")
 def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _grouped(spark, sf_dir)
-    sets = rows.filter("event_id % 17 < 2 and event_id < 1500").select("user_id", (F.col("event_id") % 17).alias("set_id"), "event_id")
+    sets = rows.filter("event_id % 17 < 2").select("user_id", (F.col("event_id") % 17).alias("set_id"), "event_id")
     return groups.merge_groups(rows, sets, ["user_id"], "t", "event_id").select("user_id", "event_id", "everyday", "grp")
 
 
@@ -664,10 +664,10 @@ def choice_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.apply_choices(e, patches, [], "event_id")
 
 
-@query("""WITH p AS (SELECT user_id, list(event_id ORDER BY event_id) AS x FROM events WHERE event_id < 2000 GROUP BY user_id), q AS (SELECT user_id, x[len(x)] AS m, x[1] AS b, list_filter(x, lambda i : i <> x[len(x)]) AS rest FROM p WHERE len(x) > 1)
+@query("""WITH p AS (SELECT user_id, list(event_id ORDER BY event_id) AS x FROM events GROUP BY user_id), q AS (SELECT user_id, x[len(x)] AS m, x[1] AS b, list_filter(x, lambda i : i <> x[len(x)]) AS rest FROM p WHERE len(x) > 1)
 SELECT user_id, array_to_string(list_concat([m], rest), ',') AS photos FROM q""")
 def moved_photo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = src.table(spark, sf_dir, "events").filter("event_id < 2000").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("x")).filter(F.size("x") > 1)
+    pages = src.table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("x")).filter(F.size("x") > 1)
     moved = groups.move_photo(F.col("x"), F.element_at("x", -1), F.get("x", 0))
     return pages.select("user_id", F.array_join(moved, ",").alias("photos"))
 

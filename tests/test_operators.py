@@ -216,3 +216,99 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r.user_id, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.user_id >= 0)
     rows = timeline.assign_events(source.withColumn("t", f.micros("ts") / 1e6), ["user_id"], "t", "event_id")
     assert got == sorted((r.user_id, r.n) for r in rows.groupBy("user_id", "event").agg(F.count("*").alias("n")).collect())
+
+
+def plain_pick(rows, quota, mood_max, imp, limit):
+    """The greedy pick of one event, each value computed anew. rows: dicts in order of time."""
+    apart = lambda a, b: (a["phash"] ^ b["phash"]).bit_count()
+    chosen = [r for r in rows if r["decision"] == "opp"]
+    step = max(max(rows[-1]["t"] - rows[0]["t"], 1) / (quota + 1), 60.0)
+    while len(chosen) < quota:
+        moods = sum(r["mood"] for r in chosen)
+        able = [
+            r for r in rows
+            if r["decision"] is None and r not in chosen and (not r["mood"] or moods < mood_max)
+            and not any(r["burst"] == c["burst"] or (abs(r["t"] - c["t"]) <= 600 and apart(r, c) <= limit) for c in chosen)
+            and not any(r["mood"] and c["mood"] and apart(r, c) <= 20 for c in chosen)
+        ]
+        if not able:
+            break
+
+        def value(r):
+            spread = min((abs(r["t"] - c["t"]) / step for c in chosen), default=1.0)
+            gain = max((0.3 / (1 + sum(k in c["children"] for c in chosen)) for k in r["children"]), default=0.0)
+            return imp * r["quality"] + (1 - imp) * min(spread, 1.0) + gain
+
+        chosen.append(max(able, key=lambda r: (value(r), -r["t"], -r["content_hash"])))
+    return {r["content_hash"] for r in chosen}
+
+
+def test_pick_equals_a_plain_fold(spark):
+    r = random.Random(3)
+    for trial in range(6):
+        rows = []
+        for i in range(40):
+            rows.append({
+                "library_id": f"L{trial}", "content_hash": i, "t": 100 * i + r.randint(0, 90), "quality": r.random(), "phash": r.getrandbits(62), "burst": i // 2, "mood": r.random() < 0.3,
+                "decision": "opp" if r.random() < 0.05 else None, "noise": None, "grp": 0, "quality_importance": 0.75, "similar_hamming": 10.0, "children": [k for k in (1, 2) if r.random() < 0.3],
+            })
+        kind = "library_id string, content_hash long, t long, quality double, phash long, burst long, mood boolean, decision string, noise string, grp long, quality_importance double, similar_hamming double, children array<long>"
+        items = spark.createDataFrame(rows, kind)
+        budgets = spark.createDataFrame([(f"L{trial}", 0, 9, 2)], "library_id string, grp long, quota long, mood_max int")
+        got = {x.content_hash for x in draft.pick(items, budgets).filter("included").collect()}
+        assert got == plain_pick(rows, 9, 2, 0.75, 10)
+
+
+def test_children_share_an_event(spark):
+    """Two children of equal photos each get their share, though one has the better photos."""
+    rows = [(i, 5000 * i, 0.9 if i % 2 else 0.86, i, [1] if i % 2 else [2]) for i in range(12)]
+    kind = "content_hash long, t long, quality double, burst long, children array<long>"
+    items = spark.createDataFrame(rows, kind).selectExpr("'L' library_id", "*", "content_hash * 1234567890123 % 4611686018427387904 phash", "false mood", "cast(null as string) decision", "cast(null as string) noise", "0L grp", "1.0D quality_importance", "0.0D similar_hamming")
+    budgets = spark.createDataFrame([("L", 0, 4, 1)], "library_id string, grp long, quota long, mood_max int")
+    share = lambda df: sum(x.content_hash % 2 for x in draft.pick(df, budgets).filter("included").collect())
+    assert share(items.drop("children")) == 4 and share(items) == 2
+
+
+def test_baseline_equals_a_plain_scan(spark):
+    r = random.Random(4)
+    rows = [(i, r.randint(0, 60_000), r.randint(0, 30), r.random() < 0.7) for i in range(120)]
+    df = spark.createDataFrame([("L", "m", *x) for x in rows], "l string, m string, id long, t long, s long, best boolean")
+    got = {x.id for x in select.baseline(df, ["l"], "t", "m", "s", "id", "best", 20).collect()}
+    ranked = sorted((x for x in rows if x[3]), key=lambda x: (-x[2], x[0]))
+    taken = []
+    for x in ranked:
+        if len(taken) < 20 and all(abs(x[1] - y[1]) > select.SPACING for y in taken):
+            taken.append(x)
+    taken += [x for x in ranked if x not in taken][: 20 - len(taken)]
+    assert got == {x[0] for x in taken}
+
+
+def test_put_faces_keeps_what_the_user_decided(spark):
+    box = "struct<x:double,y:double,w:double,h:double>"
+    b = lambda x: (x, 0.0, 0.2, 0.2)
+    old = spark.createDataFrame([("p", 1, b(0.0), 7, 7, True, False), ("p", 2, b(0.5), 999_999, None, False, True), ("p", 3, b(0.8), 1_000_001, None, False, False), ("q", 4, b(0.0), 8, 8, True, False)], f"photo string, id long, box {box}, grp long, person_id long, confirmed boolean, ignored boolean")
+    new = spark.createDataFrame([("p", 11, b(0.02)), ("p", 12, b(0.52)), ("p", 13, b(0.8))], f"photo string, id long, box {box}")
+    got = {x.id: (x.grp, x.person_id, x.confirmed, x.ignored) for x in people.put_faces(old, new, ["photo"]).collect()}
+    assert got == {4: (8, 8, True, False), 11: (7, 7, True, False), 12: (999_999, None, False, True), 13: (None, None, False, False)}
+
+
+def test_portraits_show_each_person_once(spark):
+    rows = [("e", 1, 10, 0.9, True), ("e", 2, 10, 0.8, True), ("e", 1, 11, 0.9, False), ("e", 2, 12, 0.5, True), ("e", 3, 10, 1.0, True)]
+    df = spark.createDataFrame(rows, "e string, photo long, person long, score double, alone boolean")
+    assert {(x.person, x.photo) for x in people.portraits(df, ["e"]).collect()} == {(10, 3), (12, 2), (11, 1)}
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from storyline import shared
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
+    try:
+        assert shared.shared_dir(spark) == f"file://{tmp_path}"
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(spark)

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from storyline.plans import album_queries  # noqa: F401  registers its queries with the others
 from storyline.plans import queries as library
 
 DATA = "/root/testdata/sf0.001"
