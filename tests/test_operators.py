@@ -303,11 +303,8 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
 
     from storyline import shared
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert shared.shared_dir(spark) == f"file://{tmp_path}"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: f"file://{tmp_path}/")
+    assert shared.shared_dir(spark) == f"file://{tmp_path}"
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
