@@ -48,7 +48,8 @@ def _seeds(rows: DataFrame, hashes: str, spans: list[int], *keep: str) -> DataFr
     at = rows.select(*keep, hashes, F.explode(starts).alias("pos"))
     room = lambda span: (F.col("pos") + span <= size) & ((size == span) if span <= ALONE else F.lit(True))
     each = F.array(*(F.when(room(span), seed(F.col(hashes), F.col("pos"), m, span)) for span, m in kinds))
-    return at.select(*keep, "pos", F.explode(F.array_compact(each)).alias("hash"))
+    # No function of arrays here: those end generated code, and each window would carry a copy of its document.
+    return at.select(*keep, "pos", F.explode(each).alias("hash")).filter("hash is not null")
 
 
 def _best(equal: Column) -> Column:
