@@ -298,14 +298,16 @@ def test_portraits_show_each_person_once(spark):
     assert {(x.person, x.photo) for x in people.portraits(df, ["e"]).collect()} == {(10, 3), (12, 2), (11, 1)}
 
 
-def test_shared_folder(spark, tmp_path, monkeypatch):
+def test_shared_folder():
+    from types import SimpleNamespace
+
     import pytest
 
     from storyline import shared
 
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: f"file://{tmp_path}/")
-    assert shared.shared_dir(spark) == f"file://{tmp_path}"
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    session = lambda master, conf, set_: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf or d), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: set_))
+    assert shared.shared_dir(session("yarn", "hdfs://x/y/", "hdfs://z")) == "hdfs://x/y"
+    assert shared.shared_dir(session("yarn", None, "hdfs://z/")) == "hdfs://z"
+    assert shared.shared_dir(session("local[2]", None, None)).startswith("file:///")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared.shared_dir(spark)
+        shared.shared_dir(session("yarn", None, None))
