@@ -325,6 +325,34 @@ def test_shards_are_level_whole_and_stable(spark):
     assert shards.assign(docs.limit(0), 8).count() == 0
 
 
+def test_shards_equal_a_plain_walk_of_the_ring(spark):
+    rows = [(i, f"text {i % 5}") for i in range(400)] + [(7, "hot")] * 150 + [(None, "x")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("slot", F.lit("clash")).withColumn("size", F.lit("clash"))
+    keyed = docs.select("doc_id", "text", shards._place(F.col("doc_id")).alias("place")).collect()
+    places = shards.ring(8, 256)
+    arc = lambda x: next((k for k, (p, _) in enumerate(places) if x.place <= p), 0)
+    row = lambda x: (x.doc_id, len(x.text) + 1, zlib.crc32(x.text.encode()))
+    least = lambda i: (i is not None, i or 0)
+    order = sorted(keyed, key=lambda x: (arc(x), x.place, least(x.doc_id), row(x)[2], row(x)[1]))
+    room = [len(rows) // 8 + (s < len(rows) % 8) for s in range(8)]
+    used, want, late = [0] * 8, [], []
+
+    def put(x, s):
+        want.append((*row(x), s, used[s]))
+        used[s] += 1
+
+    for x in order:
+        s = places[arc(x)][1]
+        put(x, s) if used[s] < room[s] else late.append(x)
+    for x in late:
+        k = arc(x)
+        while used[places[(k := (k + 1) % len(places))][1]] >= room[places[k][1]]:
+            pass
+        put(x, places[k][1])
+    got = [(x.doc_id, x.size, x.text_crc32, x.shard, x.slot) for x in shards.assign(docs, 8).collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_quality_on_held_out_rows(spark):
     got = {x.doc_id: x for x in q.op8_quality(spark, DATA).collect()}
     labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
