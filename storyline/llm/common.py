@@ -70,6 +70,14 @@ def worker_table(owner: str, key: object, make: Callable[[], object]) -> object:
     return _tables[owner, key]
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as set it apart from all columns of docs, in whatever case."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

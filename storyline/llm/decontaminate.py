@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyline.llm.common import unused
+
 #: Marked places of each mask: 8 of 12 words.
 MASKS = ("111101001101", "110010111011", "101110110101")
 SPAN, MISS, ALONE = 12, 3, 2
@@ -114,6 +116,7 @@ def find(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """The rows of docs without those in whose text an item was found, whatever their ids."""
-    hit = _stretches(docs, benchmark, **limits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & same, "left_anti")
+    i, h = unused(docs, "_id"), unused(docs, "_hash")
+    hit = _stretches(docs, benchmark, **limits).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    same = F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h)
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(i)) & same, "left_anti")

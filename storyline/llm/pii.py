@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import spans as S
-from storyline.llm.common import materialize, texts
+from storyline.llm.common import materialize, texts, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -159,10 +159,11 @@ def find(docs: DataFrame, least_texts: int = 3, generalise: float = 0.6, remove:
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with base values and telling terms replaced in text; all other columns and all rows stay. A null text stays null."""
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    got = find(docs, **limits).filter(F.size("spans") > 0).select(F.col("text_hash").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_h"])
-    both = keyed.join(got, keyed["_hash"] == got["_h"], "left")
+    own, h, found = (unused(docs, name) for name in ("_hash", "_h", "_spans"))
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    got = find(docs, **limits).filter(F.size("spans") > 0).select(F.col("text_hash").alias(h), F.col("spans").alias(found)).dropDuplicates([h])
+    both = keyed.join(got, F.col(own) == F.col(h), "left")
     labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
     label = lambda s: F.element_at(labels, F.when(s["kind"] == TERM, s["value"]).otherwise(s["kind"]))
-    clean = F.when(F.col("_spans").isNotNull(), S.replaced(F.col("text"), F.col("_spans"), label)).otherwise(F.col("text"))
+    clean = F.when(F.col(found).isNotNull(), S.replaced(F.col("text"), F.col(found), label)).otherwise(F.col("text"))
     return both.withColumn("text", clean).select(*docs.columns)

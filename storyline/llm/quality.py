@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyline.llm.common import in_arrow, in_slices, materialize
+from storyline.llm.common import in_arrow, in_slices, materialize, unused
 
 MOST_ROWS, FOURIER, RIDGE, SEED = 200_000, 384, 1e-3, 20240607
 SIGNS = b"!#$%&*|.,;:?-\"'()<>{}[]=/\\_@+"
@@ -187,4 +187,5 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least ``least``."""
-    return score(docs, fit(docs, labels), "_score").filter(F.col("_score") >= least).drop("_score")
+    own = unused(docs, "_score")
+    return score(docs, fit(docs, labels), own).filter(F.col(own) >= least).drop(own)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyline.llm import lm
-from storyline.llm.common import in_arrow, in_slices, materialize, worker_table
+from storyline.llm.common import in_arrow, in_slices, materialize, unused, worker_table
 from storyline.operators.graph import components
 
 #: Shingles that a task holds before it sends them on, the fingerprints that meet in a section, and the filter's bits (128 MB).
@@ -311,7 +311,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = found.filter("root is not null").groupBy("root").agg(F.min(row).alias("f")).select("f.doc_id", "f.text_hash")
     first = first.unionByName(found.filter("root is null").select("doc_id", "text_hash").distinct())
-    first = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_hash"] == first["_th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash").select(*docs.columns)
+    own, i, h = (unused(docs, name) for name in ("_hash", "_id", "_th"))
+    first = first.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns)
