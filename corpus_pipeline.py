@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
 the next. All but the last give the columns of documents. Documents under the quality threshold go, one document of
 each class of near-duplicates stays (five-word shingles, similarity 0.8), documents that hold benchmark passages go,
 personal data in texts are replaced, and what is left is encoded; the text of the last stage is what its ids spell.
+
+Columns of any other name pass through all stages; only the last one replaces `ids` and `n_tokens`. Null texts count as
+empty: they are scored like empty ones, stay null up to the last stage, and come out of it as empty texts without ids.
+Rows with a null id are told apart by their texts, and one text under several ids is one document to the join, which
+keeps the smallest id (a null id last) and a repeated row once. Empty texts are near-duplicates of nothing but rows of the
+same id. Texts are taken whole, however long. Empty documents give no rows. Without labels every document scores 0.5 and
+stays; without a benchmark every document stays.
 """
 
 from __future__ import annotations
