@@ -60,30 +60,38 @@ class Tree:
         return (gap * gap).sum(1)
 
 
+def _dots(columns: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Products of the columns with q, summed from the first component to the last as SQL does it: the same to the bit."""
+    each = np.ascontiguousarray(columns) * q.reshape(len(q), -1)
+    # A lone column would be summed in pairs.
+    return np.add.reduce(each, axis=0) if each.shape[1] > 1 else np.add.accumulate(each, axis=0)[-1]
+
+
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, limit: float) -> tuple[list[int], list[int], list[float]]:
     """The k nearest found of one block for each query: query ids, ids and cosines."""
-    norm = np.sqrt((vectors * vectors).sum(1))
+    across = np.ascontiguousarray(vectors.T)
+    norm = np.sqrt(_dots(across, across))
     unit = vectors / norm[:, None]
     basis = np.random.default_rng(SEED).standard_normal((vectors.shape[1], DIRECTIONS))
     tree = Tree(unit @ basis)
-    ids, vectors, norm = ids[tree.order], vectors[tree.order], norm[tree.order]
+    ids, across, norm = ids[tree.order], across.take(tree.order, 1), norm[tree.order]
     out: tuple[list[int], list[int], list[float]] = ([], [], [])
     for qid, q in zip(query_ids, queries, strict=True):
-        length = math.sqrt(float((q * q).sum()))
+        length = math.sqrt(float(_dots(q[:, None], q)[0]))
         far = tree.distances((q / length) @ basis)
         leaves = np.argsort(far, kind="stable")
-        best_s, best_i = np.empty(0), np.empty(0, np.int64)
+        best_s, best_r = np.empty(0), np.empty(0, np.int64)
         for at in range(0, len(leaves), LEAVES_AT_ONCE):
             if len(best_s) == k and far[leaves[at]] > limit * max(2 - 2 * best_s[-1], 1e-12):
                 break
             rows = np.concatenate([np.arange(a, b) for a, b in tree.ends[leaves[at : at + LEAVES_AT_ONCE]]])
             rows = rows[ids[rows] != qid]
-            s = np.concatenate([best_s, (vectors[rows] * q).sum(1) / (norm[rows] * length)])
-            i = np.concatenate([best_i, ids[rows]])
-            top = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[top], i[top]
-        out[0].extend([qid] * len(best_i))
-        out[1].extend(best_i.tolist())
+            s = np.concatenate([best_s, _dots(across.take(rows, 1), q) / (norm[rows] * length)])
+            r = np.concatenate([best_r, rows])
+            top = np.lexsort((ids[r], -s))[:k]
+            best_s, best_r = s[top], r[top]
+        out[0].extend([qid] * len(best_r))
+        out[1].extend(ids[best_r].tolist())
         out[2].extend(best_s.tolist())
     return out
 
