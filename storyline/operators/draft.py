@@ -93,17 +93,21 @@ def _pick(held: pd.DataFrame) -> pd.DataFrame:
     """K6, K7, K8: the greedy pick of one library's year, event after event."""
     held = held.sort_values(["t", "content_hash"], kind="stable").reset_index(drop=True)
     plain = lambda c: [None if x is None or x != x else x for x in held[c].tolist()]
-    t, q, phash, burst, mood, decision, noise = (plain(c) for c in ("t", "quality", "phash", "burst", "mood", "decision", "noise"))
+    t, q, phash, burst, mood, decision, noise, grp = (plain(c) for c in ("t", "quality", "phash", "burst", "mood", "decision", "noise", "grp"))
+    quotas, mood_max = plain("quota"), plain("mood_max")
     child = [() if x is None else tuple(x) for x in held["children"]]
     imp, limit = float(held["quality_importance"].iloc[0]), float(held["similar_hamming"].iloc[0])
     included, jumped, first = [False] * len(held), [False] * len(held), [False] * len(held)
     apart = lambda a, b: ((int(phash[a]) ^ int(phash[b])) & (2**64 - 1)).bit_count() if phash[a] is not None and phash[b] is not None else 65
     album_moods: list[int] = []
-    for _, rows in held.groupby("grp", sort=True):
-        members = list(rows.index)
+    members_of: dict[int, list[int]] = {}
+    for i, g in enumerate(grp):
+        members_of.setdefault(g, []).append(i)
+    for g in sorted(members_of):
+        members = members_of[g]
         chosen = [i for i in members if decision[i] is not None and decision[i] != "ikke_med"]
         open_ = [i for i in members if decision[i] is None and noise[i] is None]
-        want, most = int(rows["quota"].iloc[0]), int(rows["mood_max"].iloc[0])
+        want, most = int(quotas[members[0]]), int(mood_max[members[0]])
         if not chosen and not open_:
             want, open_ = 1, [i for i in members if decision[i] is None and noise[i] != "screenshot"]
         step = max(max(t[members[-1]] - t[members[0]], 1) / (want + 1), 60.0)

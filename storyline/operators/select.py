@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.scalar import target_pages
@@ -53,29 +49,20 @@ def page_scale(events: DataFrame, by: list[str], wanted: int) -> DataFrame:
 def baseline(rows: DataFrame, by: list[str], t: str, month: str, score: str, key: str, best: str, k: int) -> DataFrame:
     """K5: k rows of each timeline. Each month takes its quota of the best rows that lie half an hour apart, then fills up;
     the whole is filled or cut to exactly k. best: whether the row is the best of its burst. The spacing in a month looks at what
-    was taken before, so it is a fold; months are small and independent."""
-    sizes = rows.groupBy(*by, month).agg(F.count("*").alias("n"))
-    held = rows.join(month_quotas(sizes, by, k).select(*by, month, "quota"), [*by, month])
-    cols = [*by, month, t, score, key, best, "quota"]
-
-    def spaced(held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values([score, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        want, at = int(held["quota"].iloc[0]), held[t].tolist()
-        ranked, taken, times = np.flatnonzero(held[best].to_numpy(bool)).tolist(), [], []
-        for i in ranked:
-            # The taken times are sorted: only the two around the new one can be too near.
-            k = bisect.bisect(times, at[i])
-            if len(taken) < want and all(abs(x - at[i]) > SPACING for x in times[max(k - 1, 0) : k + 1]):
-                taken.append(i)
-                times.insert(k, at[i])
-        left = set(taken)
-        taken += [i for i in ranked if i not in left][: max(want - len(taken), 0)]
-        marked = np.zeros(len(held), bool)
-        marked[taken] = True
-        return held.assign(taken=marked)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.select(*cols).schema)
-    marked = held.select(*cols).groupBy(*by, month).applyInPandas(spaced, f"{schema}, taken boolean")
+    was taken before: a fold over the sorted rows of a month, which holds no more than its quota of taken rows."""
+    one = F.struct(F.col(score).isNull().alias("unscored"), (-F.col(score)).alias("down"), F.col(key).alias("key"), F.col(t).alias("t"), F.col(score).alias("score"), F.coalesce(F.col(best), F.lit(False)).alias("best"))
+    held = rows.groupBy(*by, month).agg(F.sort_array(F.collect_list(one)).alias("sorted")).withColumn("n", F.size("sorted").cast("long"))
+    held = month_quotas(held, by, k).withColumn("all", F.transform("sorted", lambda x, i: x.withField("i", i))).withColumn("ranked", F.filter("all", lambda x: x["best"]))
+
+    def step(taken: Column, x: Column) -> Column:
+        near = F.coalesce(F.exists(taken, lambda y: F.abs(y["t"] - x["t"]) <= SPACING), F.lit(False))
+        return F.when((F.size(taken) < F.col("quota")) & ~near, F.concat(taken, F.array(x))).otherwise(taken)
+
+    spaced = held.withColumn("spaced", F.aggregate("ranked", F.slice("ranked", 1, 0), step)["i"])
+    rest = F.filter("ranked", lambda x: ~F.array_contains("spaced", x["i"]))["i"]
+    filled = spaced.withColumn("taken", F.concat("spaced", F.slice(rest, F.lit(1), F.greatest(F.col("quota").cast("int") - F.size("spaced"), F.lit(0)))))
+    out = F.transform("all", lambda x: F.struct(x["t"].alias(t), x["score"].alias(score), x["key"].alias(key), x["best"].alias(best), F.array_contains("taken", x["i"]).alias("taken")))
+    marked = filled.select(*by, month, F.inline(out))
     # Taken rows first, the best first among both; for those not taken the best of a burst comes before the others.
     order = [F.desc("taken"), F.desc(F.col("taken") | F.col(best)), F.desc(score), key]
-    return marked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k).drop("quota", "place")
+    return marked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k).drop("place")

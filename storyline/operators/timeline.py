@@ -38,6 +38,12 @@ def best_of_burst(rows: DataFrame, by: list[str], score: str, key: str) -> DataF
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def mark_best(rows: DataFrame, by: list[str], score: str, key: str, out: str = "best") -> DataFrame:
+    """Whether a row is the one that best_of_burst() keeps."""
+    order = Window.partitionBy(*by, "burst").orderBy(F.desc(score), key)
+    return rows.withColumn(out, F.row_number().over(order) == 1)
+
+
 def event_stats(rows: DataFrame, by: list[str], t: str, included: Column | None = None) -> DataFrame:
     """Size, included rows, first and last second, days covered and calendar days between, of each event."""
     day = lambda c: F.to_date(civil(c))
@@ -67,22 +73,30 @@ def relative_rank(rows: DataFrame, by: list[str], value: str, out: str = "rank")
     return rows.withColumn(out, F.when(F.col(value).isNotNull(), rank))
 
 
+def _places(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The distinct values that are there, the first place of each and the one after its last in sorted order, and the number of
+    rows. Equal values are counted before the shuffle, so what is sorted are distinct values, not rows."""
+    part = Window.partitionBy(*by)
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_to", F.sum("_c").over(part.orderBy(value))).withColumn("_n", F.sum("_c").over(part))
+    return counts.withColumn("_from", F.col("_to") - F.col("_c"))
+
+
+def _holds(place: Column) -> Column:
+    return (F.col("_from") <= place) & (place < F.col("_to"))
+
+
 def quantile_cuts(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """For each share the value at place round((n - 1) * share) of the sorted values."""
-    held = rows.filter(F.col(value).isNotNull())
-    place = held.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    at = lambda s: F.max(F.when(F.col("_i") == F.round((F.col("_n") - 1) * s), F.col(value)))
-    return place.groupBy(*by).agg(*(at(s).alias(name) for name, s in shares.items()))
+    at = lambda s: F.max(F.when(_holds(F.round((F.col("_n") - 1) * s)), F.col(value)))
+    return _places(rows, by, value).groupBy(*by).agg(*(at(s).alias(name) for name, s in shares.items()))
 
 
 def upper_median(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """For each column on its own, the value at place n // 2 of the sorted values that are there."""
     out = None
     for v in values:
-        part = Window.partitionBy(*by)
-        held = rows.filter(F.col(v).isNotNull()).select(*by, v)
-        held = held.withColumn("_i", F.row_number().over(part.orderBy(v)) - 1).withColumn("_n", F.count("*").over(part))
-        one = held.filter(F.col("_i") == F.floor(F.col("_n") / 2)).select(*by, v)
+        one = _places(rows, by, v).filter(_holds(F.floor(F.col("_n") / 2))).select(*by, v)
         out = one if out is None else out.join(one, by, "full")
     return out
 

@@ -194,11 +194,24 @@ def cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "people", F.col("place").cast("long").alias("place"), "event_id")
 
 
-@query()
+# The spacing of the taken rows of a month: row after row of its best of bursts, the list of taken ones carried on.
+@query(f"""WITH RECURSIVE {BURSTS},
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, burst ORDER BY value DESC, event_id) = 1 AS best, strftime(make_timestamp(t * 1000000), '%Y-%m') AS month FROM s),
+m AS (SELECT user_id, month, count(*) AS n FROM b GROUP BY ALL),
+q AS (SELECT user_id, month, least(greatest(round(20 * sqrt(n) / sum(sqrt(n)) OVER (PARTITION BY user_id)), least(3, n)), n)::BIGINT AS quota FROM m),
+k AS (SELECT b.*, quota, row_number() OVER (PARTITION BY user_id, month ORDER BY value DESC, event_id) AS i FROM b JOIN q USING (user_id, month) WHERE best),
+r(user_id, month, i, ts, ids) AS (SELECT user_id, month, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM q
+  UNION ALL SELECT user_id, month, i, CASE WHEN goes THEN list_append(ts, t) ELSE ts END, CASE WHEN goes THEN list_append(ids, event_id) ELSE ids END
+  FROM (SELECT k.user_id, k.month, k.i, k.t, k.event_id, r.ts, r.ids, len(r.ts) < k.quota AND len(list_filter(r.ts, lambda x : abs(x - k.t) <= 1800)) = 0 AS goes
+    FROM r JOIN k ON r.user_id = k.user_id AND r.month = k.month AND r.i + 1 = k.i)),
+z AS (SELECT user_id, month, ids FROM r QUALIFY row_number() OVER (PARTITION BY user_id, month ORDER BY i DESC) = 1),
+w AS (SELECT k.user_id, k.event_id, row_number() OVER (PARTITION BY k.user_id, k.month ORDER BY k.i) <= k.quota - len(z.ids) AS taken FROM k JOIN z USING (user_id, month) WHERE NOT list_contains(z.ids, k.event_id)),
+a AS (SELECT event_id FROM w WHERE taken UNION ALL SELECT unnest(ids) FROM z)
+SELECT user_id, month, t, event_id FROM b LEFT JOIN (SELECT event_id, true AS taken FROM a) USING (event_id)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY coalesce(taken, false) DESC, coalesce(taken, best) DESC, value DESC, event_id) <= 20""")
 def baseline_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = timeline.assign_bursts(src.timeline(spark, sf_dir), ["user_id"], "t", "event_id")
-    best = timeline.best_of_burst(rows, ["user_id"], "value", "event_id").select("event_id", F.lit(True).alias("best"))
-    rows = rows.join(best, "event_id", "left").withColumn("best", F.coalesce("best", F.lit(False))).withColumn("month", F.date_format(f.civil("t"), "yyyy-MM"))
+    rows = timeline.mark_best(timeline.assign_bursts(src.timeline(spark, sf_dir), ["user_id"], "t", "event_id"), ["user_id"], "value", "event_id")
+    rows = rows.withColumn("month", F.date_format(f.civil("t"), "yyyy-MM"))
     return select.baseline(rows, ["user_id"], "t", "month", "value", "event_id", "best", 20).select("user_id", "month", "t", "event_id")
 
 
@@ -553,7 +566,19 @@ def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.spreads(src.timeline(spark, sf_dir), ["user_id"], ["t", "event_id"], "event_id")
 
 
-@query()
+@query(f"""{PAGES}, a AS (SELECT user_id, event, event_id, value / 100 AS quality, "natural"::INT AS pages, q.n, row_number() OVER (PARTITION BY user_id, event ORDER BY t, event_id) - 1 AS i FROM s JOIN q USING (user_id, event)),
+b AS (SELECT *, least(greatest(pages, 1), n) AS p, row_number() OVER (PARTITION BY user_id, event ORDER BY quality DESC, i) AS best FROM a),
+c AS (SELECT *, best <= CASE WHEN p = 1 THEN 0 WHEN p = n THEN n ELSE least(greatest(round(p * 0.4), 2 * p - n, 1), p - 1) END AS alone FROM b),
+d AS (SELECT *, count(*) FILTER (alone) OVER (PARTITION BY user_id, event) AS singles, row_number() OVER (PARTITION BY user_id, event, alone ORDER BY i) AS nth FROM c),
+g1 AS (SELECT *, CASE WHEN NOT alone THEN (nth * greatest(p - singles, 1) - 1) // (n - singles) END AS grid FROM d),
+h AS (SELECT *, CASE WHEN alone THEN i ELSE min(i) OVER (PARTITION BY user_id, event, alone, grid) END AS first_i FROM g1),
+k AS (SELECT *, count(*) OVER (PARTITION BY user_id, event, first_i) AS size FROM h),
+l AS (SELECT *, min(first_i) FILTER (size = 1) OVER (PARTITION BY user_id, event) AS opening FROM k),
+m AS (SELECT *, dense_rank() OVER (PARTITION BY user_id, event ORDER BY CASE WHEN p >= 3 AND first_i = opening THEN -1 ELSE first_i END) - 1 AS page, size = 1 AND quality >= 0.45 AS good FROM l),
+o AS (SELECT *, count(*) FILTER (good) OVER (PARTITION BY user_id, event ORDER BY page, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fine FROM m)
+SELECT user_id, event, event_id, page, row_number() OVER (PARTITION BY user_id, event, page ORDER BY i) - 1 AS place,
+CASE WHEN size > 1 THEN 'grid' WHEN p > 1 AND good AND fine % 2 = 0 THEN 'full_bleed' ELSE 'air' END AS kind,
+CASE WHEN size > 1 THEN CASE WHEN size = 2 OR size = 4 THEN 2 WHEN size <= 9 THEN 3 ELSE 4 END END::INT AS "columns" FROM o""")
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     pages = _pages(spark, sf_dir).select("user_id", "event", F.col("natural").cast("int").alias("pages"))
@@ -561,14 +586,38 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paginate(held, ["user_id", "event"], "t", "event_id")
 
 
-@query()
+def _km_sql(p: tuple[str, str], q: tuple[str, str]) -> str:
+    (a1, o1), (a2, o2) = p, q
+    return f"12742.0 * asin(sqrt(pow(sin((radians({a2}) - radians({a1})) / 2), 2) + cos(radians({a1})) * cos(radians({a2})) * pow(sin((radians({o2}) - radians({o1})) / 2), 2)))"
+
+
+_HERE, _THERE, _HOME = ("lat", "lon"), ("there_lat", "there_lon"), ("home_lat", "home_lon")
+
+
+@query(f"""WITH RECURSIVE {GAPPED}, l AS (SELECT user_id, event, t, 50 + (event % 7) / 1.5::DOUBLE AS lat, 5 + (event % 3) / 2.0::DOUBLE AS lon FROM s),
+n AS (SELECT user_id, floor(lat * 10)::BIGINT AS c1, floor(lon * 10)::BIGINT AS c2, count(*) AS n FROM l GROUP BY ALL),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, c1, c2) = 1),
+k AS (SELECT user_id, event, first_t, last_t, lats, lons, lats[len(lats) // 2 + 1] AS lat, lons[len(lons) // 2 + 1] AS lon, (c1 + 0.5::DOUBLE) / 10 AS home_lat, (c2 + 0.5::DOUBLE) / 10 AS home_lon, row_number() OVER (PARTITION BY user_id ORDER BY event) AS i
+  FROM (SELECT user_id, event, min(t) AS first_t, max(t) AS last_t, list(lat ORDER BY lat) AS lats, list(lon ORDER BY lon) AS lons FROM l GROUP BY ALL) JOIN b USING (user_id)),
+r(user_id, event, i, trip, last_t, lats, lons) AS (SELECT user_id, event, i, event, last_t, lats, lons FROM k WHERE i = 1
+  UNION ALL SELECT user_id, event, i, CASE WHEN goes THEN trip ELSE event END, last_t, CASE WHEN goes THEN list_sort(list_concat(old_lats, lats)) ELSE lats END, CASE WHEN goes THEN list_sort(list_concat(old_lons, lons)) ELSE lons END
+  FROM (SELECT *, first_t - old_t <= 129600 AND {_km_sql(_THERE, _HERE)} <= 30 AND {_km_sql(_THERE, _HOME)} > 30 AND {_km_sql(_HERE, _HOME)} > 30 AS goes
+    FROM (SELECT k.*, r.trip, r.last_t AS old_t, r.lats AS old_lats, r.lons AS old_lons, r.lats[len(r.lats) // 2 + 1] AS there_lat, r.lons[len(r.lons) // 2 + 1] AS there_lon FROM r JOIN k ON r.user_id = k.user_id AND r.i + 1 = k.i)))
+SELECT user_id, event, trip FROM r""")
 def trip_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).withColumn("lat", 50 + F.col("event") % 7 / 1.5).withColumn("lon", 5 + F.col("event") % 3 / 2.0)
     events = rows.groupBy("user_id", "event").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sort_array(F.collect_list("lat")).alias("lats"), F.sort_array(F.collect_list("lon")).alias("lons"))
     return timeline.trip_merge(events, ["user_id"], timeline.home_cell(rows, ["user_id"], "lat", "lon"))
 
 
-@query()
+@query(f"""{PAGES.replace("WITH", "WITH RECURSIVE", 1)}, d AS (SELECT user_id, event, make_timestamp(min(t) * 1000000)::DATE AS first_day, make_timestamp(max(t) * 1000000)::DATE AS last_day FROM s GROUP BY user_id, event),
+k AS (SELECT d.*, NOT everyday AND "natural" BETWEEN 1 AND 3 AS fits, row_number() OVER (PARTITION BY user_id ORDER BY event) AS i FROM d JOIN q USING (user_id, event)),
+r(user_id, i, run, since, until, done) AS (SELECT user_id, i, CASE WHEN fits THEN [event] ELSE []::BIGINT[] END, first_day, last_day, []::BIGINT[] FROM k WHERE i = 1
+  UNION ALL SELECT user_id, i, CASE WHEN goes THEN list_append(run, event) WHEN fits THEN [event] ELSE []::BIGINT[] END, CASE WHEN goes THEN since ELSE first_day END, last_day, CASE WHEN NOT goes AND len(run) >= 2 THEN run ELSE []::BIGINT[] END
+  FROM (SELECT k.*, r.run, r.since, fits AND len(r.run) BETWEEN 1 AND 3 AND k.first_day - r.until <= 2 AND k.last_day - r.since <= 3 AS goes FROM r JOIN k ON r.user_id = k.user_id AND r.i + 1 = k.i)),
+o AS (SELECT user_id, i, done AS events FROM r WHERE len(done) > 0
+  UNION ALL SELECT user_id, i + 1, run FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1) WHERE len(run) >= 2)
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY i) - 1)::INT AS suggestion, array_to_string(events, ',') AS events FROM o""")
 def merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = timeline.event_stats(_events(spark, sf_dir), ["user_id"], "t").join(_pages(spark, sf_dir).select("user_id", "event", "everyday", "natural"), ["user_id", "event"])
     held = days.select("user_id", "event", "everyday", F.col("natural").cast("int").alias("pages"), F.to_date(f.civil("first_t")).alias("first_day"), F.to_date(f.civil("last_t")).alias("last_day"))
