@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.scalar import dot, normalised
+from storyline.shared import materialize
 
 THRESHOLD, FIRST_NEW, IOU_SAME, IOU_DROP = 0.363, 1_000_000, 0.4, 0.3
+CENTRES_AT_ONCE = 4096
 
 
 def centroids(rows: DataFrame, by: list[str], embedding: str) -> DataFrame:
@@ -19,13 +23,21 @@ def centroids(rows: DataFrame, by: list[str], embedding: str) -> DataFrame:
     return whole.select(*by, normalised("v").alias("centroid"))
 
 
-def nearest_centroid(rows: DataFrame, key: str, embedding: str, centres: DataFrame, label: str) -> DataFrame:
+def nearest_centroid(rows: DataFrame, key: str, embedding: str, centres: DataFrame, label: str, at_once: int = CENTRES_AT_ONCE) -> DataFrame:
     """the centroid of largest cosine for each row, the smallest label among equals. Centres are few (one for each
-    person of a library), so they go along as one array."""
-    held = centres.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))).alias("all"))
+    person of a library): they are counted and go along as arrays of about at_once; every sixteen arrays the best so far are
+    written down, so that the memory they take has a bound, however many there are."""
+    slices = max(1, math.ceil(centres.count() / at_once))
+    numbered = centres.withColumn("_slice", F.pmod(F.xxhash64(label), F.lit(slices)))
     near = lambda c: F.struct((-F.round(dot(F.col("u"), c["c"]), 9)).alias("far"), c["label"].alias("label"))
-    both = rows.select(key, normalised(embedding).alias("u")).join(F.broadcast(held), F.lit(True))
-    return both.select(key, F.array_min(F.transform("all", near)).alias("b")).select(key, F.col("b.label").alias("label"), (-F.col("b.far")).alias("cosine"))
+    both = rows.select(key, normalised(embedding).alias("u"))
+    for k in range(slices):
+        held = numbered.filter(F.col("_slice") == k).agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))).alias("all"))
+        here = F.array_min(F.transform("all", near))
+        both = both.join(F.broadcast(held), F.lit(True)).withColumn("b", here if k == 0 else F.least("b", here)).drop("all")
+        if k % 16 == 15:
+            both = materialize(both, "nearest")
+    return both.select(key, F.col("b.label").alias("label"), (-F.col("b.far")).alias("cosine"))
 
 
 def group_faces(faces: DataFrame, by: list[str], threshold: float = THRESHOLD, first_new: int = FIRST_NEW) -> DataFrame:

@@ -34,6 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, few: int = 32) -> DataFrame:
+    """Rows of a small table dealt to all cores: a file of one row group is one task, however much work its rows are. A table of
+    as many splits as cores, or of ``few`` splits (some GB), stays as it is and is not shuffled."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, few)) if splits < min(cores, few) else df
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small bounded table from the driver as a JVM-side literal."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

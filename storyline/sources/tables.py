@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyline.functions.scalar import local_seconds, micros
+from storyline.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and simhash of the documents that have words."""
     from storyline.operators.dedup import simhash
 
-    return simhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return simhash(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from storyline.functions import scalar as f
-from storyline.operators import dedup, draft, evaluate, graph, layout, learn, people, select, timeline
+from storyline.operators import dedup, draft, evaluate, graph, groups, layout, learn, people, select, timeline
 from storyline.sources import files
 
 PHOTO = "library_id string, id long, width int, height int, date_source string, camera_make string, gps_lat double, phash long, exif_t long"
@@ -107,6 +107,81 @@ def test_faces_of_one_photo_are_different_persons(spark):
     assert got[1] != got[2] and got[3] in (got[1], got[2]) and got[4] == got[5] == 7
 
 
+def test_face_grouping_equals_a_plain_scan(spark):
+    r = random.Random(11)
+    heads = [[r.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = []
+    for i in range(70):
+        v = [x + r.gauss(0, 0.5) for x in heads[i % 5]]
+        n = sum(x * x for x in v) ** 0.5
+        rows.append((i, r.randint(0, 30), r.random(), 500 + i % 5 if i in (3, 16, 33) else None, [x / n for x in v]))
+    df = spark.createDataFrame([("L", *x) for x in rows], "l string, id long, photo long, quality double, fixed long, embedding array<double>")
+    got = {x.id: x.grp for x in people.group_faces(df, ["l"], 0.8).collect()}
+    want: dict[int, list] = {}  # faces by group, in order of founding
+
+    def centre(members):
+        v = [sum(m[4][d] for m in members) for d in range(6)]
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n for x in v]
+
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    photos = lambda g: {m[1] for m in want[g]}
+    first = sorted((x for x in rows if x[3] is not None), key=lambda x: (-x[2], x[0]))
+    for x in first:
+        want.setdefault(x[3], []).append(x)
+    firm, fresh = set(want), people.FIRST_NEW
+    for x in sorted((x for x in rows if x[3] is None), key=lambda x: (-x[2], x[0])):
+        near = [(cosine(centre(want[g]), x[4]), g) for g in want if x[1] not in photos(g)]
+        best = max((s for s, _ in near), default=-2)
+        if best >= 0.8:
+            want[next(g for s, g in near if s == best)].append(x)
+        else:
+            want[fresh] = [x]
+            fresh += 1
+    while True:
+        names = list(want)
+        close = [(-cosine(centre(want[a]), centre(want[b])), i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and not {a, b} <= firm and not photos(a) & photos(b)]
+        used = set()
+        for far, i, j in sorted(c for c in close if -c[0] >= 0.8):
+            if not used & {i, j}:
+                used |= {i, j}
+                keep, drop = (names[j], names[i]) if names[j] in firm else (names[i], names[j])
+                want[keep] += want.pop(drop)
+        if not used:
+            break
+    assert got == {m[0]: g for g, members in want.items() for m in members}
+    assert len(want) < 30
+
+
+def test_centroids_in_many_slices(spark):
+    r = random.Random(5)
+    vector = lambda: [r.gauss(0, 1) for _ in range(4)]
+    centres = spark.createDataFrame([(i, vector()) for i in range(40)], "label long, v array<double>").select("label", f.normalised("v").alias("centroid"))
+    rows = spark.createDataFrame([(i // 2, vector()) for i in range(60)], "id long, v array<double>")
+    found = lambda n: sorted(tuple(x) for x in people.nearest_centroid(rows, "id", "v", centres, "label", n).collect())
+    assert len(found(2)) == 60 and found(2) == found(4096)
+    assert [x.label for x in people.nearest_centroid(rows.limit(1), "id", "v", centres.filter("false"), "label").collect()] == [None]
+
+
+def test_coverage_repair_equals_a_plain_scan(spark):
+    r = random.Random(8)
+    rows = [("L", i, r.randint(0, 40), i % 9, r.randint(0, 4) / 4, r.random() < 0.8, r.random() < 0.1, [(p, r.randint(0, 3) / 3) for p in range(4) if r.random() < 0.25]) for i in range(90)]
+    kind = "l string, id long, t long, grp long, quality double, usable boolean, included boolean, persons array<struct<person:long,score:double>>"
+    wants = [("L", p, 3 + p) for p in range(5)]
+    got = {x.id for x in groups.coverage_repair(spark.createDataFrame(rows, kind), spark.createDataFrame(wants, "l string, person long, want int"), ["l"], "id").collect()}
+    inside, added = {x[1] for x in rows if x[6]}, set()
+    for _, person, want in wants:
+        shows = [(x, dict(x[7])[person]) for x in rows if person in dict(x[7])]
+        while sum(x[1] in inside for x, _ in shows) < want:
+            seen = {x[3] for x, _ in shows if x[1] in inside}
+            free = sorted((x[3] in seen, -score, -x[4], x[2], x[1]) for x, score in shows if x[5] and x[1] not in inside)
+            if not free:
+                break
+            inside.add(free[0][-1])
+            added.add(free[0][-1])
+    assert got == added and len(added) > 3
+
+
 def test_boxes(spark):
     box = "struct<x:double,y:double,w:double,h:double>"
     rows = [("p", 1, 0.9, (0.0, 0.0, 1.0, 1.0)), ("p", 2, 0.8, (0.1, 0.1, 1.0, 1.0)), ("p", 3, 0.7, (5.0, 5.0, 1.0, 1.0))]
