@@ -61,13 +61,12 @@ def group(items: DataFrame) -> DataFrame:
     """Event group, burst, nature flag, mood and exceptional photos; dull things become noise."""
     out = timeline.everyday_groups(timeline.assign_events(items, BY, "t", "content_hash"), BY, "t", "content_hash")
     out = timeline.assign_bursts(out, BY, "t", "content_hash")
-    out = out.join(timeline.nature_flag(out, [*BY, "grp"], "people"), [*BY, "grp"])
-    measured = out.filter("measured").select(*BY, "aesthetic", "mood_percentile")
-    order = Window.partitionBy(*BY).orderBy("aesthetic")
-    placed = measured.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*BY)))
-    at = lambda share: F.max(F.when(F.col("i") == F.round((F.col("n") - 1) * share), F.col("aesthetic")))
-    cuts = placed.groupBy(*BY).agg(at(F.col("mood_percentile")).alias("mood_cut"), at(F.lit(0.5)).alias("middle"), at(F.lit(0.97)).alias("top"))
-    out = out.join(cuts, BY, "left")
+    # Windows of a library's rows, which are together already: no step reads them anew to join counts to them.
+    library, members = Window.partitionBy(*BY), Window.partitionBy(*BY, "grp")
+    out = out.withColumn("nature", F.count_if("people").over(members) < F.count("people").over(members) * timeline.NATURE_SHARE)
+    out = out.withColumn("_i", F.row_number().over(Window.partitionBy(*BY, "measured").orderBy("aesthetic")) - 1).withColumn("_n", F.count_if("measured").over(library))
+    at = lambda share: F.max(F.when(F.col("measured") & (F.col("_i") == F.round((F.col("_n") - 1) * share)), F.col("aesthetic"))).over(library)
+    out = out.withColumns({"mood_cut": at(F.col("mood_percentile")), "middle": at(F.lit(0.5)), "top": at(F.lit(0.97))}).drop("_i", "_n")
     thing = F.coalesce((F.col("people") == False) & F.col("noise").isNull() & F.col("top").isNotNull(), F.lit(False))  # noqa: E712
     fine = F.col("aesthetic") >= F.when(F.col("nature"), F.col("middle")).otherwise(F.col("mood_cut"))
     out = out.withColumn("mood", thing & fine).withColumn("exceptional", thing & fine & (F.col("aesthetic") >= F.col("top")))

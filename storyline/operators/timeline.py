@@ -11,6 +11,7 @@ from storyline.functions.scalar import civil, haversine_km
 
 EVENT_GAP, BURST_GAP, EVENT_LEAST = 3 * 3600, 20, 3
 TRIP_GAP, TRIP_KM = 36 * 3600, 30.0
+NATURE_SHARE = 0.25
 
 
 def gap_groups(rows: DataFrame, by: list[str], t: str, key: str, gap: int, out: str) -> DataFrame:
@@ -109,7 +110,7 @@ def home_cell(rows: DataFrame, by: list[str], lat: str, lon: str) -> DataFrame:
     return best.select(*by, ((F.col("b.c1") + 0.5) / 10).alias("home_lat"), ((F.col("b.c2") + 0.5) / 10).alias("home_lon"))
 
 
-def nature_flag(rows: DataFrame, by: list[str], people: str, share: float = 0.25) -> DataFrame:
+def nature_flag(rows: DataFrame, by: list[str], people: str, share: float = NATURE_SHARE) -> DataFrame:
     """A10: fewer than a quarter of the rows that tell have people; false where none tells."""
     return rows.groupBy(*by).agg((F.count_if(F.col(people)) < F.count(people) * share).alias("nature"))
 
