@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.llm import bpe, decontaminate, html, lm, neighbours, pii, quality, secrets, shards, similar
+from storyline.llm import align, audit, bpe, decontaminate, html, licences, lm, neighbours, pii, quality, secrets, shards, similar
 from storyline.llm import spans as S
 from storyline.llm.common import table, texts
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
@@ -84,6 +84,31 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = licences.scan(table(spark, sf_dir, "documents"))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return told.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        labels(F.col("base.label")).alias("base_labels"),
+        labels(F.concat("base.label", "spans.label")).alias("labels"),
+        # A phrase is a template that is covered whole.
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0))).alias("score"),
+    )
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = align.score(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECE_BPE))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -95,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_neighbours": op10_neighbours,
+    "op11_licences": op11_licences,
+    "op12_align": op12_align,
+    "op13_audit": op13_audit,
 }
 ORACLE: dict[str, str] = {
     # Links from shared shingles, classes by what can be reached; for tables whose doc_id are present and differ.
@@ -119,3 +147,33 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len([x
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 5""",
 }
+ORACLE["op13_audit"] = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM split),
+known AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+counters AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT 'A' AS f UNION ALL SELECT 'B' UNION ALL SELECT 'C' UNION ALL SELECT 'D' UNION ALL SELECT 'E'),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, s::INTEGER AS step, 1 << (ascii(filter_order[s]) - 65) AS bit,
+    coalesce(list_sum([1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, s)]), 0)::INT AS before
+  FROM orders, range(1, 6) AS r(s)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counters, steps GROUP BY part, filter_order, step, bit)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM counted"""
