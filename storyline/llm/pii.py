@@ -1,15 +1,16 @@
 """Personal data: base patterns, and terms that reveal the protected values by what the corpus tells of both.
 
-The protected entities are the values that the base patterns find. Information theory tells how much a term gives away
-of an entity that stands in the same document: with counts over all documents, the pointwise mutual information of
-term and entity, as a share of the entity's own information, is the disclosure. A share of 1 says that the term occurs
-only where the entity does, so that leaving the term in would leave the entity readable. Terms over ``generalise`` become
-a general word that tells the term's form, terms over ``remove`` go, wherever they stand in a document with the entity.
-A pair counts only if it was seen in at least ``least_texts`` different texts: in a single text each word that stands
-nowhere else would tell all of each entity there. Copies of one text are no evidence, so counting goes by text.
-
-No pair is formed of a term that could not disclose anything: as a pair is no more frequent than its term, a term in
-n documents tells an entity in m of N no more than log(N / n) / log(N / m), which leaves rare terms only.
+The protected entities are what the values that the base patterns find have in common: the value itself, the part of it that
+others share (the domain of an address, the first two numbers of an ip, the first six digits of a card, the country code of
+a number), and its kind. Information theory tells how much a term gives away of an entity that stands in the same document:
+with counts over all documents, the pointwise mutual information of term and entity, as a share of the entity's own
+information. Few sightings prove little, so the share shrinks by (t / (t + 1)) ** 2, where t different texts hold both; this is
+the disclosure. It nears 1 for a term that is seen often, and only where the entity is: leaving it in would leave the entity
+readable. Terms over ``generalise`` become a general word that tells the term's form, terms over ``remove`` go, wherever they
+stand in a document with the entity. Copies of one text are no evidence: they count as rows, and t is of texts.
+
+No pair is formed of a term that could not disclose anything: t texts must be enough for the threshold, and as a pair is no
+more frequent than its term, a term in n documents tells an entity in m of N no more than log(N / n) / log(N / m).
 
 Nulls count as empty texts. Rows with the same text get the same spans. Rows of an empty table give no rows. Ties need
 no rule, for each term is judged on its own counts. Input columns other than doc_id and text are left out.
@@ -72,13 +73,29 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
 
 
 def _entities(spans: Column) -> Column:
-    """What the spans protect: each value once, in plain form."""
+    """What the spans protect, each once: the values in plain form, the part that others share, and the kinds."""
+
+    def each(s: Column) -> Column:
+        v, kind = s["value"], s["kind"]
+        plain = F.when(kind == "email", F.lower(v)).when(kind == "ip", v).otherwise(_digits(v))
+        code = F.substring(F.regexp_extract(v, "^[+]([0-9]+)", 1), 1, 3)
+        shared = F.when(kind == "email", F.substring_index(F.lower(v), "@", -1)).when(kind == "ip", F.substring_index(v, ".", 2)).when(kind == "card", F.substring(plain, 1, 6)).otherwise(code)
+        return F.array(F.concat_ws(":", kind, plain), F.concat_ws(":", kind, F.lit("part"), shared), kind)
+
+    return F.array_distinct(F.flatten(F.transform(spans, each)))
+
+
+def least_texts(generalise: float) -> int:
+    """So few texts that t / (t + 1) squared can reach the threshold."""
+    t = 1
+    while (t / (t + 1)) ** 2 < generalise:
+        t += 1
+    return t
 
-    def one(s: Column) -> Column:
-        plain = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
-        return F.concat_ws(":", s["kind"], plain)
 
-    return F.array_distinct(F.transform(spans, one))
+def _text_key(text: Column) -> Column:
+    """Tells texts apart: 64 bits of hash, 32 of checksum, and the length."""
+    return F.struct(F.xxhash64(text).alias("h"), F.crc32(text).alias("c"), F.octet_length(text).alias("n"))
 
 
 def _among(value: Column, wanted: DataFrame) -> Column:
@@ -95,14 +112,14 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _told(docs: DataFrame, seen: DataFrame, least_texts: int, generalise: float, remove: float) -> DataFrame | None:
+def _told(docs: DataFrame, seen: DataFrame, generalise: float, remove: float) -> DataFrame | None:
     """text_hash, and the terms of the text that tell one of its entities: gone and general. docs: text_hash and text; seen: text_hash
     and spans of all rows."""
-    total = max(seen.count(), 1)
+    total, least = max(seen.count(), 1), least_texts(generalise)
     holds = seen.filter(F.size("spans") > 0).select("text_hash", _entities(F.col("spans")).alias("entities"))
     of_text = holds.groupBy("text_hash", "entities").agg(F.count("*").alias("copies")).select("text_hash", "copies", F.explode("entities").alias("entity"))
     entities = of_text.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
-    entities = materialize(entities.filter((F.col("texts") >= least_texts) & (F.col("n_entity") < total)).drop("texts"), "pii-entities")
+    entities = materialize(entities.filter((F.col("texts") >= least) & (F.col("n_entity") < total)).drop("texts"), "pii-entities")
     most = entities.agg(F.max("n_entity")).first()[0]
     if most is None:
         return None
@@ -111,8 +128,8 @@ def _told(docs: DataFrame, seen: DataFrame, least_texts: int, generalise: float,
     blank = S.replaced(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
     near = base_spans(docs.filter(_among(F.col("text_hash"), texts_))).select("text_hash", F.explode(_words(blank)).alias("term")).distinct()
     near = near.join(texts_, "text_hash", "left_semi")
-    # In least_texts of these texts at least, and in so few documents that the term could tell the most frequent entity.
-    shared = materialize(near.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= least_texts).select("term"), "pii-shared")
+    # In enough of these texts, and in so few documents that the term could tell the most frequent entity.
+    shared = materialize(near.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("term"), "pii-shared")
     rare = math.exp(math.log(total) - generalise * (math.log(total) - math.log(most))) * (1 + 1e-9)
     each = docs.select(F.explode(_words(F.col("text"))).alias("term"))
     n_term = each.filter(_among(F.col("term"), shared)).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") <= rare)
@@ -120,8 +137,8 @@ def _told(docs: DataFrame, seen: DataFrame, least_texts: int, generalise: float,
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
     could = F.log2(F.lit(float(total)) / F.greatest("n_term", "n_entity")) >= own * generalise - 1e-9
     both = materialize(near.join(n_term, "term").join(of_text, "text_hash").filter(could), "pii-pairs")
-    pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least_texts)
-    disclosure = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / own
+    pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
+    disclosure = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / own * F.pow(F.col("texts") / (F.col("texts") + 1), 2)
     told = pairs.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise - 1e-9).select("entity", "term", (F.col("disclosure") >= remove - 1e-9).alias("gone"))
     marked = both.join(told, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("gone").alias("gone"))
     of = lambda gone: F.collect_list(F.when(F.col("gone") == gone, F.col("term")))
@@ -145,11 +162,11 @@ def _term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
     return found.select("text_hash", free.alias("more")).dropDuplicates(["text_hash"])
 
 
-def find(docs: DataFrame, least_texts: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, generalise: float = 0.5, remove: float = 0.7) -> DataFrame:
     """doc_id, text_hash and spans (base and term; a term's value says what takes its place) for each row of docs."""
-    docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    docs = texts(docs).withColumn("text_hash", _text_key(F.col("text")))
     seen = materialize(base_spans(docs).select("doc_id", "text_hash", "spans"), "pii-base")
-    told = _told(docs.select("text_hash", "text"), seen.select("text_hash", "spans"), least_texts, generalise, remove)
+    told = _told(docs.select("text_hash", "text"), seen.select("text_hash", "spans"), generalise, remove)
     if told is None or told.isEmpty():
         return seen
     more = _term_spans(docs.select("text_hash", "text"), told)
@@ -160,7 +177,7 @@ def find(docs: DataFrame, least_texts: int = 3, generalise: float = 0.6, remove:
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with base values and telling terms replaced in text; all other columns and all rows stay. A null text stays null."""
     own, h, found = (unused(docs, name) for name in ("_hash", "_h", "_spans"))
-    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn(own, _text_key(F.coalesce("text", F.lit(""))))
     got = find(docs, **limits).filter(F.size("spans") > 0).select(F.col("text_hash").alias(h), F.col("spans").alias(found)).dropDuplicates([h])
     both = keyed.join(got, F.col(own) == F.col(h), "left")
     labels = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))

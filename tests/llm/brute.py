@@ -95,15 +95,21 @@ def lm_scores(texts: list[str | None], train: list[int], mass: float, base: floa
     return out
 
 
-def pii_terms(texts: list[str | None], least: int, generalise: float, remove: float) -> list[list[tuple[int, int, str]]]:
+def pii_entities(kind: str, value: str) -> set:
+    """A value, the part that others share, and its kind."""
+    plain = {"email": str.lower, "ip": str, "card": digits, "phone": digits}[kind](value)
+    part = {"email": lambda: plain.split("@")[1], "ip": lambda: ".".join(plain.split(".")[:2]), "card": lambda: plain[:6], "phone": lambda: re.match(r"\+([0-9]*)", value)[1][:3]}[kind]()
+    return {(kind, plain), (kind, "part", part), (kind,)}
+
+
+def pii_terms(texts: list[str | None], generalise: float, remove: float) -> list[list[tuple[int, int, str]]]:
     """Start, end and form of each telling term of each text."""
     seen = []
     for t in texts:
         t = t or ""
         base = spans(t, PII)
         words = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?<![^\W_])[^\W\d_]+(?![^\W_])", t) if not any(a < m.end() and m.start() < b for _, a, b in base)]
-        plain = {"email": str.lower, "ip": str, "card": digits, "phone": digits}
-        seen.append(({(k, plain[k](t[a:b])) for k, a, b in base}, words))
+        seen.append((set().union(*(pii_entities(k, t[a:b]) for k, a, b in base)), words))
     n = len(texts)
     n_entity = collections.Counter(e for es, _ in seen for e in es)
     n_term = collections.Counter(w for _, ws in seen for w in {x.lower() for x, _, _ in ws})
@@ -114,8 +120,8 @@ def pii_terms(texts: list[str | None], least: int, generalise: float, remove: fl
             where[pair].add(t)
     told = {}
     for (e, w), c in both.items():
-        own = math.log2(n / n_entity[e])
-        if len(where[e, w]) >= least and own > 0 and (d := math.log2(n * c / (n_term[w] * n_entity[e])) / own) >= generalise - 1e-9:
+        own, k = math.log2(n / n_entity[e]), len(where[e, w])
+        if own > 0 and (d := math.log2(n * c / (n_term[w] * n_entity[e])) / own * (k / (k + 1)) ** 2) >= generalise - 1e-9:
             told[e, w] = d >= remove - 1e-9
     out = []
     for es, ws in seen:
