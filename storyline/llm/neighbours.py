@@ -2,8 +2,9 @@
 
 Vectors of length one are projected on a few random directions. A projected squared distance over the true one follows
 a chi-square law with as many degrees of freedom as directions. A search takes the leaves of the kd-tree in the order of
-their projected distance from the query and verifies their vectors by true cosine; it ends when a vector nearer than
-the worst of the best found would lie that far out in projection only with a small probability (``risk``).
+their projected distance from the query and of their vectors those that pass the test are verified by true cosine; a vector
+fails it, and the search ends at the first leaf that does, when a vector nearer than the worst of the best found would lie
+that far out in projection only with a small probability (``risk``).
 
 Rows are dealt to blocks by a hash of the id, queries to chunks; each block answers each chunk, and the best of all
 blocks are ranked. Nothing is fitted on the data. Vectors that are null, zero, or hold null or non-finite components
@@ -20,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECTIONS, LEAF, SEED = 8, 48, 7
-BLOCK_ROWS, LEAST_ROWS, USUAL_BLOCKS, CHUNK_ROWS = 16_384, 1024, 12, 1024
+DIRECTIONS, LEAF, SEED = 16, 48, 7
+BLOCK_ROWS, LEAST_ROWS, USUAL_BLOCKS, CHUNK_ROWS = 16_384, 1024, 12, 8192
 LEAVES_AT_ONCE = 6
 
 
@@ -67,29 +68,41 @@ def _dots(columns: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.add.reduce(each, axis=0) if each.shape[1] > 1 else np.add.accumulate(each, axis=0)[-1]
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, limit: float) -> tuple[list[int], list[int], list[float]]:
-    """The k nearest found of one block for each query: query ids, ids and cosines."""
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, limit: float, verified: list[int] | None = None) -> tuple[list[int], list[int], list[float]]:
+    """The k nearest found of one block for each query: query ids, ids and cosines. verified: gets the number of vectors whose cosine
+    was taken for each query."""
     across = np.ascontiguousarray(vectors.T)
     norm = np.sqrt(_dots(across, across))
     unit = vectors / norm[:, None]
     basis = np.random.default_rng(SEED).standard_normal((vectors.shape[1], DIRECTIONS))
-    tree = Tree(unit @ basis)
+    points = unit @ basis
+    tree = Tree(points)
+    points = points[tree.order]
     ids, across, norm = ids[tree.order], across.take(tree.order, 1), norm[tree.order]
     out: tuple[list[int], list[int], list[float]] = ([], [], [])
     for qid, q in zip(query_ids, queries, strict=True):
         length = math.sqrt(float(_dots(q[:, None], q)[0]))
-        far = tree.distances((q / length) @ basis)
+        at_q = (q / length) @ basis
+        far = tree.distances(at_q)
         leaves = np.argsort(far, kind="stable")
-        best_s, best_r = np.empty(0), np.empty(0, np.int64)
+        best_s, best_r, n = np.empty(0), np.empty(0, np.int64), 0
         for at in range(0, len(leaves), LEAVES_AT_ONCE):
             if len(best_s) == k and far[leaves[at]] > limit * max(2 - 2 * best_s[-1], 1e-12):
                 break
             rows = np.concatenate([np.arange(a, b) for a, b in tree.ends[leaves[at : at + LEAVES_AT_ONCE]]])
             rows = rows[ids[rows] != qid]
+            if len(best_s) == k:
+                gap = points[rows] - at_q
+                rows = rows[np.einsum("ij,ij->i", gap, gap) <= limit * max(2 - 2 * best_s[-1], 1e-12)]
+                if not len(rows):
+                    continue
+            n += len(rows)
             s = np.concatenate([best_s, _dots(across.take(rows, 1), q) / (norm[rows] * length)])
             r = np.concatenate([best_r, rows])
             top = np.lexsort((ids[r], -s))[:k]
             best_s, best_r = s[top], r[top]
+        if verified is not None:
+            verified.append(n)
         out[0].extend([qid] * len(best_r))
         out[1].extend(ids[best_r].tolist())
         out[2].extend(best_s.tolist())
