@@ -2,9 +2,9 @@
 
 Both tokenizers spell the same bytes. The transducer reads tokens of both and remembers only which side leads and the bytes
 it has spelled beyond the other, a suffix of its last token. It always reads the side that lags: its token either is used up
-by the residual, or is longer and takes the lead with what is left over. An empty residual closes a group. A transition depends
-on the residual and the token alone, so it is worked out once and then looked up. A token read while the residual is not empty
-overlaps the leader's last token, and that is every overlap there is: it is a link.
+by the residual, or is longer and takes the lead with what is left over. An empty residual closes a group, and both sides are read.
+A transition depends on the residual and the token alone, so it is worked out once and then looked up. A token read while the
+residual is not empty overlaps the leader's last token, and that is every overlap there is: it is a link.
 
 Links are counted over the corpus by id pair. Pairs are counted within batches of documents before they are shuffled; the
 most frequent ones, up to ``MOST_PAIRS``, and the highest count of each id of side B, a bound by its vocabulary, are broadcast;
@@ -38,7 +38,7 @@ TOKEN_BITS = 20
 
 class Transducer:
     """States are numbered: 0 is the empty residual, even ones have B in the lead and odd ones A, so a state's last bit tells
-    whose turn it is (A's after an even one)."""
+    whose turn it is. From the empty residual a token of each side is read at once: the first of them leads, the second lags."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.spelled = (a, b)
@@ -47,7 +47,8 @@ class Transducer:
     def _forget(self) -> None:
         self.residual: list[bytes] = [b"", b""]
         self.number: dict[tuple[bytes, int], int] = {}
-        self.memo: dict[int, int] = {}
+        self.steps: dict[int, int] = {}
+        self.starts: dict[int, int] = {}
 
     def _state(self, residual: bytes, leader: int) -> int:
         """The state with that residual, of A (0) or B (1)."""
@@ -59,39 +60,49 @@ class Transducer:
             self.residual += [residual, residual]
         return found
 
+    def _after(self, rest: bytes, more: bytes, turn: int) -> int:
+        """The state after the lagging side's token, -1 if the sides spell different bytes."""
+        if not rest or not more or not (more.startswith(rest) or rest.startswith(more)):
+            return -1
+        if len(more) < len(rest):
+            return self._state(rest[len(more) :], 1 - turn)
+        return self._state(more[len(rest) :], turn)
+
     def step(self, key: int) -> int:
-        """The state after a token, -1 if the sides spell different bytes."""
+        """The state after a token in a state with a residual."""
         state, token = key >> TOKEN_BITS, key & (1 << TOKEN_BITS) - 1
-        turn = state & 1
-        rest, more = self.residual[state], self.spelled[turn][token]
-        if not more or not (more.startswith(rest) or rest.startswith(more)):
-            to = -1
-        elif len(more) < len(rest):
-            to = self._state(rest[len(more) :], 1 - turn)
-        else:
-            to = self._state(more[len(rest) :], turn)
-        self.memo[key] = to
+        to = self.steps[key] = self._after(self.residual[state], self.spelled[state & 1][token], state & 1)
+        return to
+
+    def start(self, key: int) -> int:
+        """The state after a token of A and one of B from the empty residual."""
+        to = self.starts[key] = self._after(self.spelled[0][key >> TOKEN_BITS], self.spelled[1][key & (1 << TOKEN_BITS) - 1], 1)
         return to
 
     def run(self, a: list[int], b: list[int]) -> list[int] | None:
-        """The states after each token read, None if the sides do not spell the same bytes."""
-        if len(self.memo) > MOST_STEPS:
+        """The state after each token that met a residual, which is one for each link; None if the sides do not spell the same bytes."""
+        if len(self.steps) + len(self.starts) > MOST_STEPS:
             self._forget()
-        next_a, next_b = iter(a).__next__, iter(b).__next__
-        known, state, path = self.memo.get, 0, []
+        next_a, next_b = iter(a).__next__, iter([*b, -1]).__next__  # -1 is no token: whatever it is read with is negative
+        step, start, state, path = self.steps.get, self.starts.get, 0, []
         put = path.append
         try:
-            for _ in range(len(a) + len(b)):
-                key = state << TOKEN_BITS | (next_b() if state & 1 else next_a())
-                state = known(key)
-                if state is None:
-                    state = self.step(key)
+            while True:
+                if state == 0:
+                    key = next_a() << TOKEN_BITS | next_b()
+                    state = start(key)
+                    if state is None:
+                        state = self.start(key) if key >= 0 else -1
+                else:
+                    key = state << TOKEN_BITS | (next_b() if state & 1 else next_a())
+                    state = step(key)
+                    if state is None:
+                        state = self.step(key) if key >= 0 else -1
                 if state < 0:
                     return None
                 put(state)
         except StopIteration:
-            return None
-        return path if state == 0 else None
+            return path if state == 0 and next_b() < 0 else None
 
 
 class Pair:
@@ -129,7 +140,7 @@ class Pair:
         """For each text the numbers of tokens, groups and links, its groups as text; and for all links their text and pair."""
         ids_a = [x.tolist() for x in map(self.a.encode_to_numpy, [" " + t for t in said])]
         ids_b = self.b.encode(said, num_threads=1)
-        n_a, n_b = np.zeros(len(said), np.int64), np.zeros(len(said), np.int64)
+        n_a, n_b, n_links = (np.zeros(len(said), np.int64) for _ in range(3))
         path: list[int] = []
         flat_a: list[int] = []
         flat_b: list[int] = []
@@ -139,21 +150,18 @@ class Pair:
                 path += way
                 flat_a += ids_a[k]
                 flat_b += ids_b[k]
-                n_a[k], n_b[k] = len(ids_a[k]), len(ids_b[k])
+                n_a[k], n_b[k], n_links[k] = len(ids_a[k]), len(ids_b[k]), len(way)
             ids_a[k] = ids_b[k] = None
         state = np.array(path, np.int64)
         before = np.concatenate([[0], state[:-1]]) if len(state) else state
-        by_a = (before & 1) == 0
-        at_a, at_b = np.cumsum(by_a), np.cumsum(~by_a)  # tokens read of each side
+        # Each entry is a link: of the last tokens read of both sides. From the empty residual both sides were read.
+        at_a, at_b = np.cumsum(before & 1 ^ 1), np.cumsum((before & 1) | (before == 0))
         a, b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
-        linked = before != 0
         closes = state == 0
         end_a, end_b = at_a[closes], at_b[closes]
-        text_ends = np.cumsum(n_a + n_b)
-        count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.concatenate([[0], text_ends])])
-        n_groups, n_links = count(closes), count(linked)
-        pairs = a[at_a[linked] - 1] * self.size_b + b[at_b[linked] - 1]
-        return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "pairs": pairs}, self._groups(a, b, end_a, end_b, n_a, n_b)
+        groups = np.concatenate([[0], np.cumsum(closes)])[np.concatenate([[0], np.cumsum(n_links)])]
+        pairs = a[at_a - 1] * self.size_b + b[at_b - 1]
+        return {"n_a": n_a, "n_b": n_b, "n_groups": np.diff(groups), "n_links": n_links, "pairs": pairs}, self._groups(a, b, end_a, end_b, n_a, n_b)
 
     def _groups(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
         """a1,a2|b1;a3|b2,b3 of each text."""
