@@ -216,9 +216,10 @@ def test_transducer_forgets_and_goes_on(monkeypatch):
     monkeypatch.setattr(align, "MOST_STEPS", 3)
     t = align.Transducer([b"ab", b"c", b"abc", b"x"], [b"a", b"bc", b"b", b"c", b"y"])
     for _ in range(3):
-        assert [s == 0 for s in t.run([0, 1], [0, 1])] == [False, False, False, True]
+        assert [s == 0 for s in t.run([0, 1], [0, 1])] == [False, False, True]  # ab-a, ab-bc, c-bc
         assert t.run([2], [0, 2, 3])[-1] == 0
         assert t.run([3], [4]) is None and t.run([0], [0]) is None and t.run([], []) == []
+        assert t.run([0, 1, 3], [0, 1]) is None and t.run([0, 1], [0, 1, 4]) is None and t.run([3], []) is None and t.run([], [4]) is None
 
 
 # ---- filter audit

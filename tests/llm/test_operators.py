@@ -87,8 +87,9 @@ def test_pii_terms_that_stand_only_with_a_value_are_found(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("least_texts", [1, 2, 3])
-def test_pii_disclosure_equals_plain_counts(spark, least_texts):
+@pytest.mark.parametrize("limits", [(0.2, 0.3), (0.4, 0.6), (0.5, 0.7)])
+def test_pii_disclosure_equals_plain_counts(spark, limits):
+    generalise, remove = limits
     r = random.Random(12)
     people = [("a@b.org", "quokka"), ("10.0.0.7", "Wombat"), ("+1 743 555 3824", "NUMBAT")]
     common, texts = [f"w{c}" * 2 for c in "abcdefghij"], [None, "", "only@one.org alone"]
@@ -103,10 +104,10 @@ def test_pii_disclosure_equals_plain_counts(spark, least_texts):
         texts.append(" ".join(said))
     texts += texts[5:20]  # copies
     docs = documents(spark, texts)
-    got = {x.doc_id: sorted((s.start, s.end, s.value) for s in x.spans if s.kind == "term") for x in pii.find(docs, least_texts=least_texts).collect()}
-    assert got == dict(enumerate(brute.pii_terms(texts, least_texts, 0.6, 0.9)))
+    got = {x.doc_id: sorted((s.start, s.end, s.value) for s in x.spans if s.kind == "term") for x in pii.find(docs, generalise, remove).collect()}
+    assert got == dict(enumerate(brute.pii_terms(texts, generalise, remove)))
     assert sum(map(len, got.values())) > 5
-    for x in pii.sanitise(docs, least_texts=least_texts).collect():
+    for x in pii.sanitise(docs, generalise=generalise, remove=remove).collect():
         t, at, out = texts[x.doc_id] or "", 0, ""
         for a, b, what in sorted([(a, b, k) for k, a, b in brute.spans(t, brute.PII)] + got[x.doc_id]):
             if a >= at:
@@ -114,6 +115,22 @@ def test_pii_disclosure_equals_plain_counts(spark, least_texts):
         assert (x.text or "") == out + t[at:]
 
 
+def test_pii_terms_of_the_whole_table_equal_plain_counts(spark):
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    got = {x.doc_id: sorted((s.start, s.end, s.value) for s in x.spans if s.kind == "term") for x in pii.find(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    want = brute.pii_terms([x.text for x in docs], 0.5, 0.7)
+    assert got == {x.doc_id: w for x, w in zip(docs, want, strict=True)}
+    # Texts without personal data keep every word.
+    assert all(not got[x.doc_id] for x in docs if not brute.spans(x.text or "", brute.PII))
+
+
+def test_pii_copies_are_no_evidence(spark):
+    text = "filler zanzibar of all kinds call +1 (743) 555-3824 again " + "and so on " * 30
+    rest = ["words of all kinds, filler call and so on again"] * 60
+    assert all(not r.spans or r.spans[0].kind == "phone" and len(r.spans) == 1 for r in pii.find(documents(spark, [text] * 40 + rest)).collect())
+
+
 def test_spans_of_texts_with_thousands_of_matches(spark):
     text = " ".join(f"é{i} a{i}@b.org 10.0.{i % 256}.1 token=abcdef{i} k8Jd02lsPq93nZx81mVb7Ty{i:05}" for i in range(6000))
     docs = documents(spark, [text, "x"])
@@ -325,8 +342,9 @@ def test_shards_are_level_whole_and_stable(spark):
     assert shards.assign(docs.limit(0), 8).count() == 0
 
 
-def test_shards_equal_a_plain_walk_of_the_ring(spark):
-    rows = [(i, f"text {i % 5}") for i in range(400)] + [(7, "hot")] * 150 + [(None, "x")] * 20
+@pytest.mark.parametrize("step", [65_536, 7])
+def test_shards_equal_a_plain_walk_of_the_ring(spark, step):
+    rows = [(i, f"text {i % 5}") for i in range(400)] + [(7, "hot")] * 150 + [(None, "x")] * 20 + [(None, f"null {i}") for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("slot", F.lit("clash")).withColumn("size", F.lit("clash"))
     keyed = docs.select("doc_id", "text", shards._place(F.col("doc_id")).alias("place")).collect()
     places = shards.ring(8, 256)
@@ -349,7 +367,7 @@ def test_shards_equal_a_plain_walk_of_the_ring(spark):
         while used[places[(k := (k + 1) % len(places))][1]] >= room[places[k][1]]:
             pass
         put(x, places[k][1])
-    got = [(x.doc_id, x.size, x.text_crc32, x.shard, x.slot) for x in shards.assign(docs, 8).collect()]
+    got = [(x.doc_id, x.size, x.text_crc32, x.shard, x.slot) for x in shards.assign(docs, 8, step=step).collect()]
     assert Counter(got) == Counter(want)
 
 
@@ -442,6 +460,14 @@ def test_nothing_stays_below_what_was_dropped():
         assert all(kept[page.parent[k]] for k in range(1, len(kept)) if kept[k])
 
 
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.9, 0.1]), (50, [1.0, 0.1]), (50, [1.0, 0.1]), (None, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 7, 0.5) for i, v in rows], "vec_id long, embedding array<float>, rank string, query_id int, score double")
+    got = [(x.query_id, x.rank, x.vec_id) for x in neighbours.nearest(df, df.filter("vec_id % 50 = 0"), 2).orderBy("rank").collect()]
+    # Each row of the repeated query asks, and of all that they found the best stay.
+    assert [g[:2] for g in got] == [(50, 1), (50, 2)] and {g[2] for g in got} <= {1, 2}
+
+
 def test_neighbours_against_brute_force(spark):
     r = np.random.default_rng(1)
     centres = r.standard_normal((20, 32))
@@ -463,5 +489,10 @@ def test_neighbours_against_brute_force(spark):
         assert len(got[ids[k]]) == 5
     assert hit >= 0.9 * 5 * len(queries)
     assert [i for i, _ in got[0]] == [3000, 3001, 3002, 3003, 3004]
+    # The search stops: on clustered vectors most are never verified.
+    held = np.array([x for _, x in vectors], np.float32).astype(float)
+    seen: list[int] = []
+    neighbours.search(ids, held, ids[queries], held[queries], 5, neighbours.chi_square_limit(0.002), seen)
+    assert sum(seen) <= 0.3 * len(queries) * len(held)
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
     assert neighbours.nearest(df.filter("vec_id < 3"), df.filter("vec_id = 0")).count() == 2
