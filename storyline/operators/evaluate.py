@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.scalar import hamming
 from storyline.operators.dedup import bands
+from storyline.shared import materialize
 
 SAME_MOMENT, SAME_BITS = 20, 10
 SURE, MAYBE = 8, 14
+PARTS = 4
 
 
 def covered(items: DataFrame, others: DataFrame, bits: int = 64) -> DataFrame:
@@ -59,12 +64,52 @@ def redundancy(selection: DataFrame, by: list[str], bits: int = 64) -> DataFrame
     return most.groupBy(*by).agg(F.avg("m").alias("redundancy"))
 
 
-def album_match(album: DataFrame, library: DataFrame) -> DataFrame:
+def _top_two(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows (lib_id, d) the two nearest different items, each at its least distance."""
+    order = Window.partitionBy(*by).orderBy("d", "lib_id")
+    return rows.groupBy(*by, "lib_id").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(order)).filter("n <= 2")
+
+
+def two_nearest(album: DataFrame, library: DataFrame, bits: int = 64, looked: list[int] | None = None) -> DataFrame:
+    """The two nearest library items of each distinct (shape, h) of album images: shape, q, lib_id, d, n; exact.
+
+    Hashes are cut into ``PARTS`` parts and the radius grows: in round s parts are looked up that differ in s bits, after which
+    all items within PARTS * (s + 1) - 1 bits have been met, and an image whose second item lies within that is done. Where a
+    round would look up more parts than its shape has hashes, the image meets those hashes themselves instead. Equal hashes
+    count once, with their two smallest ids. looked: gets the number of pairs that each round compared."""
+    width = math.ceil(bits / PARTS)
+    cut = lambda c: F.array(*(F.struct(F.lit(k).alias("part"), F.shiftright(c, k * width).bitwiseAND(F.lit((1 << min(width, bits - k * width)) - 1)).alias("v")) for k in range(PARTS)))
+    first = Window.partitionBy("shape", "h").orderBy("lib_id")
+    items = library.filter("h is not null").select("shape", F.col("h").cast("long").alias("h"), F.col("id").alias("lib_id")).distinct()
+    items = materialize(items.withColumn("_n", F.row_number().over(first)).filter("_n <= 2").drop("_n"), "items")
+    hashes = items.select("shape", "h").distinct()
+    parts = materialize(hashes.select("shape", "h", F.inline(cut(F.col("h")))), "parts")
+    open_ = album.filter("h is not null").select("shape", F.col("h").cast("long").alias("q")).distinct()
+    open_ = materialize(open_.join(hashes.groupBy("shape").agg(F.count("*").alias("size")), "shape"), "open")
+    best: DataFrame | None = None
+    for s in range(width + 1):
+        masks = [sum(1 << k for k in bits_) for bits_ in combinations(range(width), s)]
+        few, many = open_.filter(F.col("size") <= PARTS * len(masks)), open_.filter(F.col("size") > PARTS * len(masks))
+        asked = many.select("shape", "q", F.inline(cut(F.col("q")))).select("shape", "q", "part", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+        met = asked.join(parts, ["shape", "part", "v"]).select("shape", "q", "h").unionByName(few.join(hashes, "shape").select("shape", "q", "h"))
+        met = materialize(met.withColumn("d", hamming("q", "h")), "met")
+        if looked is not None:
+            looked.append(met.count())
+        near = _top_two(met.join(items, ["shape", "h"]), ["shape", "q"])
+        best = near if best is None else _top_two(best.unionByName(near), ["shape", "q"])
+        best = materialize(best, "best")
+        done = best.filter((F.col("n") == 2) & (F.col("d") <= PARTS * (s + 1) - 1)).select("shape", "q")
+        open_ = materialize(many.join(done, ["shape", "q"], "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    return best
+
+
+def album_match(album: DataFrame, library: DataFrame, bits: int = 64) -> DataFrame:
     """Best and second library item of each album image within its shape class; sure up to 8 bits, maybe up to 14. Several
     crops of an item count by their best. album: id, shape, h; library: id, shape, h."""
-    other = library.select("shape", F.col("id").alias("lib_id"), F.col("h").alias("lib_h"))
-    d = album.join(other, "shape").groupBy("id", "lib_id").agg(F.min(hamming("h", "lib_h")).alias("d"))
-    two = d.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "lib_id"))).filter("n <= 2")
+    near = two_nearest(album, library, bits).drop("n")
+    two = _top_two(album.select("id", "shape", F.col("h").cast("long").alias("q")).join(near, ["shape", "q"]), ["id"])
     pick = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
     best = two.groupBy("id").agg(pick(1, "lib_id").alias("best"), pick(1, "d").alias("distance"), pick(2, "lib_id").alias("runner_up"), pick(2, "d").alias("runner_up_distance"))
     both = album.select("id").distinct().join(best, "id", "left")

@@ -1,8 +1,7 @@
-"""Pages of a story, spreads, page checks, and the fold of layout choices."""
+"""Pages of a story, spreads and page checks."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,57 +88,6 @@ def local_recount(photos: DataFrame, by: list[str]) -> DataFrame:
     return photos.groupBy(*by).agg(n.alias("included"), F.when(n > 0, F.ceil(n / 4)).otherwise(0).cast("long").alias("pages"))
 
 
-def fold_choices(changes: DataFrame, by: list[str]) -> DataFrame:
-    """M9: locked pages, covers, rotation, zoom and size after an ordered log of change commands. Each command rests on the state
-    before it, so a year's log is one fold. changes: id, type, page, photos, photo, value."""
-
-    def fold(held: pd.DataFrame) -> pd.DataFrame:
-        pages: dict[int, list[int]] = {}
-        looks: dict[int, dict[str, int]] = {}
-        covers: dict[str, int | None] = {"front": None, "back": None}
-
-        def off(photos: list[int], keep: int | None = None) -> None:
-            for p in [p for p in pages if p != keep]:
-                pages[p] = [x for x in pages[p] if x not in photos]
-                if not pages[p]:
-                    del pages[p]
-
-        for c in held.sort_values("id").itertuples():
-            photos = list(c.photos) if c.photos is not None else []
-            look = looks.setdefault(int(c.photo), {}) if pd.notna(c.photo) else {}
-            if c.type == "lock":
-                off(photos, int(c.page))
-                pages[int(c.page)] = photos
-            elif c.type == "unlock":
-                pages.pop(int(c.page), None)
-            elif c.type == "gather":
-                off(photos)
-                free = max(pages, default=-1) + 1
-                for k in range(0, len(photos), 12):
-                    pages[free + k // 12] = photos[k : k + 12]
-            elif c.type in covers:
-                other = "back" if c.type == "front" else "front"
-                covers[c.type] = int(c.photo)
-                if covers[other] == covers[c.type]:
-                    covers[other] = None
-            elif c.type == "rotate":
-                look["rotation"] = (look.get("rotation", 0) + int(c.value)) % 4
-            elif c.type == "zoom":
-                look["zoom"] = min(400, max(100, int(c.value)))
-            elif c.type == "size":
-                look["size"] = min(4, max(-1, int(c.value)))
-        rows = [("page", p, i, x) for p, held_ in sorted(pages.items()) for i, x in enumerate(held_)]
-        rows += [(k, None, None, x) for k, x in covers.items() if x is not None]
-        rows += [(k, v, None, x) for x, look in sorted(looks.items()) for k, v in sorted(look.items())]
-        out = pd.DataFrame(rows, columns=["kind", "value", "place", "photo"]).astype({"value": "Int64", "place": "Int64", "photo": "Int64"})
-        for c in by:
-            out[c] = held[c].iloc[0]
-        return out[[*by, "kind", "value", "place", "photo"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.select(*by).schema)
-    return changes.groupBy(*by).applyInPandas(fold, f"{schema}, kind string, value long, place long, photo long")
-
-
 def assemble_pages(locked: DataFrame, made: DataFrame, by: list[str]) -> DataFrame:
     """L3: the pages of an event in order: locked ones and new ones by their first photo, locked before new where both begin alike;
     photos that a locked page has leave the new ones. locked, made: page, pos, photo."""
@@ -162,6 +110,7 @@ def portrait_page(chosen: DataFrame, portraits: DataFrame, by: list[str], most:
 
 
 def page_policy(size: Column, decision: Column, mood: Column, exceptional: Column, people: Column) -> Column:
-    """L2: whether a photo must have, may have or never has a page of its own: the user's size, then the decision, then what it shows."""
-    out = F.when(size >= 3, "must").when(size.isNotNull(), "never").when(decision == "opp", "must").when(decision == "demp", "never")
+    """L2: whether a photo must have, may have or never has a page of its own: the user's size, then the decision (a highlighted
+    one must, a toned-down one never; more of a kind says nothing of its page), then what it shows."""
+    out = F.when(size >= 3, "must").when(size.isNotNull(), "never").when(decision == "fremhev", "must").when(decision == "demp", "never")
     return out.when(mood & exceptional, "free").when(people == False, "never").otherwise("free")  # noqa: E712

@@ -33,6 +33,24 @@ def assign_bursts(rows: DataFrame, by: list[str], t: str, key: str, gap: int = B
     return out.withColumn("burst_size", F.count("*").over(Window.partitionBy(*by, "burst")))
 
 
+def neighbourhood_events(rows: DataFrame, by: list[str], t: str, key: str, lat: str, lon: str, around: int = 10, gap: int = EVENT_GAP, km: float = TRIP_KM) -> DataFrame:
+    """Events whose border is a gap longer than ``gap`` seconds and than twice the median gap of its neighbourhood (``around`` gaps on
+    either side of it and itself), or a place more than ``km`` from the last known one. The gaps of a neighbourhood are one
+    sorted array of at most 2 * around + 1. A row without a place makes no border by place; one without a time gets no event."""
+    order = Window.partitionBy(*by, F.col(t).isNull()).orderBy(t, key)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")))
+    rows = rows.withColumn("_gap", F.col(t) - F.lag(t).over(order)).withColumn("_was", F.last(known, ignorenulls=True).over(earlier))
+    near = F.array_sort(F.collect_list("_gap").over(order.rowsBetween(-around, around)))
+    rows = rows.withColumn("_near", near)
+    half = lambda k: F.get("_near", F.floor((F.size("_near") - k) / 2).cast("int"))
+    median = (half(1) + half(0)) / 2
+    moved = haversine_km(F.col("_was.lat"), F.col("_was.lon"), F.col(lat), F.col(lon)) > km
+    border = (F.col("_gap") > F.greatest(F.lit(gap), 2 * median)) | F.coalesce(moved, F.lit(False))
+    run = F.sum(F.when(border, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("event", F.when(F.col(t).isNotNull(), run).cast("long")).drop("_gap", "_was", "_near")
+
+
 def best_of_burst(rows: DataFrame, by: list[str], score: str, key: str) -> DataFrame:
     """The row of each burst with the highest score, the smallest key among equals."""
     order = Window.partitionBy(*by, "burst").orderBy(F.desc(score), key)

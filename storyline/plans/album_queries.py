@@ -397,10 +397,10 @@ def portrait_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.portrait_page(rows.drop("face"), rows.filter("face").select("e", "photo"), ["e"])
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 7 IN (3, 4) THEN 'must' WHEN event_id % 7 < 5 THEN 'never' WHEN event_id % 5 = 0 THEN 'must' WHEN event_id % 5 = 1 THEN 'never' WHEN event_id % 2 = 0 AND value > 80 THEN 'free' WHEN event_id % 3 = 0 THEN 'never' ELSE 'free' END AS policy FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 7 IN (3, 4) THEN 'must' WHEN event_id % 7 < 5 THEN 'never' WHEN event_id % 5 = 2 THEN 'must' WHEN event_id % 5 = 1 THEN 'never' WHEN event_id % 2 = 0 AND value > 80 THEN 'free' WHEN event_id % 3 = 0 THEN 'never' ELSE 'free' END AS policy FROM events""")
 def page_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    decision = F.when(k % 5 == 0, "opp").when(k % 5 == 1, "demp")
+    decision = F.when(k % 5 == 0, "opp").when(k % 5 == 1, "demp").when(k % 5 == 2, "fremhev")
     said = layout.page_policy(F.when(k % 7 < 5, k % 7), decision, k % 2 == 0, F.col("value") > 80, k % 3 != 0)
     return src.table(spark, sf_dir, "events").select("event_id", said.alias("policy"))
 

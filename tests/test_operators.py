@@ -266,19 +266,6 @@ def test_nearest_covers_both_sides(spark):
     assert got == {1: (10, 10), 2: (11, 390), 3: (None, None)}
 
 
-def test_choices(spark):
-    rows = [
-        ("L", 1, "lock", 0, [1, 2, 3], None, None), ("L", 2, "lock", 1, [3, 4], None, None), ("L", 3, "front", None, None, 1, None), ("L", 4, "back", None, None, 1, None),
-        ("L", 5, "rotate", None, None, 2, 5), ("L", 6, "zoom", None, None, 2, 900), ("L", 7, "gather", None, list(range(20, 34)), None, None),
-    ]
-    df = spark.createDataFrame(rows, "l string, id long, type string, page long, photos array<long>, photo long, value long")
-    got = {(r.kind, r.value, r.place, r.photo) for r in layout.fold_choices(df, ["l"]).collect()}
-    pages = {(v, x) for k, v, _, x in got if k == "page"}
-    assert {(0, 1), (0, 2), (1, 3), (1, 4), (2, 20), (3, 33)} <= pages and (0, 3) not in pages
-    assert ("back", None, None, 1) in got and not any(k == "front" for k, *_ in got)
-    assert ("rotation", 1, None, 2) in got and ("zoom", 400, None, 2) in got
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from storyline.streaming import events as stream
 
