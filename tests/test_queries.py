@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from storyline.plans import album_queries, draft_queries, selection_queries  # noqa: F401  register their queries with the others
+from storyline.plans import album_queries, draft_queries, people_queries, selection_queries  # noqa: F401  register their queries with the others
 from storyline.plans import queries as library
 
 DATA = "/root/testdata/sf0.001"
