@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyline.operators import dedup, learn, people
+from storyline.operators import dedup, learn, people, typeset
 from storyline.plans.album_queries import LINES, _lines
 from storyline.plans.queries import SIMHASH, query
+from storyline.shared import spread
 from storyline.sources import files
 from storyline.sources import tables as src
 
@@ -139,3 +140,38 @@ def whole_log_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", k.alias("id"), pick(DONE, 5).alias("action"), F.when(k % 23 < 14, pick(ANSWERS, 23)).alias("reason"), ((k * 7 % 101) / F.lit(100.0)).alias("added_sharp"), ((k * 11 % 97) / F.lit(96.0)).alias("removed_sharp")
     )
     return learn.learn(log, ["user_id"]).select("user_id", *(F.round(n, 6).cast("double").alias(n) for n in learn.WEIGHTS))
+
+
+# Lines and rows
+
+_LETTERS = " + ".join(f"{w - typeset.WIDE} * (length(w) - length(translate(w, '{x.replace(chr(39), chr(39) * 2)}', '')))" for w, x in typeset.WIDTHS.items())
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS paragraph FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents)),
+s AS (SELECT doc_id, paragraph, regexp_extract_all(p, '[^{typeset.SPACE}]+') AS ws FROM p),
+x AS MATERIALIZED (SELECT doc_id, paragraph, k, w, {typeset.WIDE} * length(w) + {_LETTERS} AS wide FROM (SELECT doc_id, paragraph, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM s)),
+f AS (SELECT doc_id, paragraph, 0::BIGINT AS k, 0 AS line, 0::BIGINT AS open FROM p UNION ALL
+  SELECT f.doc_id, f.paragraph, x.k, CASE WHEN f.k > 0 AND open + 278 + wide > 40000 THEN line + 1 ELSE line END, CASE WHEN f.k = 0 OR open + 278 + wide > 40000 THEN wide ELSE open + 278 + wide END
+  FROM f JOIN x ON x.doc_id = f.doc_id AND x.paragraph = f.paragraph AND x.k = f.k + 1)
+SELECT f.doc_id, f.paragraph, line, coalesce(string_agg(w, ' ' ORDER BY f.k), '') AS said FROM f LEFT JOIN x ON x.doc_id = f.doc_id AND x.paragraph = f.paragraph AND x.k = f.k GROUP BY f.doc_id, f.paragraph, line""")
+def wrapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typeset.wrapped(spread(src.table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", 40_000)
+
+
+@query(f"""WITH RECURSIVE {LINES}, p AS (SELECT l_orderkey AS page, l_linenumber AS photo, 0.5::DOUBLE + (l_partkey % 7) / 5.0::DOUBLE AS a FROM u),
+q AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY page) AS n, sum(a) OVER o AS acc FROM p WINDOW o AS (PARTITION BY page ORDER BY photo)),
+t AS (SELECT q.*, r, max(acc) OVER (PARTITION BY page) AS total FROM q JOIN range(1, 7) AS z(r) ON r <= n),
+f AS (SELECT DISTINCT page, r, -1::BIGINT AS i, 0 AS row, 0 AS next FROM t UNION ALL
+  SELECT f.page, f.r, t.i, f.next, f.next + (t.r - f.next - 1 > 0 AND (acc >= total * (f.next + 1) / t.r OR n - t.i - 1 = t.r - f.next - 1))::INT FROM f JOIN t ON t.page = f.page AND t.r = f.r AND t.i = f.i + 1),
+d AS (SELECT t.*, row FROM t JOIN f USING (page, r, i)),
+h AS (SELECT page, r, row, (100 - 2 * (count(*) - 1)) / sum(a) AS h FROM d GROUP BY page, r, row),
+th AS (SELECT page, r, sum(h) + 2 * (count(*) - 1) AS th, count(*) AS n_rows FROM h GROUP BY page, r),
+s AS (SELECT *, least(80 / th, 1.0) AS s FROM th),
+b AS (SELECT page, r FROM d JOIN h USING (page, r, row) JOIN s USING (page, r) GROUP BY page, r QUALIFY row_number() OVER (PARTITION BY page ORDER BY round(sum(a * pow(h * s, 2)), 9) DESC, r) = 1),
+z AS (SELECT d.page, photo, d.row, n_rows, th, s, a * h * s AS w, h * s AS h FROM b JOIN d USING (page, r) JOIN h USING (page, r, row) JOIN s USING (page, r)),
+y AS (SELECT page, row, (80 - any_value(th) * any_value(s)) / 2 + coalesce(sum(any_value(h) + 2 * any_value(s)) OVER (PARTITION BY page ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y, sum(w) + 2 * any_value(s) * (count(*) - 1) AS rw FROM z GROUP BY page, row)
+SELECT page, photo, n_rows, z.row, round((100 - rw) / 2 + coalesce(sum(w + 2 * s) OVER (PARTITION BY page, z.row ORDER BY photo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 5) AS x, round(y, 5) AS y, round(w, 5) AS w, round(h, 5) AS h FROM z JOIN y USING (page, row)""")
+def justified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("photo"), (0.5 + (F.col("l_partkey") % 7) / F.lit(5.0)).alias("a"))
+    out = typeset.justified(photos, ["page"], "photo", "a", 100.0, 80.0, 2.0)
+    return out.select("page", "photo", "n_rows", "row", *(F.round(c, 5).alias(c) for c in ("x", "y", "w", "h")))
