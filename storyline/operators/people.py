@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storyline.functions.scalar import dot, normalised
+from storyline.functions.scalar import normalised
 from storyline.shared import materialize
 
 THRESHOLD, FIRST_NEW, IOU_SAME, IOU_DROP = 0.363, 1_000_000, 0.4, 0.3
@@ -25,19 +27,49 @@ def centroids(rows: DataFrame, by: list[str], embedding: str) -> DataFrame:
 
 def nearest_centroid(rows: DataFrame, key: str, embedding: str, centres: DataFrame, label: str, at_once: int = CENTRES_AT_ONCE) -> DataFrame:
     """the centroid of largest cosine for each row, the smallest label among equals. Centres are few (one for each
-    person of a library): they are counted and go along as arrays of about at_once; every sixteen arrays the best so far are
-    written down, so that the memory they take has a bound, however many there are."""
+    person of a library): they are written down once, counted, and go to the tasks as matrices of about at_once; every sixteen
+    matrices the best so far are written down, so that the memory they take has a bound, however many there are."""
+    spark = rows.sparkSession
+    centres = materialize(centres.select(label, "centroid"), "centres")
     slices = max(1, math.ceil(centres.count() / at_once))
-    numbered = centres.withColumn("_slice", F.pmod(F.xxhash64(label), F.lit(slices)))
-    near = lambda c: F.struct((-F.round(dot(F.col("u"), c["c"]), 9)).alias("far"), c["label"].alias("label"))
-    both = rows.select(key, normalised(embedding).alias("u"))
+    kind = T.StructType([rows.schema[key], T.StructField("u", T.ArrayType(T.DoubleType())), T.StructField("label", centres.schema[label].dataType), T.StructField("cosine", T.DoubleType())])
+    both = rows.select(key, normalised(embedding).alias("u"), F.lit(None).cast(kind["label"].dataType).alias("label"), F.lit(None).cast("double").alias("cosine"))
     for k in range(slices):
-        held = numbered.filter(F.col("_slice") == k).agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))).alias("all"))
-        here = F.array_min(F.transform("all", near))
-        both = both.join(F.broadcast(held), F.lit(True)).withColumn("b", here if k == 0 else F.least("b", here)).drop("all")
+        held = centres.filter(F.pmod(F.xxhash64(label), F.lit(slices)) == k).orderBy(label).collect()
+        if held:
+            told = spark.sparkContext.broadcast((pd.Series([r[label] for r in held]), np.array([r["centroid"] for r in held], np.float64)))
+            both = both.mapInPandas(lambda parts, told=told: _nearer(parts, told.value), kind)
         if k % 16 == 15:
             both = materialize(both, "nearest")
-    return both.select(key, F.col("b.label").alias("label"), (-F.col("b.far")).alias("cosine"))
+    return both.select(key, "label", "cosine")
+
+
+def _nearer(parts: Iterator[pd.DataFrame], told: tuple[pd.Series, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """The rows with the nearest of these centres where it is nearer than what they have."""
+    labels, matrix = told
+    for part in parts:
+        fit = part["u"].map(lambda u: u is not None and len(u) == matrix.shape[1]).to_numpy(bool)
+        if fit.any():
+            near = np.round(np.stack(part["u"][fit].to_numpy()) @ matrix.T, 9)
+            at = near.argmax(1)
+            cosine, label = near[np.arange(len(at)), at], labels.to_numpy()[at]
+            old, old_label = part["cosine"].to_numpy()[fit], part["label"].to_numpy()[fit]
+            better = np.isnan(old) | (cosine > old)
+            for i in np.flatnonzero(cosine == old):
+                better[i] = label[i] < old_label[i]
+            rows = np.flatnonzero(fit)[better]
+            part = part.astype({"label": object})
+            part.iloc[rows, part.columns.get_loc("cosine")] = cosine[better]
+            part.iloc[rows, part.columns.get_loc("label")] = label[better]
+        yield part
+
+
+LEAST_PIXELS = 36
+
+
+def large_enough(faces: DataFrame, pixels: str = "pixels", fixed: str = "fixed") -> DataFrame:
+    """The faces to be grouped: those the user placed, and those at least 36 pixels high; of smaller ones too little is known."""
+    return faces.filter(F.col(fixed).isNotNull() | (F.col(pixels) >= LEAST_PIXELS))
 
 
 def group_faces(faces: DataFrame, by: list[str], threshold: float = THRESHOLD, first_new: int = FIRST_NEW) -> DataFrame:

@@ -142,6 +142,13 @@ def whole_log_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.learn(log, ["user_id"]).select("user_id", *(F.round(n, 6).cast("double").alias(n) for n in learn.WEIGHTS))
 
 
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0 OR vec_id % 83 >= 36")
+def faces_large_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("vec_id")
+    faces = src.table(spark, sf_dir, "embeddings").select("vec_id", F.when(k % 50 == 0, k).alias("fixed"), (k % 83).alias("pixels"))
+    return people.large_enough(faces).select("vec_id")
+
+
 # Lines and rows
 
 _LETTERS = " + ".join(f"{w - typeset.WIDE} * (length(w) - length(translate(w, '{x.replace(chr(39), chr(39) * 2)}', '')))" for w, x in typeset.WIDTHS.items())
