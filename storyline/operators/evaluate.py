@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.scalar import hamming
-from storyline.operators.dedup import bands
 from storyline.shared import materialize
 
 SAME_MOMENT, SAME_BITS = 20, 10
@@ -19,13 +18,14 @@ PARTS = 4
 
 def covered(items: DataFrame, others: DataFrame, bits: int = 64) -> DataFrame:
     """Ids of items near some other: the same id, at most 20 seconds apart, or at most 10 bits apart. Each way is an
-    equi-join: on the id, on time slots of 20 seconds with their neighbours, on hash bands. Columns: id, t, h."""
+    equi-join: on the id, on time slots of 20 seconds with their neighbours, on parts of the hash. Columns: id, t, h."""
     same = items.join(others.select("id").distinct(), "id", "left_semi").select("id")
     slot = lambda c: F.floor(F.col(c) / SAME_MOMENT)
     theirs = others.filter("t is not null").select(F.col("t").alias("t2")).distinct().withColumn("slot", F.explode(F.array(*(slot("t2") + k for k in (-1, 0, 1)))))
     timed = items.filter("t is not null").withColumn("slot", slot("t")).join(theirs, "slot").filter(F.abs(F.col("t") - F.col("t2")) <= SAME_MOMENT).select("id")
-    cut = lambda df, h: df.filter(F.col(h).isNotNull()).withColumn("k", F.explode(bands(F.col(h), SAME_BITS, bits)))
-    alike = cut(items, "h").join(cut(others.select(F.col("h").alias("h2")).distinct(), "h2"), "k").filter(hamming("h", "h2") <= SAME_BITS).select("id")
+    shaped = lambda df: df.select(F.lit(0).alias("shape"), "id", "h")
+    near = two_nearest(shaped(items), shaped(others), bits, SAME_BITS).filter((F.col("n") == 1) & (F.col("d") <= SAME_BITS))
+    alike = items.join(near.select(F.col("q").alias("h")), "h", "left_semi").select("id")
     return same.unionByName(timed).unionByName(alike).distinct()
 
 
@@ -55,13 +55,13 @@ def event_coverage(library: DataFrame, gold: DataFrame, selection: DataFrame, le
 
 
 def redundancy(selection: DataFrame, by: list[str], bits: int = 64) -> DataFrame:
-    """Mean over the selected of their greatest likeness 1 - d / 64 to another one, 0 for fewer than two. Pairs are made
-    within one library's selection, which is an album, not a table."""
-    a = selection.select(*by, F.col("id").alias("i"), F.col("h").alias("x"))
-    b = selection.select(*by, F.col("id").alias("j"), F.col("h").alias("y"))
-    like = F.greatest(F.lit(0.0), 1 - hamming("x", "y") / F.lit(float(bits)))
-    most = a.join(b, by).filter("i <> j").groupBy(*by, "i").agg(F.max(like).alias("m"))
-    return most.groupBy(*by).agg(F.avg("m").alias("redundancy"))
+    """Mean over the selected of their greatest likeness 1 - d / 64 to another one of the library's; none for a lone one. The nearest
+    other is among the two nearest, itself the first of them or one of equals."""
+    rows = selection.select(F.struct(*by).alias("shape"), "id", F.col("h").cast("long").alias("q"))
+    near = two_nearest(rows.withColumnRenamed("q", "h"), rows.withColumnRenamed("q", "h"), bits).drop("n")
+    other = F.min(F.when(F.col("lib_id") != F.col("id"), F.col("d")))
+    most = rows.join(near, ["shape", "q"], "left").groupBy("shape", "id").agg(F.greatest(F.lit(0.0), 1 - other / F.lit(float(bits))).alias("m"))
+    return most.groupBy("shape").agg(F.avg("m").alias("redundancy"), F.count("*").alias("n")).filter("n > 1").select("shape.*", "redundancy")
 
 
 def _top_two(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -70,13 +70,14 @@ def _top_two(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "lib_id").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(order)).filter("n <= 2")
 
 
-def two_nearest(album: DataFrame, library: DataFrame, bits: int = 64, looked: list[int] | None = None) -> DataFrame:
+def two_nearest(album: DataFrame, library: DataFrame, bits: int = 64, limit: int | None = None, looked: list[int] | None = None) -> DataFrame:
     """The two nearest library items of each distinct (shape, h) of album images: shape, q, lib_id, d, n; exact.
 
     Hashes are cut into ``PARTS`` parts and the radius grows: in round s parts are looked up that differ in s bits, after which
     all items within PARTS * (s + 1) - 1 bits have been met, and an image whose second item lies within that is done. Where a
     round would look up more parts than its shape has hashes, the image meets those hashes themselves instead. Equal hashes
-    count once, with their two smallest ids. looked: gets the number of pairs that each round compared."""
+    count once, with their two smallest ids. With a limit only items within so many bits are certain, and the radius grows no
+    further. looked: gets the number of pairs that each round compared."""
     width = math.ceil(bits / PARTS)
     cut = lambda c: F.array(*(F.struct(F.lit(k).alias("part"), F.shiftright(c, k * width).bitwiseAND(F.lit((1 << min(width, bits - k * width)) - 1)).alias("v")) for k in range(PARTS)))
     first = Window.partitionBy("shape", "h").orderBy("lib_id")
@@ -100,7 +101,7 @@ def two_nearest(album: DataFrame, library: DataFrame, bits: int = 64, looked: li
         best = materialize(best, "best")
         done = best.filter((F.col("n") == 2) & (F.col("d") <= PARTS * (s + 1) - 1)).select("shape", "q")
         open_ = materialize(many.join(done, ["shape", "q"], "left_anti"), "open")
-        if open_.isEmpty():
+        if (limit is not None and PARTS * (s + 1) - 1 >= limit) or open_.isEmpty():
             break
     return best
 
