@@ -9,8 +9,9 @@ the disclosure. It nears 1 for a term that is seen often, and only where the ent
 readable. Terms over ``generalise`` become a general word that tells the term's form, terms over ``remove`` go, wherever they
 stand in a document with the entity. Copies of one text are no evidence: they count as rows, and t is of texts.
 
-No pair is formed of a term that could not disclose anything: t texts must be enough for the threshold, and as a pair is no
-more frequent than its term, a term in n documents tells an entity in m of N no more than log(N / n) / log(N / m).
+No pair is joined of a term that could not disclose anything: t texts must be enough for the threshold, and as a pair is no
+more frequent than its term, a term in n documents tells an entity in m of N no more than log(N / n) / log(N / m). Pairs are
+counted in the tasks that hold the texts, before they are shuffled.
 
 Nulls count as empty texts. Rows with the same text get the same spans. Rows of an empty table give no rows. Ties need
 no rule, for each term is judged on its own counts. Input columns other than doc_id and text are left out.
@@ -123,24 +124,29 @@ def _told(docs: DataFrame, seen: DataFrame, generalise: float, remove: float) ->
     most = entities.agg(F.max("n_entity")).first()[0]
     if most is None:
         return None
-    of_text = materialize(of_text.join(entities, "entity"), "pii-texts")
-    texts_ = of_text.select("text_hash").distinct()
+    held = of_text.join(entities.select("entity"), "entity").groupBy("text_hash", "copies").agg(F.collect_list("entity").alias("entities"))
+    held = materialize(held, "pii-held")
+    # One row for each text that holds an entity: its entities and its words. All pairs are of these rows.
     blank = S.replaced(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
-    near = base_spans(docs.filter(_among(F.col("text_hash"), texts_))).select("text_hash", F.explode(_words(blank)).alias("term")).distinct()
-    near = near.join(texts_, "text_hash", "left_semi")
+    some = base_spans(docs.filter(_among(F.col("text_hash"), held.select("text_hash")))).select("text_hash", _words(blank).alias("terms"))
+    near = materialize(some.dropDuplicates(["text_hash"]).join(held, "text_hash"), "pii-near")
     # In enough of these texts, and in so few documents that the term could tell the most frequent entity.
-    shared = materialize(near.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("term"), "pii-shared")
+    shared = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+    shared = materialize(shared.select("term"), "pii-shared")
     rare = math.exp(math.log(total) - generalise * (math.log(total) - math.log(most))) * (1 + 1e-9)
     each = docs.select(F.explode(_words(F.col("text"))).alias("term"))
     n_term = each.filter(_among(F.col("term"), shared)).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") <= rare)
     n_term = materialize(n_term.join(shared, "term", "left_semi"), "pii-terms")
+    # Counted by pair before the shuffle: texts have few entities in common.
+    pairs = near.select("copies", "entities", F.explode("terms").alias("term")).filter(_among(F.col("term"), n_term.select("term")))
+    pairs = pairs.select("copies", "term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
+    pairs = pairs.filter(F.col("texts") >= least).join(n_term, "term").join(entities, "entity")
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    could = F.log2(F.lit(float(total)) / F.greatest("n_term", "n_entity")) >= own * generalise - 1e-9
-    both = materialize(near.join(n_term, "term").join(of_text, "text_hash").filter(could), "pii-pairs")
-    pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
     disclosure = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / own * F.pow(F.col("texts") / (F.col("texts") + 1), 2)
     told = pairs.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise - 1e-9).select("entity", "term", (F.col("disclosure") >= remove - 1e-9).alias("gone"))
-    marked = both.join(told, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("gone").alias("gone"))
+    told = materialize(told, "pii-pairs")
+    marked = near.select("text_hash", "entities", F.explode("terms").alias("term")).filter(_among(F.col("term"), told.select("term").distinct()))
+    marked = marked.select("text_hash", "term", F.explode("entities").alias("entity")).join(told, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("gone").alias("gone"))
     of = lambda gone: F.collect_list(F.when(F.col("gone") == gone, F.col("term")))
     return materialize(marked.groupBy("text_hash").agg(of(True).alias("gone"), of(False).alias("general")), "pii-told")
 
