@@ -149,15 +149,15 @@ def work_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some(catalog.missing_faces(p, "m1"), "faces").unionByName(some(catalog.missing_quality(p), "quality"))
 
 
-LOG = """l AS (SELECT o_custkey AS library_id, o_orderkey AS id, o_orderkey AS content_hash, o_orderkey - 1 AS other_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'ta_bort' ELSE 'bytt' END AS action FROM orders WHERE o_orderkey % 2 = 0)"""
+LOG = """l AS (SELECT o_custkey AS library_id, o_orderkey AS id, o_orderkey AS content_hash, o_orderkey - 1 AS other_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'ta_bort' ELSE 'bytt' END AS action FROM orders)"""
 
 
-@query(f"""WITH {LOG}, p AS (SELECT o_custkey AS library_id, o_orderkey AS h, (o_orderkey % 100) / 100.0::DOUBLE AS q FROM orders WHERE o_orderkey % 5 > 0)
+@query(f"""WITH {LOG}, p AS (SELECT o_custkey AS library_id, o_orderkey AS h, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100) / 100.0::DOUBLE END AS q FROM orders)
 SELECT id, CASE WHEN action <> 'ta_bort' THEN a.q END AS added, CASE WHEN action = 'ta_bort' THEN a.q ELSE b.q END AS removed FROM l LEFT JOIN p a ON a.library_id = l.library_id AND a.h = content_hash LEFT JOIN p b ON b.library_id = l.library_id AND b.h = other_hash""")
 def feedback_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    log = src.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("library_id"), k.alias("id"), k.alias("content_hash"), (k - 1).alias("other_hash"), F.when(k % 3 == 0, "ta_bort").otherwise("bytt").alias("action"))
-    out = catalog.feedback_with_photos(log, _photos(spark, sf_dir).filter("content_hash % 5 > 0"))
+    log = src.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("library_id"), k.alias("id"), k.alias("content_hash"), (k - 1).alias("other_hash"), F.when(k % 3 == 0, "ta_bort").otherwise("bytt").alias("action"))
+    out = catalog.feedback_with_photos(log, _photos(spark, sf_dir))
     return out.select("id", F.col("added.q_sharp").alias("added"), F.col("removed.q_sharp").alias("removed"))
 
 
@@ -185,11 +185,11 @@ def usable_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(fine, "event_id", "left").select("event_id", F.col("h").isNotNull().alias("candidate"), F.coalesce("usable", F.lit(False)).alias("usable"))
 
 
-@query("""WITH p AS (SELECT 'a' AS library_id, event_id AS id, (event_id * 2654435761) % 1048576 AS h, CASE WHEN event_id % 3 > 0 THEN epoch_us(ts) // 1000000 // 10000000 END AS x FROM events WHERE event_id % 9 > 0), d AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS d, abs(a.x - b.x) AS s FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4)
+@query("""WITH p AS (SELECT 'a' AS library_id, event_id AS id, CASE WHEN event_id % 9 > 0 THEN (event_id * 2654435761) % 1048576 END AS h, CASE WHEN event_id % 3 > 0 THEN epoch_us(ts) // 1000000 // 10000000 END AS x FROM events), d AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS d, abs(a.x - b.x) AS s FROM p a JOIN p b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4)
 SELECT a, b FROM d WHERE CASE WHEN s IS NULL THEN d <= 3 ELSE d <= 4 AND s <= 2 END""")
 def photo_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    p = src.timeline(spark, sf_dir).filter("event_id % 9 > 0").select(F.lit("a").alias("library_id"), k.alias("id"), (k * 2654435761 % 1048576).alias("phash"), F.when(k % 3 > 0, F.floor(F.col("t") / 10_000_000)).alias("exif_t"))
+    p = src.timeline(spark, sf_dir).select(F.lit("a").alias("library_id"), k.alias("id"), F.when(k % 9 > 0, k * 2654435761 % 1048576).alias("phash"), F.when(k % 3 > 0, F.floor(F.col("t") / 10_000_000)).alias("exif_t"))
     return dedup.photo_duplicates(p, 4, 2, 3).select("a", "b")
 
 
@@ -511,10 +511,10 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, round((0.5 * value + 0.3 * 10 + 0.4 * 20) / 1.2, 6)::DOUBLE AS quality FROM events WHERE value IS NOT NULL""")
+@query("""SELECT event_id, round((0.5 * value + 0.3 * 10 + 0.4 * 20) / 1.2, 6)::DOUBLE AS quality FROM events""")
 def learned_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = f.learned_quality(F.lit(0.5), F.lit(0.3), F.lit(0.4), F.col("value"), F.lit(10.0), F.lit(20.0))
-    return src.table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.round(q, 6).alias("quality"))
+    return src.table(spark, sf_dir, "events").select("event_id", F.round(q, 6).alias("quality"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS k, min(o_orderdate) AS a, max(o_orderdate) AS b, list(o_orderpriority ORDER BY o_orderkey) AS names FROM orders GROUP BY 1)

@@ -224,9 +224,9 @@ def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog_summary(src.table(spark, sf_dir, "documents"), "text", {"english": F.col("lang") == "en", "short": F.col("n_chars") < 500})
 
 
-@query("SELECT sha256(text) AS content, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS content, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.table(spark, sf_dir, "documents").filter("text is not null")
+    docs = src.table(spark, sf_dir, "documents")
     return docs.groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
@@ -296,9 +296,9 @@ def first_file_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(orders, "l_orderkey")
 
 
-@query("SELECT md5(text) AS content, array_to_string(list_sort(list(DISTINCT source)), ',') AS kinds, count(*) AS files FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT md5(text) AS content, array_to_string(list_sort(list(DISTINCT source)), ',') AS kinds, count(*) AS files FROM documents GROUP BY 1")
 def sources_per_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = src.table(spark, sf_dir, "documents").filter("text is not null")
+    docs = src.table(spark, sf_dir, "documents")
     return catalog.sources_per_content(docs, F.md5("text"), "source").withColumn("kinds", F.array_join("kinds", ","))
 
 
