@@ -43,6 +43,8 @@ MASS = 32.0
 #: Words that a task counts, tokens whose n-grams it holds, n-grams that meet in a section, and hashes probed together.
 MOST_COUNTED, MOST_HELD, SECTION_ROWS, PROBED_AT_ONCE = 400_000, 1_000_000, 500_000, 1 << 16
 MOST_WORDS = 100_000
+#: At most two to the power of so many sections, 16 bytes each in what is broadcast; from 5 * 10 ** 11 n-grams on sections get longer.
+MOST_SECTIONS = 20
 _A, _B, _C = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -297,7 +299,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     total = totals[0] or 0
     top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
     words = Words({t: i for i, t in enumerate(top["token"].to_pylist())}, top["c"].to_numpy().astype(np.float64), total, totals[1])
-    bits = max(4, (2 * total // SECTION_ROWS).bit_length())
+    bits = min(MOST_SECTIONS, max(4, (2 * total // SECTION_ROWS).bit_length()))
     table = _ngrams(train, bits)
     found, least = _filter(table, bits)
     return Model(words, found, bits, least), counts, table
