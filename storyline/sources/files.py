@@ -57,11 +57,27 @@ def scanned(listing: DataFrame, root: str) -> DataFrame:
     return rows.select("rel_path", F.when(F.col("_t").isNotNull(), 0).otherwise(F.col("size")).cast("long").alias("size"), "modified", F.when(F.col("_t").isNotNull(), "cloud_only").otherwise("local").alias("status"))
 
 
+def cloud_stubs(spark: SparkSession, root: str) -> DataFrame:
+    """Path, length and modificationTime of the .name.icloud stubs below a folder. Spark's readers pass over names that start with a
+    dot, so these are asked of the file system, level by level, and only the stubs come to the driver."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    system, found, level = top.getFileSystem(spark._jsc.hadoopConfiguration()), [], root.rstrip("/")
+    while True:
+        for s in system.globStatus(hadoop.Path(f"{level}/.*.icloud")) or []:
+            if s.isFile():
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        level += "/*"
+        if not len(system.globStatus(hadoop.Path(level)) or []):
+            break
+    rows = spark.createDataFrame(found, "path string, length long, ms long")
+    return rows.select("path", "length", F.timestamp_millis("ms").alias("modificationTime"))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder, metadata only: the content column is never read. Spark's readers pass over names that start with a
-    dot, so cloud stubs need a listing of another kind, which goes to scanned()."""
+    """Files below a folder and stubs of files in a cloud, metadata only: the content column is never read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    return scanned(listing, root)
+    return scanned(listing.unionByName(cloud_stubs(spark, root)), root)
 
 
 def covered_suggestions(candidates: DataFrame) -> DataFrame:

@@ -250,11 +250,11 @@ def test_names_of_files(spark):
 
 
 def test_scan(spark, tmp_path):
-    for name in ("a/x.jpg", "b/z.txt", "c.png"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    for name in ("a/x.jpg", "b/z.txt", "c.png", "a/b/.y.HEIC.icloud", "a/.z.txt.icloud", ".hidden/.w.jpg.icloud", ".v.jpg.icloud"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_bytes(b"1234")
     got = {r.rel_path: (r.size, r.status) for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"a/x.jpg": (4, "local"), "c.png": (4, "local")}
+    assert got == {"a/x.jpg": (4, "local"), "c.png": (4, "local"), "a/b/y.HEIC": (0, "cloud_only"), "v.jpg": (0, "cloud_only")}
     listed = spark.createDataFrame([("file:/r/a/.y.jpg.icloud", 9, datetime(2020, 1, 1)), ("file:/r/.z/y.jpg", 9, datetime(2020, 1, 1))], "path string, length long, modificationTime timestamp")
     assert [(r.rel_path, r.size, r.status) for r in files.scanned(listed, "/r").collect()] == [("a/y.jpg", 0, "cloud_only")]
 
