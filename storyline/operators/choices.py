@@ -187,37 +187,34 @@ def fold_choices(log: DataFrame, by: list[str]) -> DataFrame:
 
 class _Keeper(StatefulProcessor):
     """A library's album, and the commands that wait until the watermark has passed them: only then is it certain that none before
-    them is still to come. A timer at each waiting time applies them in order and tells the album as it is then."""
+    them is still to come. A timer just after the first of them then applies all that are due, in order, and tells the album."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.album = handle.getValueState("album", "saved string, version long")
-        self.waiting = handle.getMapState("waiting", "t long, id long, n long", "command string")
+        self.waiting = handle.getListState("waiting", "t long, id long, command string")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
-        times = set()
-        for part in rows:
-            for t, i, c in zip(part["ms"], part["id"], _commands(part), strict=True):
-                at = (int(t), int(i), 0)
-                while self.waiting.containsKey(at):  # a repeated row is a repeated command
-                    at = (at[0], at[1], at[2] + 1)
-                self.waiting.updateValue(at, (json.dumps(c),))
-                times.add(int(t))
-        known = {t for t in self.handle.listTimers()}
-        for t in times - known:
-            self.handle.registerTimer(t)
+        new = [(int(t), int(i), json.dumps(c)) for part in rows for t, i, c in zip(part["ms"], part["id"], _commands(part), strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(t for t, _, _ in new) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator() if k[0] <= until)
+        # Rows still to come are later than the watermark.
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        due, rest = sorted(x for x in held if x[0] < now), [x for x in held if x[0] >= now]
+        if rest:
+            self.handle.registerTimer(min(t for t, _, _ in rest) + 1)
         if not due:
             return
+        self.waiting.put(rest) if rest else self.waiting.clear()
         saved, version = self.album.get() if self.album.exists() else (None, 0)
         album = Album(saved)
-        for at, c in due:
+        for _, _, c in due:
             album.apply(json.loads(c))
-            self.waiting.removeKey(at)
         self.album.update((album.saved(), version + len(due)))
         yield _table(album.rows() or [("empty", None, None, None, None, None)], library=key[0], version=version + len(due))[["library", "version", *(c.split()[0] for c in ROWS.split(", "))]]
 

@@ -162,5 +162,11 @@ def streamed_choices(spark: SparkSession, log: DataFrame, files: int = 8, late:
     end = spark.range(1).select(F.lit(-1).cast("long").alias("library"), F.lit("2199-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("id"), F.lit("end").alias("type"))
     log.limit(0).unionByName(end, allowMissingColumns=True).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
-    run_to_end(choices.choice_stream(stream, "library", late), f"{folder}/out", f"{folder}/state")
+    # State is kept in as many parts as the stream starts with; more than cores do no good to one run to its end.
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), spark.sparkContext.defaultParallelism)))
+    try:
+        run_to_end(choices.choice_stream(stream, "library", late), f"{folder}/out", f"{folder}/state")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     return choices.latest_choices(spark.read.parquet(f"{folder}/out")).filter("library >= 0")
