@@ -12,7 +12,7 @@ rounds: the least link out of each component is a grouped minimum over the links
 cannot vouch for it search again, up to the least link known. The tree is built from below over ranges of at most ``EDGES``
 links: within a range components are independent, so each is a group of its own. No step takes all rows to one task.
 
-Distances are squared and rounded to nine places; links as far as one another join at once, so ties need no rule. Null
+Rows that are no more than a block are one task's matrix. Distances are squared and rounded to nine places; links as far as one another join at once, so ties need no rule. Null
 vectors, zeros, and vectors with a component that is null or not finite take no part and are noise.
 """
 
@@ -63,6 +63,7 @@ class _Space:
         placed = materialize(rows.mapInPandas(home, "id long, u array<double>, cell long, far double"), "placed")
         cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
         self.cells = {r.cell: (math.ceil(r.n / BLOCK), r.far) for r in cells}
+        self.size = sum(r.n for r in cells)
         chunks = F.create_map(*(F.lit(v).cast("long") for c, (n, _) in self.cells.items() for v in (c, n))) if cells else F.create_map(F.lit(0).cast("long"), F.lit(1).cast("long"))
         block = F.col("cell") * 65_536 + F.pmod(F.xxhash64("id"), F.element_at(chunks, F.col("cell")))
         self.rows = placed.select("id", "u", block.alias("block"))
@@ -108,8 +109,39 @@ def _neighbours(space: _Space, keep: int, reach: float) -> DataFrame:
     return materialize(found.withColumn("n", nth).filter(F.col("n") <= keep), "neighbours")
 
 
+def _forest_of_a_block(space: _Space, core: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """spanning_forest() of rows that are no more than a block: one task's matrix, grown from row to row."""
+
+    def grow(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id", kind="stable")
+        ids, d = p["id"].to_numpy(), _apart(_matrix(p["u"]), _matrix(p["u"]))
+        np.fill_diagonal(d, np.inf)
+        cores = np.partition(d, core - 1, axis=1)[:, core - 1] if len(ids) > core else np.full(len(ids), np.inf)
+        fit = cores <= reach
+        ids, cores, w = ids[fit], cores[fit], d[fit][:, fit]
+        w = np.maximum(np.maximum(w, cores[:, None]), cores[None, :])
+        w[w > reach] = np.inf
+        left, to, open_, out = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.ones(len(ids), bool), []
+        while open_.any():
+            k = int(np.argmin(np.where(open_, left, np.inf)))
+            if not open_[k] or not np.isfinite(left[k]):
+                k = int(np.argmax(open_))
+                out.append((ids[k], -1.0, ids[k]))
+            else:
+                out.append((ids[k], left[k], ids[to[k]]))
+            open_[k] = False
+            nearer = w[k] < left
+            left, to = np.where(nearer, w[k], left), np.where(nearer, k, to)
+        return pd.DataFrame(out, columns=["id", "w", "other"])
+
+    grown = materialize(space.rows.select("id", "u", F.lit(0).alias("block")).groupBy("block").applyInPandas(lambda p: grow(p), "id long, w double, other long"), "forest")
+    return grown.filter("w >= 0").select("w", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), grown.select("id")
+
+
 def spanning_forest(space: _Space, core: int, reach: float, keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
     """Links (w, a, b) of the minimum spanning forest, and the ids that have ``core`` neighbours within reach."""
+    if space.size <= BLOCK:
+        return _forest_of_a_block(space, core, reach)
     keep = max(keep, core)
     lists = _neighbours(space, keep, reach)
     cores = materialize(lists.filter(F.col("n") == core).select("id", F.col("d").alias("core")), "cores")

@@ -96,7 +96,7 @@ def clustered(seed, n):
     return out | {3001: None, 3002: [0.0] * 12, 3003: [float("nan")] * 12, 3004: [None] * 12}
 
 
-@pytest.mark.parametrize(("n", "block", "keep", "at_once"), [(80, 20, 3, 40)])
+@pytest.mark.parametrize(("n", "block", "keep", "at_once"), [(80, 20, 3, 40), (90, 2048, 16, 50_000)])
 def test_density_clusters_equal_plain_ones(spark, monkeypatch, n, block, keep, at_once):
     monkeypatch.setattr(density, "BLOCK", block)
     monkeypatch.setattr(density.spanning_forest, "__defaults__", (keep,))
