@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.scalar import hamming
+from storyline.operators.hashes import two_nearest_of_all
 from storyline.shared import materialize
 
 SAME_MOMENT, SAME_BITS = 20, 10
 SURE, MAYBE = 8, 14
 PARTS = 4
+#: An image looks hashes up by parts where these are at most 1 / FEW of its shape, and at most FEW.
+FEW = 64
 
 
 def covered(items: DataFrame, others: DataFrame, bits: int = 64) -> DataFrame:
@@ -73,11 +75,10 @@ def _top_two(rows: DataFrame, by: list[str]) -> DataFrame:
 def two_nearest(album: DataFrame, library: DataFrame, bits: int = 64, limit: int | None = None, looked: list[int] | None = None) -> DataFrame:
     """The two nearest library items of each distinct (shape, h) of album images: shape, q, lib_id, d, n; exact.
 
-    Hashes are cut into ``PARTS`` parts and the radius grows: in round s parts are looked up that differ in s bits, after which
-    all items within PARTS * (s + 1) - 1 bits have been met, and an image whose second item lies within that is done. Where a
-    round would look up more parts than its shape has hashes, the image meets those hashes themselves instead. Equal hashes
-    count once, with their two smallest ids. With a limit only items within so many bits are certain, and the radius grows no
-    further. looked: gets the number of pairs that each round compared."""
+    Hashes are cut into ``PARTS`` parts. An image whose parts few hashes share meets those; if its second item lies within PARTS - 1
+    bits, all others are farther. All other images meet their whole shape, in blocks whose bits are counted in tasks: with hashes as
+    long as these a larger radius looks up more parts than that costs. Equal hashes count once, with their two smallest ids. With a
+    limit only items within so many bits are certain. looked: gets the number of pairs that each way compared."""
     width = math.ceil(bits / PARTS)
     cut = lambda c: F.array(*(F.struct(F.lit(k).alias("part"), F.shiftright(c, k * width).bitwiseAND(F.lit((1 << min(width, bits - k * width)) - 1)).alias("v")) for k in range(PARTS)))
     first = Window.partitionBy("shape", "h").orderBy("lib_id")
@@ -87,23 +88,18 @@ def two_nearest(album: DataFrame, library: DataFrame, bits: int = 64, limit: int
     parts = materialize(hashes.select("shape", "h", F.inline(cut(F.col("h")))), "parts")
     open_ = album.filter("h is not null").select("shape", F.col("h").cast("long").alias("q")).distinct()
     open_ = materialize(open_.join(hashes.groupBy("shape").agg(F.count("*").alias("size")), "shape"), "open")
-    best: DataFrame | None = None
-    for s in range(width + 1):
-        masks = [sum(1 << k for k in bits_) for bits_ in combinations(range(width), s)]
-        few, many = open_.filter(F.col("size") <= PARTS * len(masks)), open_.filter(F.col("size") > PARTS * len(masks))
-        asked = many.select("shape", "q", F.inline(cut(F.col("q")))).select("shape", "q", "part", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-        met = asked.join(parts, ["shape", "part", "v"]).select("shape", "q", "h").unionByName(few.join(hashes, "shape").select("shape", "q", "h"))
-        met = materialize(met.withColumn("d", hamming("q", "h")), "met")
-        if looked is not None:
-            looked.append(met.count())
-        near = _top_two(met.join(items, ["shape", "h"]), ["shape", "q"])
-        best = near if best is None else _top_two(best.unionByName(near), ["shape", "q"])
-        best = materialize(best, "best")
-        done = best.filter((F.col("n") == 2) & (F.col("d") <= PARTS * (s + 1) - 1)).select("shape", "q")
-        open_ = materialize(many.join(done, ["shape", "q"], "left_anti"), "open")
-        if (limit is not None and PARTS * (s + 1) - 1 >= limit) or open_.isEmpty():
-            break
-    return best
+    asked = open_.filter(F.col("size") > PARTS * FEW).select("shape", "q", "size", F.inline(cut(F.col("q"))))
+    shared = parts.groupBy("shape", "part", "v").agg(F.count("*").alias("_m"))
+    rare = asked.join(shared, ["shape", "part", "v"]).groupBy("shape", "q", "size").agg(F.sum("_m").alias("_m")).filter(F.col("_m") * FEW <= F.least("size", F.lit(FEW * FEW)))
+    met = asked.join(rare.select("shape", "q"), ["shape", "q"], "left_semi").join(parts, ["shape", "part", "v"]).select("shape", "q", "h")
+    met = materialize(met.withColumn("d", hamming("q", "h")), "met")
+    near = materialize(_top_two(met.join(items, ["shape", "h"]), ["shape", "q"]), "best")
+    done = near.filter((F.col("n") == 2) & (F.col("d") <= PARTS - 1)).select("shape", "q")
+    open_ = materialize(open_.join(done, ["shape", "q"], "left_anti"), "open")
+    if looked is not None:
+        looked.extend((met.count(), open_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
+    rest = _top_two(two_nearest_of_all(open_.select("shape", "q"), items, "shape", limit), ["shape", "q"])
+    return near.join(done, ["shape", "q"], "left_semi").unionByName(materialize(rest, "best"))
 
 
 def album_match(album: DataFrame, library: DataFrame, bits: int = 64) -> DataFrame:
