@@ -1,51 +1,57 @@
-"""The nearest named place of each photo, by a grid whose cells double."""
+"""The nearest named place of each photo, by a tree of cells."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyline.functions.scalar import haversine_km
 from storyline.shared import materialize
 
-RADIUS, FINEST, MOST = 6371.0, 20, 64
+RADIUS, COARSEST, FINEST, STEP, MOST = 6371.0, 4, 24, 2, 16
 
 
 def nearest_place(photos: DataFrame, key: str, places: DataFrame, most: int = MOST, looked: list[int] | None = None) -> DataFrame:
     """key, place and km (six places) of the nearest of all places, the smallest id among equals; null without coordinates or places.
 
-    The earth is cut into cells of 360 / 2^k degrees. A photo looks at the places of its cell and the eight around it; what lies
-    elsewhere is at least a cell away, by latitude or along the sphere by longitude, so a place nearer than that is the nearest
-    of all. The others look again in cells twice as large. The first cells are the largest that hold at most ``most`` places each,
-    so a town with very many of them is many cells. Places at the same point are one, with the smallest id.
-    places: id, lat, lon. looked: gets the number of pairs of each round."""
-    cell = lambda c, k, shift: F.floor((F.col(c) + shift) * (2**k / 360)).cast("long")
+    The earth is cut into cells of 360 / 2^k degrees, k from 4 to 24. A cell stands for its places by one of them and the greatest
+    distance of that one to the others. A photo keeps the cells that by the triangle inequality may hold a place as near as the
+    nearest of those it has met, and goes on to the cells in these, until they hold at most ``most`` places, which it meets. Places
+    at the same point are one, with the smallest id. places: id, lat, lon. looked: gets the number of pairs of each round."""
+    cell = lambda c, shift: F.floor((F.col(c) + shift) * (2**FINEST / 360)).cast("long")
     fit = lambda a, b: f"abs({a}) <= 90 and abs({b}) <= 180"
-    spots = materialize(places.filter(fit("lat", "lon")).groupBy("lat", "lon").agg(F.min("id").alias("place")), "places")
-    k = FINEST
-    counts = materialize(spots.groupBy(cell("lon", k, 180).alias("x"), cell("lat", k, 90).alias("y")).agg(F.count("*").alias("n")), "cells")
-    fullest = [(0 if (r := counts.groupBy(F.shiftright("x", j), F.shiftright("y", j)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]) is None else r) for j in range(0, FINEST, 2)]
-    k -= max((2 * j for j, n in enumerate(fullest) if n <= most), default=0)
-    open_ = materialize(photos.filter(fit("lat", "lon")).select(key, "lat", "lon"), "photos")
-    found: DataFrame | None = None
-    while True:
-        size = 360 / 2**k
-        around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-        asked = open_.withColumn("d", F.explode(around)).withColumn("x", F.pmod(cell("lon", k, 180) + F.col("d.dx"), F.lit(2**k))).withColumn("y", cell("lat", k, 90) + F.col("d.dy")).drop("d")
-        # With two cells around the earth or one, left and right are the same cell.
-        asked = asked.distinct() if k <= 1 else asked
-        there = spots.select("place", F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.pmod(cell("lon", k, 180), F.lit(2**k)).alias("x"), cell("lat", k, 90).alias("y"))
-        pairs = asked.join(there, ["x", "y"]).withColumn("km", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 6))
-        best = materialize(pairs.groupBy(key, "lat", "lon").agg(F.min(F.struct("km", "place")).alias("b"), F.count("*").alias("n")), "nearest")
+    km = lambda a, b, c, d: haversine_km(*map(F.col, (a, b, c, d)))
+    # Opposite points may come out as no number.
+    apart = lambda *c: F.nanvl(km(*c), F.lit(math.pi * RADIUS))
+    at = lambda c, k: F.shiftright(c, FINEST - k)
+    spots = places.filter(fit("lat", "lon")).groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(F.min("id").alias("place"))
+    spots = materialize(spots.withColumn("px", cell("plon", 180)).withColumn("py", cell("plat", 90)), "places")
+
+    def cells(k: int) -> DataFrame:
+        """Cells with their place, n, the greatest distance ``wide``, and the cell above."""
+        here = spots.withColumn("x", at("px", k)).withColumn("y", at("py", k))
+        lead = here.groupBy("x", "y").agg(F.min(F.struct("place", F.col("plat").alias("clat"), F.col("plon").alias("clon"))).alias("c")).select("x", "y", "c.clat", "c.clon")
+        wide = here.join(lead, ["x", "y"]).groupBy("x", "y", "clat", "clon").agg(F.max(apart("clat", "clon", "plat", "plon")).alias("wide"), F.count("*").alias("n"))
+        return wide.withColumn("ux", F.shiftright("x", STEP)).withColumn("uy", F.shiftright("y", STEP))
+
+    held = photos.filter(fit("lat", "lon")).select(key, "lat", "lon").repartition(key)
+    asked = held.crossJoin(F.broadcast(cells(COARSEST).drop("ux", "uy"))).withColumn("near", F.lit(math.inf))
+    best: DataFrame | None = None
+    for k in range(COARSEST, FINEST + 1, STEP):
+        met = asked.withColumn("d", apart("lat", "lon", "clat", "clon"))
+        met = met.withColumn("near", F.min(F.least("near", "d")).over(Window.partitionBy(key)))
+        kept = materialize(met.filter(F.col("d") - F.col("wide") <= F.col("near") + 1e-5).select(key, "lat", "lon", "x", "y", "n", "near"), "cells")
+        small = F.col("n") <= most if k < FINEST else F.lit(True)
+        pairs = kept.filter(small).join(spots.withColumn("x", at("px", k)).withColumn("y", at("py", k)), ["x", "y"])
+        found = pairs.groupBy(key).agg(F.min(F.struct(F.round(km("lat", "lon", "plat", "plon"), 6).alias("km"), "place")).alias("b"), F.count("*").alias("_n"))
+        found = materialize(found, "nearest")
         if looked is not None:
-            looked.append(best.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        far = F.least(F.lit(math.radians(size)), F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(size, 90))))) * RADIUS
-        sure = best.filter((F.col("b.km") < far - 1e-5) | F.lit(k <= 1)).select(key, "b.place", "b.km")
-        found = sure if found is None else found.unionByName(sure)
-        open_ = materialize(open_.join(sure.select(key), key, "left_anti"), "photos")
-        if k <= 1 or open_.isEmpty():
+            looked.append(kept.count() + found.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+        best = found if best is None else best.unionByName(found)
+        open_ = kept.filter(~small).select(key, "lat", "lon", F.col("x").alias("ux"), F.col("y").alias("uy"), "near")
+        if k == FINEST or open_.isEmpty():
             break
-        k -= 1
-    return photos.select(key).join(found, key, "left")
+        asked = open_.join(cells(k + STEP), ["ux", "uy"]).drop("ux", "uy")
+    return photos.select(key).join(best.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.place", "b.km"), key, "left")
