@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from storyline.functions.scalar import normalised
 from storyline.operators import choices, density, places, series, submodular, timeline
 from storyline.plans.queries import query
-from storyline.shared import shared_dir
+from storyline.shared import shared_dir, spread
 from storyline.sources import tables as src
 from storyline.streaming.events import run_to_end
 
@@ -56,7 +56,7 @@ def nearest_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the unit vector of what they show."""
     vectors = src.table(spark, sf_dir, "embeddings").select("vec_id", normalised("embedding").alias("unit"))
-    e = src.timeline(spark, sf_dir).withColumn("vec_id", F.col("event_id") % F.lit(vectors.count()))
+    e = spread(src.timeline(spark, sf_dir)).withColumn("vec_id", F.col("event_id") % F.lit(vectors.count()))
     return e.join(vectors, "vec_id", "left")
 
 

@@ -265,6 +265,24 @@ def test_series_of_lone_photos_and_ties(spark):
     assert picks == {(1, 0): 2, (1, 1): 8, (1, 2): 3, (4, 0): 4, (5, 0): 5, (6, 0): 6, (7, 0): 7}
 
 
+def test_series_of_full_cells_write_chains_and_not_pairs(spark, monkeypatch):
+    """Parts of three photos that all meet, keys that are text, and a moment in which all are alike: what is written grows with the photos."""
+    monkeypatch.setattr(series, "SIDE", 3)
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i}", "ab"[i % 2], int(rng.integers(0, 400)), (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(90, 3)))]
+    rows += [(f"m{i}", "c", 7, [1.0, 0.0, 0.0]) for i in range(60)] + [("n", None, 7, [1.0, 0.0, 0.0]), ("o", "c", 7, [1.0, None, 0.0]), ("p", "c", 7, [1.0])]
+    made = []
+    monkeypatch.setattr(series, "materialize", lambda df, name: made.append(kept := df.cache()) or kept)
+    got = {r.k: r.series for r in series.like_series(spark.createDataFrame(rows, "k string, l string, t long, u array<double>"), ["l"], "k", "t", "u", 20, 0.8).collect()}
+    want = {k: k for k, *_ in rows}
+    links = [(a[0], b[0]) for a in rows for b in rows if a[1] is not None and a[1] == b[1] and abs(a[2] - b[2]) <= 20 and len(a[3]) == len(b[3]) and None not in a[3] + b[3] and round(float(np.dot(a[3], b[3])), 6) >= 0.8]
+    for _ in rows:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert made[0].filter("k like 'm%'").count() <= 60 * 60 / 3 * 2
+
+
 # ---- album choices
 
 
