@@ -75,23 +75,28 @@ def coverage_repair(rows: DataFrame, wants: DataFrame, by: list[str], key: str)
     def fold(key_: tuple, held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values(["t", key]).reset_index(drop=True)
         included, added = held["included"].to_list(), [False] * len(held)
+        grp, usable, quality = (held[c].to_list() for c in ("grp", "usable", "quality"))
         faces: dict[int, dict[int, float]] = {}
         for i, ps in enumerate(held["persons"]):
-            for p in ps if ps is not None else []:
+            for p in ps:
                 faces.setdefault(p["person"], {})[i] = p["score"]
-        for w in wanted.sort_values("person").itertuples():
-            own = faces.get(w.person, {})
-            while sum(included[i] for i in own) < w.want:
-                shown = {held.at[i, "grp"] for i in own if included[i]}
-                free = [i for i in own if not included[i] and held.at[i, "usable"]]
-                if not free:
-                    break
-                best = max(free, key=lambda i: (held.at[i, "grp"] not in shown, own[i], held.at[i, "quality"], -i))
+        for person, want in wanted.sort_values("person")[["person", "want"]].itertuples(index=False):
+            own = faces.get(person, {})
+            shown = [grp[i] for i in own if included[i]]
+            free = [i for i in own if not included[i] and usable[i]]
+            while len(shown) < want and free:
+                best = max(free, key=lambda i: (grp[i] not in shown, own[i], quality[i], -i))
                 included[best] = added[best] = True
+                shown.append(grp[best])
+                free.remove(best)
         return held.assign(added=added).loc[lambda d: d["added"], [*by, key]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, key).schema)
-    return rows.groupBy(*by).cogroup(wants.groupBy(*by)).applyInPandas(fold, schema)
+    # A photo that shows nobody, or is neither in nor usable, changes nothing, so it is not sent.
+    shows = rows.filter((F.size("persons") > 0) & (F.col("included") | F.col("usable"))).select(*dict.fromkeys([*by, key, "t", "grp", "quality", "usable", "included", "persons"]))
+    # As many parts as shuffles have, whatever their bytes: the work is the folds.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shows.repartition(parts, *by).groupBy(*by).cogroup(wants.repartition(parts, *by).groupBy(*by)).applyInPandas(fold, schema)
 
 
 def apply_choices(draft: DataFrame, patches: DataFrame, by: list[str], key: str) -> DataFrame:
