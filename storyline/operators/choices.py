@@ -18,6 +18,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -154,16 +155,17 @@ class Album:
 def _command(values: tuple) -> dict:
     """A command of plain values, of a row of pandas columns in the order of FIELDS."""
     c = dict(zip(FIELDS, values, strict=True))
-    c["photos"] = [] if c["photos"] is None else [int(p) for p in c["photos"]]
+    # NaN is not equal to itself: a test for null that costs no call for each value of the log.
+    c["photos"] = [] if c["photos"] is None else list(map(int, c["photos"]))
     for k in ("photo", "n", "x", "y"):
-        c[k] = None if pd.isna(c[k]) else int(c[k])
+        c[k] = None if (v := c[k]) is None or v != v else int(v)
     for k in ("on", "whole"):
-        c[k] = c[k] is not None and not pd.isna(c[k]) and bool(c[k])
+        c[k] = (v := c[k]) is not None and v == v and bool(v)
     return c
 
 
 def _commands(held: pd.DataFrame) -> Iterator[dict]:
-    return map(_command, zip(*(held[k] for k in FIELDS), strict=True))
+    return map(_command, zip(*(held[k].tolist() for k in FIELDS), strict=True))
 
 
 def _table(rows: list[tuple], **more: object) -> pd.DataFrame:
@@ -173,16 +175,33 @@ def _table(rows: list[tuple], **more: object) -> pd.DataFrame:
 
 
 def fold_choices(log: DataFrame, by: list[str]) -> DataFrame:
-    """M9: the rows of each library's album after its whole log. log: by, t, id and the columns of a command."""
-
-    def fold(held: pd.DataFrame) -> pd.DataFrame:
-        album = Album()
-        for c in _commands(held.sort_values(["t", "id"], kind="stable")):
-            album.apply(c)
-        return _table(album.rows(), **{c: held[c].iloc[0] for c in by})[[*by, *(c.split()[0] for c in ROWS.split(", "))]]
-
+    """M9: the rows of each library's album after its whole log. log: by, t, id and the columns of a command. The libraries of a part are
+    one sorted stream: a library costs no call of its own, and its log is as long as it likes, for a task holds one batch and one album."""
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    rows = log.select(*by, "t", "id", *FIELDS).repartition(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    rows = rows.sortWithinPartitions(*by, F.asc_nulls_last("t"), F.asc_nulls_last("id")).select(*by, *FIELDS)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.select(*by).schema)
-    return log.groupBy(*by).applyInPandas(fold, f"{schema}, {ROWS}")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*by, *names])
+
+        now, album, kinds = None, None, []
+        for batch in batches:
+            kinds = [*(batch.schema.field(c).type for c in by), pa.string(), *[pa.int64()] * (len(names) - 1)]
+            done: list[tuple] = []
+            keys = zip(*(batch.column(c).to_pylist() for c in by), strict=True)
+            for key, values in zip(keys, zip(*(batch.column(c).to_pylist() for c in FIELDS), strict=True), strict=True):
+                if album is None or key != now:
+                    done += [] if album is None else [(*now, *r) for r in album.rows()]
+                    now, album = key, Album()
+                album.apply(_command(values))
+            yield told(done)
+        if album is not None:
+            yield told([(*now, *r) for r in album.rows()])
+
+    return rows.mapInArrow(fold, f"{schema}, {ROWS}")
 
 
 class _Keeper(StatefulProcessor):

@@ -344,3 +344,18 @@ def test_page_policy_of_decisions(spark):
     df = spark.createDataFrame(rows, "d string, size int, mood boolean, people boolean")
     got = [r[0] for r in df.select(layout.page_policy(F.col("size"), F.col("d"), F.col("mood"), F.lit(True), F.col("people"))).collect()]
     assert got == ["must", "never", "free", "never", "free", "never", "must", "free"]
+
+
+def test_choices_of_many_libraries_are_one_stream(spark):
+    """Libraries over several batches, one of them null; each row's album is told once. A library is no call of its own."""
+    rows = [(None if i % 50 == 7 else i % 50, i, i, "pages", i % 3, None, None, i % 4, None, None, None) for i in range(400)]
+    df = spark.createDataFrame(rows, f"l long, t long, id long, {choices.COMMAND}")
+    folded = choices.fold_choices(df, ["l"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted((-1 if r.l is None else r.l, r.photo, r.value) for r in folded.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(-1 if r[0] is None else r[0], r[4]): max(r[7], 1) for r in rows}
+    assert got == sorted((*k, v) for k, v in want.items())
+    assert "FlatMapGroupsInPandas" not in folded._jdf.queryExecution().toString()
