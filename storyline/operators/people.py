@@ -16,6 +16,8 @@ from storyline.shared import materialize
 
 THRESHOLD, FIRST_NEW, IOU_SAME, IOU_DROP = 0.363, 1_000_000, 0.4, 0.3
 CENTRES_AT_ONCE = 4096
+#: Groups whose cosines to all others are one matrix, and by how much such a cosine may differ from that of two vectors.
+GROUPS_AT_ONCE, SLACK = 512, 1e-9
 
 
 def centroids(rows: DataFrame, by: list[str], embedding: str) -> DataFrame:
@@ -75,66 +77,87 @@ def large_enough(faces: DataFrame, pixels: str = "pixels", fixed: str = "fixed")
 def group_faces(faces: DataFrame, by: list[str], threshold: float = THRESHOLD, first_new: int = FIRST_NEW) -> DataFrame:
     """Faces (id, photo, quality, fixed, embedding) to persons. Faces the user placed come first and stay; the others, best
     first, join the nearest group that has no face of the same photo, or found one. Then the likest groups merge, in
-    rounds. Each step depends on those before, so a library is one fold; a library's faces are a family's, not a table."""
+    rounds. Each step depends on those before, so a library is one fold; a library's faces are a family's, not a table. The
+    cosines of a face to all groups, and of groups to all others, are matrices; only what is near enough is looked at one by one."""
 
     def fold(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values(["quality", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         vectors = np.stack(held["embedding"].to_numpy()).astype(np.float64)
-        ids, sums, photos, firm, label = [], [], [], [], np.full(len(held), -1, np.int64)
+        photo, fixed = held["photo"].tolist(), held["fixed"]
+        ids, firm, members, photos = [], [], [], []
+        # Sums and unit vectors of the groups, with room for more, and the groups that have a face of each photo.
+        sums, units = np.zeros((64, vectors.shape[1])), np.zeros((64, vectors.shape[1]))
+        of_photo: dict[object, list[int]] = {}
+        numbers: dict[int, int] = {}
 
         def put(i: int, k: int) -> None:
             sums[k] += vectors[i]
-            photos[k].add(held.at[i, "photo"])
-            label[i] = ids[k]
-
-        def found(i: int, name: int, fixed: bool) -> None:
+            units[k] = unit(sums[k])
+            if photo[i] not in photos[k]:
+                photos[k].add(photo[i])
+                of_photo.setdefault(photo[i], []).append(k)
+            members[k].append(i)
+
+        def found(i: int, name: int, is_firm: bool) -> None:
+            nonlocal sums, units
+            if len(ids) == len(sums):
+                sums, units = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, units))
+            numbers[name] = len(ids)
             ids.append(name)
-            sums.append(np.zeros(vectors.shape[1]))
+            firm.append(is_firm)
+            members.append([])
             photos.append(set())
-            firm.append(fixed)
             put(i, len(ids) - 1)
 
         unit = lambda v: v / n if (n := np.linalg.norm(v)) > 0 else v
-        for i in held.index[held["fixed"].notna()]:
-            name = int(held.at[i, "fixed"])
-            put(i, ids.index(name)) if name in ids else found(i, name, True)
+        for i in np.flatnonzero(fixed.notna()):
+            name = int(fixed[i])
+            put(i, numbers[name]) if name in numbers else found(i, name, True)
         fresh = max([first_new, *(x + 1 for x in ids)])
-        for i in held.index[held["fixed"].isna()]:
-            open_ = [k for k in range(len(ids)) if held.at[i, "photo"] not in photos[k]]
-            near = [(float(unit(sums[k]) @ vectors[i]), -k) for k in open_]
-            best = max(near, default=(-2.0, 0))
+        for i in np.flatnonzero(fixed.isna()):
+            near = units[: len(ids)] @ vectors[i]
+            near[of_photo.get(photo[i], [])] = -np.inf
+            # The product of a matrix may differ in its last bits from that of two vectors, which decides.
+            top = near.max(initial=-np.inf)
+            best = max(((float(units[k] @ vectors[i]), -k) for k in np.flatnonzero(near >= top - SLACK)), default=(-2.0, 0)) if top >= threshold - SLACK else (-2.0, 0)
             if best[0] >= threshold:
                 put(i, -best[1])
             else:
                 found(i, fresh, False)
                 fresh += 1
         while True:
-            units = [unit(s) for s in sums]
-            close = sorted(
-                (-float(units[a] @ units[b]), a, b)
-                for a in range(len(ids)) for b in range(a + 1, len(ids))
-                if not (firm[a] and firm[b]) and photos[a].isdisjoint(photos[b]) and units[a] @ units[b] >= threshold
-            )
+            u, close = units[: len(ids)], []
+            for k in range(0, len(ids), GROUPS_AT_ONCE):
+                for a, b in zip(*np.nonzero(u[k : k + GROUPS_AT_ONCE] @ u.T >= threshold - SLACK), strict=True):
+                    a += k
+                    if a < b and not (firm[a] and firm[b]) and photos[a].isdisjoint(photos[b]) and (cosine := float(u[a] @ u[b])) >= threshold:
+                        close.append((-cosine, a, b))
             used: set[int] = set()
-            gone = []
-            for _, a, b in close:
+            gone = set()
+            for _, a, b in sorted(close):
                 if a in used or b in used:
                     continue
                 used |= {a, b}
                 keep, drop = (b, a) if firm[b] else (a, b)
                 sums[keep] += sums[drop]
+                units[keep] = unit(sums[keep])
                 photos[keep] |= photos[drop]
-                label[label == ids[drop]] = ids[keep]
-                gone.append(drop)
+                members[keep] += members[drop]
+                gone.add(drop)
             if not gone:
                 break
-            for k in sorted(gone, reverse=True):
-                for part in (ids, sums, photos, firm):
-                    del part[k]
+            left = [k for k in range(len(ids)) if k not in gone]
+            sums, units = sums[left], units[left]
+            ids, firm, members, photos = ([x[k] for k in left] for x in (ids, firm, members, photos))
+        label = np.full(len(held), -1, np.int64)
+        for name, rows in zip(ids, members, strict=True):
+            label[rows] = name
         return held[[*by, "id"]].assign(grp=label)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in faces.select(*by, "id").schema)
-    return faces.groupBy(*by).applyInPandas(fold, f"{schema}, grp long")
+    # A count that is named is not merged by the planner, to which libraries of few bytes look like little work.
+    parts = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return faces.repartition(parts, *by).groupBy(*by).applyInPandas(fold, f"{schema}, grp long")
 
 
 def carry_over(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
