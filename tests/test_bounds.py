@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from storyline.operators import density, people
+from storyline.plans import album_queries, people_queries
 
 
 def test_blocks_of_a_density_search_are_few_and_all_rows_meet(spark, monkeypatch):
@@ -35,3 +36,12 @@ def test_faces_of_a_large_library_are_grouped_in_time(spark):
     assert time.time() - began < 40  # a face looked at each group by itself before: 65 s for ten libraries of 1,000
     assert len(got) == 4000 and all(got[i] == i for i in range(0, 4000, 50))
     assert max(Counter((g, i % 97) for i, g in got.items()).values()) == 1
+
+
+def test_tasks_of_pages_hold_a_bounded_number_of_lines(spark, monkeypatch):
+    whole = people_queries.justified_pages(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(album_queries, "LINES_A_PART", 500)
+    dealt = people_queries.justified_pages(spark, "/root/testdata/sf0.001")
+    sizes = dealt.rdd.glom().map(len).collect()
+    assert len(sizes) == 12 and max(sizes) < 1000
+    assert sorted(dealt.collect()) == sorted(whole)
