@@ -1,11 +1,13 @@
 """That work which grew with the square of a table, or with the rows of a task, has a bound, and gives what a plain version gives."""
 
+import random
+import re
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
-from storyline.operators import density, people
+from storyline.operators import density, people, typeset
 from storyline.plans import album_queries, people_queries
 
 
@@ -45,3 +47,33 @@ def test_tasks_of_pages_hold_a_bounded_number_of_lines(spark, monkeypatch):
     sizes = dealt.rdd.glom().map(len).collect()
     assert len(sizes) == 12 and max(sizes) < 1000
     assert sorted(dealt.collect()) == sorted(whole)
+
+
+def plain_lines(text, most):
+    """Words put down one by one."""
+    width = lambda s: sum(next((w for w, x in typeset.WIDTHS.items() if c in x), typeset.WIDE) for c in s)
+    out = []
+    for k, p in enumerate((text or "").split("\n")):
+        lines, open_ = [[]], 0
+        for w in re.findall("[^\t\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", p):
+            if lines[-1] and open_ + 278 + width(w) > most:
+                lines.append([])
+            open_ = open_ + 278 + width(w) if lines[-1] else width(w)
+            lines[-1].append(w)
+        out += [(k, n, " ".join(x)) for n, x in enumerate(lines)]
+    return out
+
+
+def test_lines_of_odd_and_of_long_texts(spark):
+    r = random.Random(2)
+    odd = [None, "", "\n", "\n\n a", " a  b\tc ", "x" * 300 + " y", "a\u2003b\u3000c\xa0d", "\U0001f600 \U0001f600\u0301 é\n\n", "\u200bz\x00 q\r\nw", "\x1ca\x1db"]
+    words = ["a", "Wort", "i" * 40, "mmmmmm", "\U0001f600", "longer,", "é" * 9]
+    texts = odd + ["".join(r.choice(words) + r.choice([" ", " ", " ", "  ", "\n", "\u2009"]) for _ in range(r.randrange(200))) for _ in range(60)]
+    long = " ".join(r.choice(words) for _ in range(400_000))
+    df = spark.createDataFrame(list(enumerate([*texts, long])), "id long, text string")
+    began = time.time()
+    got = defaultdict(list)
+    for x in typeset.wrapped(df, "id", "text", 4000).collect():
+        got[x.id].append((x.paragraph, x.line, x.said))
+    assert time.time() - began < 30  # where lines begin was an array copied for each line before
+    assert all(sorted(got[i]) == plain_lines(t, 4000) for i, t in enumerate([*texts, long]))
