@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 GATHER_MOST, MOST_ZOOM, LEAST_ZOOM, OWN_PAGE = 12, 400, 100, 3
+#: Commands of a value of the stream's state.
+AT_ONCE = 5000
 FIELDS = ("type", "photo", "photos", "on", "n", "x", "y", "whole")
 COMMAND = "type string, photo long, photos array<long>, on boolean, n long, x long, y long, whole boolean"
 ROWS = "what string, number long, place long, photo long, value long, value2 long"
@@ -168,10 +170,9 @@ def _commands(held: pd.DataFrame) -> Iterator[dict]:
     return map(_command, zip(*(held[k].tolist() for k in FIELDS), strict=True))
 
 
-def _table(rows: list[tuple], **more: object) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
-    out = out.astype({c: "Int64" for c in out.columns if c != "what"})
-    return out.assign(**more)
+def _table(rows: list[tuple], library: int, version: int) -> pd.DataFrame:
+    """Plain values with None for null: a column of its own kind for each library and version would cost more than its rows."""
+    return pd.DataFrame([(library, version, *r) for r in rows], columns=["library", "version", *(c.split()[0] for c in ROWS.split(", "))], dtype=object)
 
 
 def fold_choices(log: DataFrame, by: list[str]) -> DataFrame:
@@ -206,36 +207,44 @@ def fold_choices(log: DataFrame, by: list[str]) -> DataFrame:
 
 class _Keeper(StatefulProcessor):
     """A library's album, and the commands that wait until the watermark has passed them: only then is it certain that none before
-    them is still to come. A timer just after the first of them then applies all that are due, in order, and tells the album."""
+    them is still to come. A timer just after the first of them then applies all that are due, in order, and tells the album.
+    Commands wait in lists of up to ``AT_ONCE``: a value of the state costs far more than a command."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.album = handle.getValueState("album", "saved string, version long")
-        self.waiting = handle.getListState("waiting", "t long, id long, command string")
+        self.waiting = handle.getListState("waiting", "commands string")
+
+    def _wait(self, commands: list[list]) -> None:
+        """Keeps commands (t, id and the values of FIELDS), and wakes just after the first of them."""
+        for k in range(0, len(commands), AT_ONCE):
+            self.waiting.appendValue((json.dumps(commands[k : k + AT_ONCE]),))
+        if commands:
+            self.handle.registerTimer(min(x[0] for x in commands) + 1)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
-        new = [(int(t), int(i), json.dumps(c)) for part in rows for t, i, c in zip(part["ms"], part["id"], _commands(part), strict=True)]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(t for t, _, _ in new) + 1)
+        for part in rows:
+            self._wait([[int(t), int(i), *c.values()] for t, i, c in zip(part["ms"].tolist(), part["id"].tolist(), _commands(part), strict=True)])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
         # Rows still to come are later than the watermark.
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        due, rest = sorted(x for x in held if x[0] < now), [x for x in held if x[0] >= now]
-        if rest:
-            self.handle.registerTimer(min(t for t, _, _ in rest) + 1)
+        held = [x for (commands,) in self.waiting.get() for x in json.loads(commands)] if self.waiting.exists() else []
+        due, rest = [x for x in held if x[0] < now], [x for x in held if x[0] >= now]
+        if due:
+            self.waiting.clear()
+            self._wait(rest)
+        elif rest:
+            self.handle.registerTimer(min(x[0] for x in rest) + 1)
         if not due:
             return
-        self.waiting.put(rest) if rest else self.waiting.clear()
         saved, version = self.album.get() if self.album.exists() else (None, 0)
         album = Album(saved)
-        for _, _, c in due:
-            album.apply(json.loads(c))
+        for x in sorted(due, key=lambda x: (x[0], x[1], str(x[2:]))):
+            album.apply(dict(zip(FIELDS, x[2:], strict=True)))
         self.album.update((album.saved(), version + len(due)))
-        yield _table(album.rows() or [("empty", None, None, None, None, None)], library=key[0], version=version + len(due))[["library", "version", *(c.split()[0] for c in ROWS.split(", "))]]
+        yield _table(album.rows() or [("empty", None, None, None, None, None)], key[0], version + len(due))
 
     def close(self) -> None:
         pass

@@ -4,10 +4,12 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 
-from storyline.operators import density, people, typeset
+from storyline.operators import choices, density, people, typeset
 from storyline.plans import album_queries, people_queries
 
 
@@ -77,3 +79,41 @@ def test_lines_of_odd_and_of_long_texts(spark):
         got[x.id].append((x.paragraph, x.line, x.said))
     assert time.time() - began < 30  # where lines begin was an array copied for each line before
     assert all(sorted(got[i]) == plain_lines(t, 4000) for i, t in enumerate([*texts, long]))
+
+
+class Kept:
+    """State and timers in memory, which counts the values put into lists."""
+
+    def __init__(self):
+        self.lists, self.values, self.timers, self.put_in = {}, {}, [], 0
+
+    def state(self, held, name):
+        def put(x):
+            held[name] = x
+
+        def append(x):
+            self.put_in += 1
+            held.setdefault(name, []).append(x)
+
+        many = lambda xs: [append(x) for x in xs]
+        return SimpleNamespace(get=lambda: held[name], exists=lambda: name in held, update=put, put=lambda xs: (held.pop(name, None), many(xs)), appendValue=append, appendList=many, clear=lambda: held.pop(name, None))
+
+    def handle(self):
+        return SimpleNamespace(getValueState=lambda n, s: self.state(self.values, n), getListState=lambda n, s: self.state(self.lists, n), registerTimer=self.timers.append)
+
+
+def test_waiting_commands_are_few_values_of_the_state():
+    kept, keeper = Kept(), choices._Keeper()
+    keeper.init(kept.handle())
+    rows = pd.DataFrame({"ms": range(3000), "id": range(3000), "type": "rotate", "photo": [i % 7 for i in range(3000)], "photos": None, "on": None, "n": None, "x": None, "y": None, "whole": None})
+    for part in (rows[1000:], rows[:1000]):
+        list(keeper.handleInputRows((5,), iter([part]), None))
+    assert kept.put_in == 2 and kept.timers == [1001, 1]  # 3,000 values before
+    told = []
+    for now in (1500, 1500, 9000):
+        told += list(keeper.handleExpiredTimer((5,), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None))
+    assert [t["version"][0] for t in told] == [1500, 3000] and set(kept.timers[2:]) == {1501} and "waiting" not in kept.lists
+    want = choices.Album()
+    for c in choices._commands(rows):
+        want.apply(c)
+    assert [tuple(x) for x in told[-1].itertuples(index=False)] == [(5, 3000, *r) for r in want.rows()] and want.rows()
