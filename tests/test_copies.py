@@ -27,3 +27,8 @@ def test_documents_of_the_same_hash_are_members(spark, at, name, want):
     rel = c.execute(library.ORACLE[name])
     names = [d[0] for d in rel.description]
     assert {tuple(r[names.index(k)] for k in df.columns) for r in rel.fetchall()} == want
+
+
+def test_the_best_copy_may_be_a_later_one_of_its_hash(spark, at):
+    """The longest document was no candidate if another one of its hash had a smaller id."""
+    assert {r.best: r.n_chars for r in library.best_copy(spark, at).collect()}[2] == len(TEXT) * 2 + 3
