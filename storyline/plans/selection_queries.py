@@ -67,13 +67,16 @@ r AS (SELECT event_id, event_id AS o FROM e UNION SELECT r.event_id, l.b FROM r
 s AS MATERIALIZED (SELECT event_id, min(o) AS series FROM r GROUP BY event_id)"""
 
 
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.like_series(_shown(spark, sf_dir), ["event_type"], "event_id", "t", "unit", 3600, 0.3)
+def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events with their series and vec_id, and the vectors."""
+    vectors = src.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    e = spread(src.timeline(spark, sf_dir).select("event_type", "event_id", "t", "value")).withColumn("vec_id", F.col("event_id") % F.lit(vectors.count()))
+    return series.like_series(e, ["event_type"], "event_id", "t", "vec_id", 3600, 0.3, vectors), vectors
 
 
 @query(f"{SERIES} SELECT event_id, series FROM s")
 def photo_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _series(spark, sf_dir).select("event_id", "series")
+    return _series(spark, sf_dir)[0].select("event_id", "series")
 
 
 @query(f"""{SERIES},
@@ -85,7 +88,8 @@ f2 AS (SELECT f1.series, f1.event_id, least(far, round(1 - list_dot_product(f1.u
 p2 AS (SELECT series, event_id FROM f2 WHERE far > 0 QUALIFY row_number() OVER (PARTITION BY series ORDER BY far DESC, event_id) = 1)
 SELECT series, event_id, 0 AS pick FROM p0 UNION ALL SELECT series, event_id, 1 FROM p1 UNION ALL SELECT series, event_id, 2 FROM p2""")
 def series_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.spread_picks(_series(spark, sf_dir), ["series"], "event_id", "value", "unit").select("series", "event_id", "pick")
+    photos, vectors = _series(spark, sf_dir)
+    return series.spread_picks(photos, ["series"], "event_id", "value", "vec_id", vectors=vectors).select("series", "event_id", "pick")
 
 
 @query()
